@@ -1,0 +1 @@
+"""Every operator here is a batch job over a fixed list of snapshots; nothing streams."""
