@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.grid import Grid
 from fathomgrid.model import EARTH_RADIUS_M
+from fathomgrid.operators.geometry import hull_cells
 from fathomgrid.sources.arrays import hexagon_positions
 from fathomgrid.sources.cells import load_model
 
@@ -43,14 +44,86 @@ select iter, iz, iy, ix,
 from raw_cells
 """
 
+# A second gridding without fill values, coarse enough in time to have no empty cell.
+FULL_CELLS = RAW_CELLS.replace("/ 1000) + 1", "/ 1250) + 1")
+
+# One array per customer: a circle of sensors somewhere in a 2 x 2 degree area.
+CENTERS = """
+select 'c' || c_custkey as config, (c_custkey * 37 % 1000) / 1000e0 * 2 - 1 as lat,
+       219 + (c_custkey * 91 % 2000) / 1000e0 as lon, 0.25e0 * (1 + c_nationkey % 4) as diameter
+from customer
+"""
+
+# One irregular array per customer with three orders or more: a sensor per order.
+IRREGULAR = """
+select 'c' || o_custkey as config, cast(o_orderkey as int) as glider,
+       (o_orderkey * 7919 % 10007) / 10007e0 - 0.5e0 as lat,
+       220 + (o_orderkey * 104729 % 10009) / 10009e0 - 0.5e0 as lon
+from (select o_custkey, o_orderkey, count(*) over (partition by o_custkey) as n from orders) as o
+where n >= 3
+"""
+
+# Depth requests: one per part.
+DEPTHS = """
+select p_partkey as part, cast(10 + p_size % 50 as double) as max_depth,
+       cast(1 + p_partkey % 4 as double) as dz from part
+"""
+
+# Coordinates to look up: one per order, on one of the six axes, some outside it.
+TARGETS = """
+select o_orderkey, axis, case when axis in ('Z', 'Zl') then -14 * u + 1
+                              when axis in ('XC', 'XG') then 220 + 0.4e0 * (u - 0.5e0)
+                              else 0.4e0 * (u - 0.5e0) end as pos
+from (select o_orderkey, case o_orderkey % 6 when 0 then 'XC' when 1 then 'XG' when 2 then 'YC'
+                                             when 3 then 'YG' when 4 then 'Z' else 'Zl' end as axis,
+             (o_orderkey * 7919 % 10007) / 10007e0 as u from orders) as o
+"""
+
+# Sensor samples from events: day, sensor and level, complete from 10,000 events on.
+EVENT_SAMPLES = """
+select 'circle' as config, date_trunc('day', ts) as time, cast(user_id % 6 as int) as glider,
+       cast(case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2
+                            when 'signup' then 3 else 4 end as int) as k,
+       avg(value) / 100e0 as U, avg(cast(event_id % 97 as double)) / 97e0 as V
+from events group by 1, 2, 3, 4
+"""
+
+# The same with many levels per day and sensor, so that cells are missing.
+EVENT_SERIES = """
+select 'circle' as config, date_trunc('day', ts) as time, cast(user_id % 6 as int) as glider,
+       cast(extract(hour from ts) as int) as k,
+       avg(value) / 100e0 as U, max(value) / 500e0 as V
+from events where event_id % 7 < 6 or extract(hour from ts) < 12 group by 1, 2, 3, 4
+"""
+
+# Values that are missing, not a number or infinite among ordinary ones.
+MESSY = """
+select event_id, case when event_id % 17 = 0 then cast('NaN' as double) when event_id % 19 = 0 then null else value end as x,
+       case when event_id % 23 = 0 then cast('Infinity' as double) when event_id % 29 = 0 then cast('-Infinity' as double)
+            else value * 2 end as y
+from events
+"""
+
+# Two populations per line status; T is nearly continuous, S, U and V are full of ties.
+POPULATIONS = """
+select l_linestatus as config, case when l_returnflag = 'R' then 'obs' else 'true' end as side,
+       l_extendedprice as T, l_quantity as S, l_discount as U, l_tax as V,
+       l_orderkey, l_linenumber, cast(l_linenumber * 2 as double) as depth
+from lineitem
+"""
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
+    """Run one of the texts above over a table of the test data."""
+    return spark.sql(text.replace(f"from {name}", "from {src}"), src=table(spark, sf_dir, name))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.sql(RAW_CELLS.replace("from lineitem", "from {lineitem}"),
-                    lineitem=table(spark, sf_dir, "lineitem"))
+    raw = sql(spark, sf_dir, RAW_CELLS, "lineitem")
     return spark.sql(FILLED_CELLS.replace("from raw_cells", "from {raw_cells}"), raw_cells=raw)
 
 
@@ -59,6 +132,24 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_model(raw_cells(spark, sf_dir)).drop("iter")
 
 
+def full_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_model(sql(spark, sf_dir, FULL_CELLS, "lineitem")).drop("iter")
+
+
+def wide_grid(spark: SparkSession) -> Grid:
+    """Tracer axes of a 4 x 4 degree area, for the many arrays of CENTERS."""
+    i = F.col("id").cast("int")
+    return Grid(spark.range(96).select(F.inline(F.array(
+        F.struct(F.lit("XC").alias("axis"), i.alias("idx"), (F.lit(218.0) + (i + 0.5) / 24).alias("pos")),
+        F.struct(F.lit("YC").alias("axis"), i.alias("idx"), ((i + 0.5) / 24 - 2.0).alias("pos"))))))
+
+
+def circle(spark: SparkSession) -> DataFrame:
+    """Sensors of the event samples."""
+    return hexagon_positions(spark.sql(
+        "select 'circle' as config, 0e0 as lat, 220e0 as lon, 0.25e0 as diameter"))
+
+
 def axes(spark: SparkSession) -> DataFrame:
     i = F.col("id").cast("int")
 
@@ -91,6 +182,16 @@ def grid(spark: SparkSession) -> Grid:
     return _grid(spark, spark.sparkContext.applicationId)
 
 
+@lru_cache(maxsize=1)
+def _hull(spark: SparkSession, app: str) -> DataFrame:
+    return hull_cells(grid(spark), positions(spark))
+
+
+def hull(spark: SparkSession) -> DataFrame:
+    """Cells inside the two arrays, found once per application."""
+    return _hull(spark, spark.sparkContext.applicationId)
+
+
 def positions(spark: SparkSession) -> DataFrame:
     """Two arrays: a hexagon, and a rectangle with two sensors halfway along its sides."""
     hexagon = hexagon_positions(spark.sql(

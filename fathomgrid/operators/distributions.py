@@ -162,7 +162,7 @@ def histogram(ranks: DataFrame, limits: DataFrame, keys, bins: int = HIST_BINS)
 
 
 def histogram_density(hist: DataFrame, limits: DataFrame, keys, bins: int = HIST_BINS) -> DataFrame:
-    """All bins of each key with left edge, counts and densities of both sides.
+    """All bins of each key with lower edge, counts and densities of both sides.
 
     The number of bins is fixed, so the grid and the windows over it stay small.
     """
@@ -172,7 +172,7 @@ def histogram_density(hist: DataFrame, limits: DataFrame, keys, bins: int = HIST
     whole = Window.partitionBy(*keys)
     full = grid.join(hist, [*keys, "bin"], "left").na.fill(0, ["n_obs", "n_true"])
     return full.select(
-        *keys, "bin", (F.col("bin") * step + F.col("lo")).alias("left"), "n_obs", "n_true",
+        *keys, "bin", (F.col("bin") * step + F.col("lo")).alias("edge"), "n_obs", "n_true",
         *[F.try_divide(F.col(f"n_{s}"), F.sum(f"n_{s}").over(whole) * step).alias(f"density_{s}")
           for s in SIDES])
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions.columns import interface, layer_mid, turn
 from ..grid import Grid
 from ..model import BOX_MARGIN_DEG, EARTH_RADIUS_M, levels_in
@@ -178,15 +179,10 @@ def _index_range(df: DataFrame, grid: Grid, axis: str, lo: str, hi: str, first:
 
 def box_spans(grid: Grid, positions: DataFrame, margin: float = BOX_MARGIN_DEG) -> DataFrame:
     """(config, iy0, iy1, ix0, ix1, n_point): tracer rows and columns in each array's box."""
-    return _with_spans(grid, hull_bbox(positions, margin))
-
-
-def _with_spans(grid: Grid, boxes: DataFrame) -> DataFrame:
-    edges = ["lon_min", "lon_max", "lat_min", "lat_max"]
-    df = _index_range(boxes, grid, "YC", "lat_min", "lat_max", "iy0", "iy1")
+    df = _index_range(hull_bbox(positions, margin), grid, "YC", "lat_min", "lat_max", "iy0", "iy1")
     df = _index_range(df, grid, "XC", "lon_min", "lon_max", "ix0", "ix1")
     n = (F.col("iy1") - F.col("iy0") + 1).cast("bigint") * (F.col("ix1") - F.col("ix0") + 1)
-    return df.withColumn("n_point", n).drop(*edges)
+    return df.select("config", "iy0", "iy1", "ix0", "ix1", n.alias("n_point"))
 
 
 def _unfold(grid: Grid, spans: DataFrame) -> DataFrame:
@@ -195,28 +191,28 @@ def _unfold(grid: Grid, spans: DataFrame) -> DataFrame:
     Rows are spread over tasks before their columns are listed, so one wide array does
     not unfold inside a single task.
     """
-    keep = [c for c in spans.columns if c not in ("iy0", "iy1", "ix0", "ix1", "n_point")]
-    rows = (spans.select(*keep, "ix0", "ix1", F.explode(F.sequence("iy0", "iy1")).alias("iy"))
+    rows = (spans.select("config", "ix0", "ix1", F.explode(F.sequence("iy0", "iy1")).alias("iy"))
             .repartition("config", "iy"))
-    cells = rows.select(*keep, "iy", F.explode(F.sequence("ix0", "ix1")).alias("ix"))
-    return cells.join(grid.nodes("YC", "iy", "lat"), "iy").join(grid.nodes("XC", "ix", "lon"), "ix")
+    cells = rows.select("config", "iy", F.explode(F.sequence("ix0", "ix1")).alias("ix"))
+    return (cells.join(grid.nodes("YC", "iy", "lat"), "iy").join(grid.nodes("XC", "ix", "lon"), "ix")
+            .select("config", "iy", "ix", "lat", "lon"))
 
 
 def box_cells(grid: Grid, positions: DataFrame, margin: float = BOX_MARGIN_DEG) -> DataFrame:
     """(config, iy, ix, lat, lon): every tracer cell centre in each array's box."""
-    return _unfold(grid, box_spans(grid, positions, margin)).select("config", "iy", "ix", "lat", "lon")
+    return _unfold(grid, box_spans(grid, positions, margin))
 
 
 def hull_cells(grid: Grid, positions: DataFrame) -> DataFrame:
-    """(config, iy, ix, lat, lon): tracer cell centres inside each array's hull.
+    """Durable (config, iy, ix, lat, lon): tracer cell centres inside each array's hull.
 
-    The hull's own box bounds the candidates, the polygon test runs only on those.
+    The hull's own box bounds the candidates, the polygon test runs only on those. The
+    result has no time or depth and feeds several operators, so it is written once.
     """
-    v = F.col("vertices")
-    lon, lat = F.transform(v, lambda p: p["lon"]), F.transform(v, lambda p: p["lat"])
-    boxes = hull_vertices(positions).withColumns({
-        "lon_min": F.array_min(lon), "lon_max": F.array_max(lon),
-        "lat_min": F.array_min(lat), "lat_max": F.array_max(lat)})
-    return (_unfold(grid, _with_spans(grid, boxes))
-            .filter(inside_hull(v, F.col("lon"), F.col("lat")))
-            .select("config", "iy", "ix", "lat", "lon"))
+    hulls = durable(hull_vertices(positions), "hulls")
+    points = hulls.select("config", F.inline("vertices"))
+    inside = (_unfold(grid, box_spans(grid, points, margin=0))
+              .join(hulls, "config")
+              .filter(inside_hull(F.col("vertices"), F.col("lon"), F.col("lat")))
+              .select("config", "iy", "ix", "lat", "lon"))
+    return durable(inside, "hull-cells")

@@ -131,14 +131,16 @@ def sample_fields(cells: DataFrame, grid: Grid, positions: DataFrame,
 
 def model_region(cells: DataFrame, grid: Grid, positions: DataFrame,
                  variables=("UVEL", "VVEL", "THETA", "SALT"),
-                 max_depth: float = 70, dz: float = 2) -> DataFrame:
+                 max_depth: float = 70, dz: float = 2, hull: DataFrame | None = None) -> DataFrame:
     """The full population: every field at every cell centre inside each array's hull.
 
     (config, iy, ix, time, k, U, V, T, S[, W], obs_depth, lat, lon). The hull is applied
-    to the weights, so cells outside it are dropped before anything is shuffled.
+    to the weights, so cells outside it are dropped before anything is shuffled. `hull` may
+    pass in `hull_cells` if it is at hand.
     """
     ids = ["config", "ty", "tx"]
-    centres = hull_cells(grid, positions).withColumnsRenamed({"iy": "ty", "ix": "tx"})
+    hull = hull_cells(grid, positions) if hull is None else hull
+    centres = hull.withColumnsRenamed({"iy": "ty", "ix": "tx"})
     horizontal = point_weights(grid, centres, ids, variables)
     vertical = level_weights(grid, obs_levels(cells.sparkSession, max_depth, dz),
                              {GRID[v][2] for v in variables})

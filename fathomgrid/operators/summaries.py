@@ -75,6 +75,6 @@ def at_nearest_depth(bias: DataFrame, levels: DataFrame, depth: float) -> DataFr
 
 
 def abs_limit(values: DataFrame, keys, v: str = "v", prob: float = 0.98) -> DataFrame:
-    """Symmetric limit: exact percentile of absolute values per key, (keys..., limit)."""
+    """Symmetric limit: exact percentile of absolute values per key, (keys..., bound)."""
     absolute = values.select(*keys, F.abs(v).alias("v"))
-    return (exact_percentiles(absolute, keys, {"limit": prob}))
+    return (exact_percentiles(absolute, keys, {"bound": prob}))

@@ -161,13 +161,15 @@ def remove_linear_trend(w: DataFrame, max_depth: float, keys=("config", "time"),
 
 
 def model_w(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth: float = 70,
-            dz: float = 2, remove_barotropic: bool = False, spatial_mean: bool = True) -> DataFrame:
+            dz: float = 2, remove_barotropic: bool = False, spatial_mean: bool = True,
+            hull: DataFrame | None = None) -> DataFrame:
     """The model's own W at the interface depths: (config, time, k, w_model, depth).
 
     Averaged over the hull, or taken at the array's centroid.
     """
     if spatial_mean:
-        columns = hull_cells(grid, positions).select("config", "iy", "ix")
+        hull = hull_cells(grid, positions) if hull is None else hull
+        columns = hull.select("config", "iy", "ix")
         levels = interface_levels(cells.sparkSession, max_depth, dz)
         w = hull_mean(interp_levels(cells, grid, ["WVEL"], levels, columns), ["W"])
         w = w.withColumnRenamed("W", "w_model").withColumn("depth", interface(F.col("k"), dz))
@@ -214,9 +216,10 @@ def cell_divergence(cells: DataFrame, grid: Grid, columns: DataFrame,
 
 
 def model_divergence(cells: DataFrame, grid: Grid, positions: DataFrame,
-                     max_depth: float = 70, dz: float = 2) -> DataFrame:
+                     max_depth: float = 70, dz: float = 2, hull: DataFrame | None = None) -> DataFrame:
     """Hull mean of the model's flux divergence: (config, time, k, div, obs_depth)."""
-    columns = hull_cells(grid, positions).select("config", "iy", "ix")
+    hull = hull_cells(grid, positions) if hull is None else hull
+    columns = hull.select("config", "iy", "ix")
     return (hull_mean(cell_divergence(cells, grid, columns, max_depth, dz), ["div"])
             .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
 

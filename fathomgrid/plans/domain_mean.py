@@ -25,9 +25,9 @@ def domain_maps(cells: DataFrame, grid: Grid, max_depth: float, time_range=None,
 
 def velocity_map(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth: float = 70,
                  time_range=None, margin: float = 0.25) -> DataFrame:
-    """The part of the mean maps around each array: (config, variable, iy, ix, lat, lon, value, limit).
+    """The part of the mean maps around each array: (config, variable, iy, ix, lat, lon, value, bound).
 
-    limit is the symmetric limit of the variable's whole map.
+    bound is the symmetric limit of the variable's whole map.
     """
     tables = domain_maps(cells, grid, max_depth, time_range)
     box = hull_bbox(positions, margin)
@@ -35,7 +35,7 @@ def velocity_map(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth:
             & F.col("lat").between(F.col("lat_min"), F.col("lat_max")))
     lines = _boxed(tables["maps"], box)
     return (lines.filter(near).join(tables["limits"], "variable")
-            .select("config", "variable", "iy", "ix", "lat", "lon", "value", "limit"))
+            .select("config", "variable", "iy", "ix", "lat", "lon", "value", "bound"))
 
 
 def _boxed(maps: DataFrame, box: DataFrame, cell_deg: float = 1.0) -> DataFrame:

@@ -40,6 +40,10 @@ class FieldComparison:
     max_depth: float = 70
     dz: float = 2
 
+    @cached_property
+    def hull(self) -> DataFrame:
+        return hull_cells(self.grid, self.positions)
+
     @cached_property
     def obs_raw(self) -> DataFrame:
         return durable(add_density(I.sample_fields(
@@ -48,7 +52,7 @@ class FieldComparison:
     @cached_property
     def true_raw(self) -> DataFrame:
         region = I.model_region(self.cells, self.grid, self.positions,
-                                ("WVEL", "UVEL", "VVEL", "THETA", "SALT"), self.max_depth, self.dz)
+                                ("WVEL", "UVEL", "VVEL", "THETA", "SALT"), self.max_depth, self.dz, self.hull)
         return durable(add_density(region), "region")
 
     @cached_property
@@ -67,7 +71,7 @@ class FieldComparison:
     @cached_property
     def div_true(self) -> DataFrame:
         return durable(V.model_divergence(self.cells, self.grid, self.positions,
-                                          self.max_depth, self.dz), "div-true")
+                                          self.max_depth, self.dz, self.hull), "div-true")
 
     @cached_property
     def w_est(self) -> DataFrame:
@@ -128,7 +132,7 @@ class FieldComparison:
         """(config, n_glider, n_point, n_hull, n_time): n_point counts the box, n_hull the hull."""
         gliders = self.positions.groupBy("config").agg(F.count(F.lit(1)).alias("n_glider"))
         box = box_spans(self.grid, self.positions).select("config", "n_point")
-        hull = hull_cells(self.grid, self.positions).groupBy("config").agg(F.count(F.lit(1)).alias("n_hull"))
+        hull = self.hull.groupBy("config").agg(F.count(F.lit(1)).alias("n_hull"))
         times = self.obs_raw.select("config", "time").distinct().groupBy("config").agg(
             F.count(F.lit(1)).alias("n_time"))
         return gliders.join(box, "config").join(hull, "config").join(times, "config")

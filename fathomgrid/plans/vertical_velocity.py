@@ -14,13 +14,14 @@ from ..sources.cells import time_slice
 
 
 def w_comparison(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth: float = 70,
-                 dz: float = 2, spatial_mean: bool = True) -> DataFrame:
+                 dz: float = 2, spatial_mean: bool = True, hull: DataFrame | None = None) -> DataFrame:
     """(config, time, k, depth, w_est, w_model, bias) on the interfaces.
 
     The estimate comes from one scan of the cells; no per-sensor samples are built.
     """
     estimate = w_from_divergence(array_divergence(cells, grid, positions, max_depth, dz), dz)
-    return w_bias(estimate, model_w(cells, grid, positions, max_depth, dz, spatial_mean=spatial_mean))
+    return w_bias(estimate, model_w(cells, grid, positions, max_depth, dz, spatial_mean=spatial_mean,
+                                    hull=hull))
 
 
 def w_range(comparison: DataFrame, depth_range=None, time_range=None) -> DataFrame:
