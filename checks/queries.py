@@ -340,13 +340,13 @@ def abs_p98(spark, d):
 
 @query
 def pooled_percentiles(spark, d):
-    return D.pooled_limits(_ranks(spark, d), KEYS)
+    return D.pooled_limits(_ranks(spark, d))
 
 
 def _histogram(spark, d):
     ranks = _ranks(spark, d)
-    limits = durable(D.pooled_limits(ranks, KEYS), "limits")
-    return D.histogram(ranks, limits, KEYS), limits
+    limits = D.pooled_limits(ranks)
+    return D.histogram(ranks, limits), limits
 
 
 @query
@@ -356,17 +356,17 @@ def pdf_histogram(spark, d):
 
 @query
 def ecdf_pair(spark, d):
-    return D.ecdf(_ranks(spark, d), KEYS)
+    return D.ecdf(_ranks(spark, d))
 
 
 @query
 def ks_distance(spark, d):
-    return D.ecdf_distances(_ranks(spark, d), KEYS)
+    return D.ecdf_distances(_ranks(spark, d))
 
 
 @query
 def wasserstein_distance(spark, d):
-    return D.ecdf_distances(_ranks(spark, d), KEYS)
+    return D.ecdf_distances(_ranks(spark, d))
 
 
 @query

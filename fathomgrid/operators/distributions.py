@@ -10,6 +10,8 @@ values are ever gathered in one task, however many rows or ties it has.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,29 +47,43 @@ def field_population(wide: DataFrame, fields, keys=("config",)) -> DataFrame:
 
 # ---------------------------------------------------------------- rank table
 
-def rank_table(population: DataFrame, keys) -> DataFrame:
-    """Durable (keys..., v, n_obs, n_true, bucket): distinct values in ranges.
+@dataclass(frozen=True)
+class Ranks:
+    """A population in rank order, as two durable tables.
+
+    rows: (keys..., v, n_obs, n_true, bucket), distinct values in ranges. offsets, one row
+    per (keys, bucket): counts before the range, in it and of the whole key for each side,
+    and the next range's first value. There are at most as many offsets as ranges and keys
+    together, so they are normally broadcast, after a look at their number.
+    """
+
+    rows: DataFrame
+    offsets: DataFrame
+    n_offsets: int
+    keys: tuple[str, ...]
+
+
+def rank_table(population: DataFrame, keys) -> Ranks:
+    """Rank the values of (keys..., side, v).
 
     Ties are merged map-side first, so a value that makes up much of a population is one
     row. Ranges are cut from sampled (keys, v), which cuts inside a hot key as well.
     Writing the range number freezes it: a retried task cannot disagree with the totals.
     """
-    keys = list(keys)
+    keys = tuple(keys)
     counts = population.groupBy(*keys, "v").agg(
         F.count_if(F.col("side") == "obs").alias("n_obs"),
         F.count_if(F.col("side") == "true").alias("n_true"))
     n = int(population.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n, *keys, "v").withColumn("bucket", F.spark_partition_id())
-    return durable(ranged, "ranks")
-
+    rows = durable(counts.repartitionByRange(n, *keys, "v")
+                   .withColumn("bucket", F.spark_partition_id()), "ranks")
+    offsets = durable(_range_offsets(rows, keys), "rank-offsets")
+    return Ranks(rows, offsets, offsets.count(), keys)
 
-def rank_offsets(ranks: DataFrame, keys) -> DataFrame:
-    """Per (keys, bucket): counts before it, totals of the key, and the next range's first value.
 
-    At most one row per range plus one per key, and per key at most one row per range.
-    """
-    keys = list(keys)
-    per = ranks.groupBy(*keys, "bucket").agg(
+def _range_offsets(rows: DataFrame, keys) -> DataFrame:
+    """Windows over ranges, not values: per key at most one row per range."""
+    per = rows.groupBy(*keys, "bucket").agg(
         F.sum("n_obs").alias("b_obs"), F.sum("n_true").alias("b_true"), F.min("v").alias("first_v"))
     order = Window.partitionBy(*keys).orderBy("bucket")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -80,35 +96,34 @@ def rank_offsets(ranks: DataFrame, keys) -> DataFrame:
         F.lead("first_v").over(order).alias("next_first"))
 
 
-def ecdf(ranks: DataFrame, keys) -> DataFrame:
+def ecdf(ranks: Ranks) -> DataFrame:
     """(keys..., v, f_obs, f_true, next_v): both ECDFs at every distinct value."""
-    keys = list(keys)
-    in_range = Window.partitionBy(*keys, "bucket").orderBy("v")
+    in_range = Window.partitionBy(*ranks.keys, "bucket").orderBy("v")
     upto = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = ranks.join(rank_offsets(ranks, keys), [*keys, "bucket"])
+    joined = join_checked(ranks.rows, ranks.offsets, [*ranks.keys, "bucket"], ranks.n_offsets)
     return joined.select(
-        *keys, "v",
+        *ranks.keys, "v",
         *[F.try_divide((F.col(f"before_{s}") + F.sum(f"n_{s}").over(upto)).cast("double"),
                        F.col(f"all_{s}").cast("double")).alias(f"f_{s}") for s in SIDES],
         F.coalesce(F.lead("v").over(in_range), F.col("next_first")).alias("next_v"))
 
 
-def ecdf_distances(ranks: DataFrame, keys) -> DataFrame:
+def ecdf_distances(ranks: Ranks) -> DataFrame:
     """(keys..., ks, wasserstein), both from one pass; NULL if a side is empty."""
     gap = F.abs(F.col("f_obs") - F.col("f_true"))
-    return ecdf(ranks, keys).groupBy(*keys).agg(
+    return ecdf(ranks).groupBy(*ranks.keys).agg(
         F.max(gap).alias("ks"),
         F.coalesce(F.sum(gap * (F.col("next_v") - F.col("v"))), F.max(gap * 0)).alias("wasserstein"))
 
 
-def rank_percentiles(ranks: DataFrame, keys, probs: dict) -> DataFrame:
+def rank_percentiles(ranks: Ranks, probs: dict) -> DataFrame:
     """Exact linear-interpolated percentiles of the pooled values: (keys..., <name>...).
 
     Finds the order statistics on both sides of each position through the range totals,
-    so only ranges that hold one of them are sorted.
+    so only ranges that hold one of them are shuffled and sorted.
     """
-    keys = list(keys)
-    o = rank_offsets(ranks, keys).select(
+    keys = ranks.keys
+    o = ranks.offsets.select(
         *keys, "bucket", (F.col("before_obs") + F.col("before_true")).alias("before"),
         (F.col("b_obs") + F.col("b_true")).alias("size"),
         (F.col("all_obs") + F.col("all_true")).alias("total"))
@@ -127,11 +142,12 @@ def rank_percentiles(ranks: DataFrame, keys, probs: dict) -> DataFrame:
     upto = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.col("n_obs") + F.col("n_true")
     last = F.col("before") + F.sum(n).over(upto)
-    hits = (ranks.join(per_range, [*keys, "bucket"])
+    hits = (join_checked(ranks.rows, per_range, [*keys, "bucket"], ranks.n_offsets)
             .withColumn("last", last)
             .withColumn("first", F.col("last") - n)
             .select(*keys, "v", F.inline(F.filter(
                 "asked", lambda a: (a["rank"] >= F.col("first")) & (a["rank"] < F.col("last"))))))
+    # below: at most 2 * len(probs) rows per key
     ends = hits.groupBy(*keys, "name").agg(
         F.max("t").alias("t"), F.max(F.when(F.col("end") == 0, F.col("v"))).alias("a"),
         F.max(F.when(F.col("end") == 1, F.col("v"))).alias("b"))
@@ -143,22 +159,22 @@ def rank_percentiles(ranks: DataFrame, keys, probs: dict) -> DataFrame:
 def exact_percentiles(values: DataFrame, keys, probs: dict) -> DataFrame:
     """Exact percentiles per key of one population (keys..., v); missing values skipped."""
     tagged = finite_rows(values, "v").withColumn("side", F.lit("true"))
-    return rank_percentiles(rank_table(tagged, keys), keys, probs)
+    return rank_percentiles(rank_table(tagged, keys), probs)
 
 
-def pooled_limits(ranks: DataFrame, keys) -> DataFrame:
-    """(keys..., lo, hi): the 0.5 and 99.5 percentiles of both sides together."""
-    return rank_percentiles(ranks, keys, {"lo": HIST_PROBS[0], "hi": HIST_PROBS[1]})
+def pooled_limits(ranks: Ranks) -> DataFrame:
+    """Durable (keys..., lo, hi): the 0.5 and 99.5 percentiles of both sides together."""
+    return durable(rank_percentiles(ranks, {"lo": HIST_PROBS[0], "hi": HIST_PROBS[1]}), "limits")
 
 
 # ---------------------------------------------------------------- histograms
 
-def histogram(ranks: DataFrame, limits: DataFrame, keys, bins: int = HIST_BINS) -> DataFrame:
+def histogram(ranks: Ranks, limits: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """(keys..., bin, n_obs, n_true) inside the limits, from counted distinct values."""
-    joined = join_checked(ranks, limits, keys)
+    joined = join_checked(ranks.rows, limits, ranks.keys)
     return (joined.withColumn("bin", histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), bins))
             .filter(F.col("bin").isNotNull())
-            .groupBy(*keys, "bin").agg(F.sum("n_obs").alias("n_obs"), F.sum("n_true").alias("n_true")))
+            .groupBy(*ranks.keys, "bin").agg(F.sum("n_obs").alias("n_obs"), F.sum("n_true").alias("n_true")))
 
 
 def histogram_density(hist: DataFrame, limits: DataFrame, keys, bins: int = HIST_BINS) -> DataFrame:
@@ -205,15 +221,15 @@ def moments(population: DataFrame, keys) -> DataFrame:
         for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("skew", F.skewness)) for s in SIDES])
 
 
-def dist_stats(population: DataFrame, keys=("config", "field"), ranks: DataFrame | None = None,
+def dist_stats(population: DataFrame, keys=("config", "field"), ranks: Ranks | None = None,
                limits: DataFrame | None = None) -> DataFrame:
     """One record per key: moments of both sides, KS, Wasserstein and Jensen-Shannon distance."""
     keys = list(keys)
     ranks = rank_table(population, keys) if ranks is None else ranks
-    limits = durable(pooled_limits(ranks, keys), "limits") if limits is None else limits
+    limits = pooled_limits(ranks) if limits is None else limits
     return (moments(population, keys)
-            .join(ecdf_distances(ranks, keys), keys, "left")
-            .join(js_distance(histogram(ranks, limits, keys), keys), keys, "left"))
+            .join(ecdf_distances(ranks), keys, "left")
+            .join(js_distance(histogram(ranks, limits), keys), keys, "left"))
 
 
 # ---------------------------------------------------------------- joint distributions
@@ -240,7 +256,7 @@ def joint_limits(pairs: DataFrame, keys=("config", "pair")) -> DataFrame:
     keys = list(keys)
     axis_keys = [*keys, "axis"]
     values = pairs.unpivot([*keys, "side"], ["x", "y"], "axis", "v")
-    lim = pooled_limits(rank_table(values, axis_keys), axis_keys)
+    lim = pooled_limits(rank_table(values, axis_keys))
     return lim.groupBy(*keys).agg(*[
         F.max(F.when(F.col("axis") == a, F.col(e))).alias(f"{a}_{e}") for a in ("x", "y") for e in ("lo", "hi")])
 

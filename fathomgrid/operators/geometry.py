@@ -152,15 +152,6 @@ def hull_edges(positions: DataFrame, eps: float = 1e-12) -> DataFrame:
                     F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1")))
 
 
-def inside_hull(vertices: Column, lon: Column, lat: Column) -> Column:
-    """True strictly inside an anticlockwise polygon; points on an edge are outside."""
-    n = F.size(vertices)
-    def left_of(i):
-        a, b = F.element_at(vertices, i), F.element_at(vertices, F.pmod(i, n) + 1)
-        return turn(a["lon"], a["lat"], b["lon"], b["lat"], lon, lat) > 0
-    return F.forall(F.sequence(F.lit(1), n), left_of)
-
-
 def _index_range(df: DataFrame, grid: Grid, axis: str, lo: str, hi: str, first: str, last: str) -> DataFrame:
     """Add the first and last axis index inside [lo, hi]; rows without any are dropped."""
     a, b, _ = grid.extents[axis]
@@ -185,34 +176,48 @@ def box_spans(grid: Grid, positions: DataFrame, margin: float = BOX_MARGIN_DEG)
     return df.select("config", "iy0", "iy1", "ix0", "ix1", n.alias("n_point"))
 
 
-def _unfold(grid: Grid, spans: DataFrame) -> DataFrame:
-    """One row per cell of each box, with its position.
+def _rows_of(grid: Grid, spans: DataFrame) -> DataFrame:
+    """One row per grid row of each box, with its latitude, spread over the cluster.
 
-    Rows are spread over tasks before their columns are listed, so one wide array does
-    not unfold inside a single task.
+    Columns are listed only after that, so one wide array does not unfold in a single task.
     """
-    rows = (spans.select("config", "ix0", "ix1", F.explode(F.sequence("iy0", "iy1")).alias("iy"))
-            .repartition("config", "iy"))
-    cells = rows.select("config", "iy", F.explode(F.sequence("ix0", "ix1")).alias("ix"))
-    return (cells.join(grid.nodes("YC", "iy", "lat"), "iy").join(grid.nodes("XC", "ix", "lon"), "ix")
-            .select("config", "iy", "ix", "lat", "lon"))
+    keep = [c for c in spans.columns if c not in ("iy0", "iy1", "n_point")]
+    return (spans.select(*keep, F.explode(F.sequence("iy0", "iy1")).alias("iy"))
+            .repartition("config", "iy").join(grid.nodes("YC", "iy", "lat"), "iy"))
+
+
+def _columns_of(grid: Grid, rows: DataFrame) -> DataFrame:
+    cells = rows.withColumn("ix", F.explode(F.sequence("ix0", "ix1")))
+    return cells.join(grid.nodes("XC", "ix", "lon"), "ix")
 
 
 def box_cells(grid: Grid, positions: DataFrame, margin: float = BOX_MARGIN_DEG) -> DataFrame:
     """(config, iy, ix, lat, lon): every tracer cell centre in each array's box."""
-    return _unfold(grid, box_spans(grid, positions, margin))
+    rows = _rows_of(grid, box_spans(grid, positions, margin))
+    return _columns_of(grid, rows).select("config", "iy", "ix", "lat", "lon")
 
 
 def hull_cells(grid: Grid, positions: DataFrame) -> DataFrame:
-    """Durable (config, iy, ix, lat, lon): tracer cell centres inside each array's hull.
+    """Durable (config, iy, ix, lat, lon): tracer cell centres strictly inside each array's hull.
 
-    The hull's own box bounds the candidates, the polygon test runs only on those. The
-    result has no time or depth and feeds several operators, so it is written once.
+    Scan lines: on a line of latitude the hull reaches from its falling to its rising edge
+    (interior on the left), so each grid row is cut once and only the columns between the
+    two ends are listed. The result has no time or depth and feeds several operators, so
+    it is written once.
     """
-    hulls = durable(hull_vertices(positions), "hulls")
-    points = hulls.select("config", F.inline("vertices"))
-    inside = (_unfold(grid, box_spans(grid, points, margin=0))
-              .join(hulls, "config")
-              .filter(inside_hull(F.col("vertices"), F.col("lon"), F.col("lat")))
+    box = hull_bbox(positions, margin=0)
+    lines = _index_range(box, grid, "YC", "lat_min", "lat_max", "iy0", "iy1")
+    rows = (_rows_of(grid, lines.select("config", "iy0", "iy1", "lat_min", "lat_max"))
+            .filter((F.col("lat") > F.col("lat_min")) & (F.col("lat") < F.col("lat_max"))))
+    rise, lat = F.col("y1") - F.col("y0"), F.col("lat")
+    at = F.col("x0") + (F.col("x1") - F.col("x0")) * (lat - F.col("y0")) / rise
+    edges = hull_edges(positions).filter("y0 <> y1")
+    cut = (rows.join(edges, "config")
+           .filter(lat.between(F.least("y0", "y1"), F.greatest("y0", "y1")))
+           .groupBy("config", "iy", "lat")
+           .agg(F.max(F.when(rise < 0, at)).alias("west"), F.min(F.when(rise > 0, at)).alias("east"))
+           .filter(F.col("west") < F.col("east")))
+    inside = (_columns_of(grid, _index_range(cut, grid, "XC", "west", "east", "ix0", "ix1"))
+              .filter((F.col("lon") > F.col("west")) & (F.col("lon") < F.col("east")))
               .select("config", "iy", "ix", "lat", "lon"))
     return durable(inside, "hull-cells")

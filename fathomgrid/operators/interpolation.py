@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import BROADCAST_ROWS, inside_ranges, measured
+from ..durable import BROADCAST_ROWS, durable, inside_ranges, measured
 from ..functions.columns import interface, layer_mid
 from ..grid import Grid
 from ..model import ALIAS, CELL_KEYS, GRID
@@ -88,7 +88,7 @@ def apply_weights(cells: DataFrame, horizontal: DataFrame, vertical: DataFrame,
     combined map-side.
     """
     ids = list(ids)
-    horizontal, in_box = _small(horizontal, "iy", "ix")
+    horizontal, in_box = _small(durable(horizontal, "weights"), "iy", "ix")
     vertical, in_levels = _small(vertical, "iz")
     used = sorted({t[0] for terms in outputs.values() for t in terms})
     joined = (cells.filter(in_box & in_levels).select(*times, *CELL_KEYS, *used)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import join_checked
+from ..durable import durable, join_checked
 from ..functions.columns import interface, layer_mid
 from ..grid import Grid
 from ..model import EARTH_RADIUS_M, levels_in
@@ -95,20 +95,21 @@ def array_divergence(cells: DataFrame, grid: Grid, positions: DataFrame,
     ids = ["config", "glider"]
     variables = ("UVEL", "VVEL")
     corners = point_weights_long(grid, positions.select(*ids, "lat", "lon"), ids, variables)
+    # every sensor must have a stencil, otherwise the array's fit is missing
     fitted = corners.join(planefit_weights(positions), ids)
     u, v = stencil_of("UVEL"), stencil_of("VVEL")
     gradient = F.when(F.col("kind") == u, F.col("wx")).otherwise(F.col("wy"))
-    per_cell = fitted.groupBy("config", "iy", "ix").agg(*[
-        F.sum(F.when(F.col("kind") == k, F.col("w") * gradient)).alias(f"hw_{k}") for k in (u, v)])
-    # every sensor must have a stencil at all, otherwise the fit is missing
-    reach = fitted.groupBy("config").agg(
-        *[F.count_distinct(F.when(F.col("kind") == k, F.col("glider"))).alias(f"r_{k}") for k in (u, v)],
+    per_cell = fitted.groupBy("config", "iy", "ix").agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("w") * gradient)).alias(f"hw_{k}") for k in (u, v)],
+        # a sensor with n sources adds 1/n for each: the sum counts sensors that have a stencil
+        *[F.sum(F.when(F.col("kind") == k, 1 / F.col("n"))).alias(f"reach_{k}") for k in (u, v)],
         F.max("n_glider").alias("n_glider"))
-    sources = per_cell.groupBy("config").agg(
-        *[F.count(f"hw_{k}").alias(f"hn_{k}") for k in (u, v)])
-    full = (F.col(f"r_{u}") == F.col("n_glider")) & (F.col(f"r_{v}") == F.col("n_glider"))
-    usable = sources.join(reach, "config").filter(full).select("config", f"hn_{u}", f"hn_{v}")
-    horizontal = per_cell.join(usable, "config")
+    per_cell = durable(per_cell, "fit-weights")
+    everyone = [F.sum(f"reach_{k}") == F.max("n_glider") for k in (u, v)]
+    usable = (per_cell.groupBy("config")
+              .agg(*[F.count(f"hw_{k}").alias(f"hn_{k}") for k in (u, v)], (everyone[0] & everyone[1]).alias("full"))
+              .filter("full").drop("full"))
+    horizontal = per_cell.drop(f"reach_{u}", f"reach_{v}", "n_glider").join(usable, "config")
     vertical = level_weights(grid, obs_levels(cells.sparkSession, max_depth, dz), {"Z"})
     terms = [(var, f"hw_{k}", f"hn_{k}", "Z") for var, k in (("UVEL", u), ("VVEL", v))]
     return apply_weights(cells, horizontal, vertical, ["config"], {"div": terms})

@@ -85,19 +85,19 @@ class FieldComparison:
         return D.field_population(wide, FIELDS).unionByName(D.field_population(div, ["divergence"]))
 
     @cached_property
-    def ranks(self) -> DataFrame:
+    def ranks(self) -> D.Ranks:
         return D.rank_table(self.population, ["config", "field"])
 
     @cached_property
     def limits(self) -> DataFrame:
-        return durable(D.pooled_limits(self.ranks, ["config", "field"]), "limits")
+        return D.pooled_limits(self.ranks)
 
     def field_stats(self) -> DataFrame:
         return D.dist_stats(self.population, ["config", "field"], self.ranks, self.limits)
 
     def field_pdfs(self) -> DataFrame:
         keys = ["config", "field"]
-        return D.histogram_density(D.histogram(self.ranks, self.limits, keys), self.limits, keys)
+        return D.histogram_density(D.histogram(self.ranks, self.limits), self.limits, keys)
 
     @cached_property
     def pairs(self) -> DataFrame:
