@@ -48,6 +48,15 @@ def sigma0(salinity: Column, temperature: Column) -> Column:
             - F.lit(1000.0))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows where both are present; NULL if either is constant.
+
+    (The built-in aggregate raises a division error for constant input in ANSI mode.)
+    """
+    spread = F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(spread))
+
+
 def turn(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
     """Positive when p lies left of the directed line from a to b."""
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import SALTS, durable, join_checked
-from ..functions.columns import histogram_bin, is_finite
+from ..functions.columns import correlation, histogram_bin, is_finite
 from ..model import HIST_BINS, HIST_PROBS
 
 SIDES = ("obs", "true")
@@ -138,13 +138,15 @@ def rank_percentiles(ranks: Ranks, probs: dict) -> DataFrame:
              .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))))
     # one row per range: the few ranks asked of it, as an array of at most 2 * len(probs)
     per_range = asked.groupBy(*keys, "bucket").agg(
-        F.max("before").alias("before"), F.collect_list(F.struct("name", "t", "end", "rank")).alias("asked"))
+        F.max("before").alias("before"), F.min("rank").alias("lowest"), F.max("rank").alias("highest"),
+        F.collect_list(F.struct("name", "t", "end", "rank")).alias("asked"))
     upto = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.col("n_obs") + F.col("n_true")
     last = F.col("before") + F.sum(n).over(upto)
     hits = (join_checked(ranks.rows, per_range, [*keys, "bucket"], ranks.n_offsets)
             .withColumn("last", last)
             .withColumn("first", F.col("last") - n)
+            .filter((F.col("last") > F.col("lowest")) & (F.col("first") <= F.col("highest")))
             .select(*keys, "v", F.inline(F.filter(
                 "asked", lambda a: (a["rank"] >= F.col("first")) & (a["rank"] < F.col("last"))))))
     # below: at most 2 * len(probs) rows per key
@@ -278,7 +280,7 @@ def covariances(pairs: DataFrame, keys=("config", "pair")) -> DataFrame:
     """(keys..., cov_obs, cov_true, corr_obs, corr_true); n - 1 covariance."""
     return pairs.groupBy(*keys).agg(*[
         f(on_side(s, F.col("x")), on_side(s, F.col("y"))).alias(f"{n}_{s}")
-        for n, f in (("cov", F.covar_samp), ("corr", F.corr)) for s in SIDES])
+        for n, f in (("cov", F.covar_samp), ("corr", correlation)) for s in SIDES])
 
 
 def thin(rows: DataFrame, keys, order: Column, max_points: int = 30000) -> DataFrame:

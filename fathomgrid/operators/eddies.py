@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import group_stats_join
-from ..functions.columns import layer_mid
+from ..functions.columns import correlation, layer_mid
 from ..model import TRACERS
 from .interpolation import interfaces_to_layers
 from .velocity import hull_mean
@@ -114,4 +114,4 @@ def flux_profile_stats(array_flux: DataFrame, areamean_flux: DataFrame, model_fl
             .join(flux_rows(model_flux, "total", dz).drop("obs_depth"), keys))
     return rows.groupBy("config", "flux").agg(
         F.avg("array").alias("array_dmean"), F.avg("areamean").alias("areamean_dmean"),
-        F.avg("total").alias("total_dmean"), F.corr("array", "areamean").alias("r_array_areamean"))
+        F.avg("total").alias("total_dmean"), correlation(F.col("array"), F.col("areamean")).alias("r_array_areamean"))

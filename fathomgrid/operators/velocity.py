@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable, join_checked
-from ..functions.columns import interface, layer_mid
+from ..functions.columns import correlation, interface, layer_mid
 from ..grid import Grid
 from ..model import EARTH_RADIUS_M, levels_in
 from .geometry import hull_cells, interface_levels, obs_levels
@@ -237,5 +237,5 @@ def divergence_correlation(estimated: DataFrame, true: DataFrame, keys=("config"
     pairs = (estimated.select(*keys, "time", "k", F.col("div").alias("e"))
              .join(true.select(*keys, "time", "k", F.col("div").alias("m")), [*keys, "time", "k"]))
     gap = F.count_if(F.col("e").isNull() | F.col("m").isNull())
-    return pairs.groupBy(*keys).agg(F.corr("e", "m").alias("c"), gap.alias("gaps")).select(
+    return pairs.groupBy(*keys).agg(correlation(F.col("e"), F.col("m")).alias("c"), gap.alias("gaps")).select(
         *keys, F.when(F.col("gaps") == 0, F.col("c")).alias("div_corr"))

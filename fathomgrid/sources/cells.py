@@ -15,6 +15,10 @@ CELL_SCHEMA = (
 )
 
 
+# Folder columns of a stored cell table: the snapshots a folder may hold.
+PARTS = ("iter_from", "iter_to")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cell table from Parquet (column pruning and range predicates reach the files)."""
     return spark.read.schema(CELL_SCHEMA).parquet(path)
@@ -26,11 +30,12 @@ def write_cells(cells: DataFrame, path: str, iters_per_part: int = 288) -> None:
     Snapshot ranges become folders; inside them files are ranges of rows and columns,
     so a box around an array touches few row groups.
     """
-    part = F.floor(F.col("iter") / iters_per_part).cast("int")
-    (cells.withColumn("iter_part", part)
-     .repartitionByRange("iter_part", "iy", "ix", "iter")
-     .sortWithinPartitions("iter_part", "iy", "ix", "iz", "iter")
-     .write.partitionBy("iter_part").parquet(path))
+    first = (F.floor(F.col("iter") / iters_per_part) * iters_per_part).cast("int")
+    (cells.withColumn("iter_from", first)
+     .withColumn("iter_to", F.col("iter_from") + (iters_per_part - 1))
+     .repartitionByRange("iter_from", "iy", "ix", "iter")
+     .sortWithinPartitions("iter_from", "iy", "ix", "iz", "iter")
+     .write.partitionBy(*PARTS).parquet(path))
 
 
 def load_model(cells: DataFrame, iters=None, ref_date: str = "2012-10-01",
@@ -38,20 +43,22 @@ def load_model(cells: DataFrame, iters=None, ref_date: str = "2012-10-01",
     """Select snapshots, stamp their time, and turn fill values into NULL.
 
     Only data columns are masked, never the cell indices. `iters` is a range or list of
-    snapshot numbers; a range becomes a comparison the scan can use.
+    snapshot numbers; its bounds skip folders and row groups of a stored table.
     """
     df = cells
-    if isinstance(iters, range):
+    if iters is not None:
         lo, hi = min(iters), max(iters)
         df = df.filter(F.col("iter").between(lo, hi))
-        if abs(iters.step) > 1:
+        if set(PARTS) <= set(df.columns):
+            df = df.filter((F.col("iter_to") >= lo) & (F.col("iter_from") <= hi))
+        if not isinstance(iters, range):
+            df = df.filter(F.col("iter").isin([int(i) for i in iters]))
+        elif abs(iters.step) > 1:
             df = df.filter((F.col("iter") - lo) % abs(iters.step) == 0)
-    elif iters is not None:
-        df = df.filter(F.col("iter").isin([int(i) for i in iters]))
     seconds = (F.col("iter") * F.lit(int(delta_t))).cast("decimal(18,6)")
     time = F.lit(ref_date).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
     data = [c for c in df.columns if c in GRID]
-    rest = [c for c in df.columns if c not in GRID]
+    rest = [c for c in df.columns if c not in GRID and c not in PARTS]
     return df.select(*rest, time.alias("time"),
                      *[missing_to_null(F.col(c), fill).alias(c) for c in data])
 

@@ -51,8 +51,9 @@ def pinv_gradients(rows):
 def test_fit_weights_match_the_pseudo_inverse(spark, rows):
     got = V.planefit_weights(positions_df(spark, rows)).orderBy("glider").toPandas()
     want = pinv_gradients(rows)
-    assert np.allclose(got["wx"], want[0], rtol=1e-6, atol=1e-14)
-    assert np.allclose(got["wy"], want[1], rtol=1e-6, atol=1e-14)
+    # on a line the truncated decomposition itself is only good to about 1e-10
+    assert np.allclose(got["wx"], want[0], rtol=1e-6, atol=2e-10)
+    assert np.allclose(got["wy"], want[1], rtol=1e-6, atol=2e-10)
 
 
 def test_one_missing_sensor_kills_its_level_and_all_deeper_w(spark):
