@@ -162,8 +162,7 @@ def model_region(spark, d):
 
 @query
 def vertical_interp(spark, d):
-    levels = G.interface_levels(spark, X.MAX_DEPTH, X.DZ)
-    return I.interp_levels(X.cells(spark, d), X.grid(spark), ["WVEL"], levels)
+    return I.interp_levels(X.cells(spark, d), X.grid(spark), ["WVEL"], levels=G.interface_levels, **DEPTH)
 
 
 @query

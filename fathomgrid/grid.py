@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,13 @@ class Grid:
 
     axes: DataFrame
     metrics: DataFrame | None = None
+    _tables: dict = field(default_factory=dict, repr=False)
+
+    def once(self, key, make):
+        """A small result that depends on the grid alone, made on first use."""
+        if key not in self._tables:
+            self._tables[key] = make()
+        return self._tables[key]
 
     @cached_property
     def extents(self) -> dict[str, tuple[float, float, float]]:

@@ -123,39 +123,39 @@ def rank_percentiles(ranks: Ranks, probs: dict) -> DataFrame:
     so only ranges that hold one of them are shuffled and sorted.
     """
     keys = ranks.keys
-    o = ranks.offsets.select(
-        *keys, "bucket", (F.col("before_obs") + F.col("before_true")).alias("before"),
-        (F.col("b_obs") + F.col("b_true")).alias("size"),
-        (F.col("all_obs") + F.col("all_true")).alias("total"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()])
-    spot = (F.col("total") - 1) * F.col("p")
-    low = F.floor(spot)
-    high = F.least(low + 1, F.col("total") - 1)
-    asked = (o.select("*", F.inline(wanted))
-             .select(*keys, "bucket", "before", "size", "name", (spot - low).alias("t"),
-                     F.inline(F.array(F.struct(F.lit(0).alias("end"), low.alias("rank")),
-                                      F.struct(F.lit(1).alias("end"), high.alias("rank")))))
-             .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))))
-    # one row per range: the few ranks asked of it, as an array of at most 2 * len(probs)
-    per_range = asked.groupBy(*keys, "bucket").agg(
-        F.max("before").alias("before"), F.min("rank").alias("lowest"), F.max("rank").alias("highest"),
-        F.collect_list(F.struct("name", "t", "end", "rank")).alias("asked"))
+    before = F.col("before_obs") + F.col("before_true")
+    size = F.col("b_obs") + F.col("b_true")
+    last_rank = F.col("all_obs") + F.col("all_true") - 1
+    ends = []
+    for name, p in probs.items():
+        low = F.floor(last_rank * F.lit(float(p)))
+        for end, rank in ((0, low), (1, F.least(low + 1, last_rank))):
+            ends.append(F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), rank.alias("rank"),
+                                 (last_rank * F.lit(float(p)) - low).alias("t")))
+    # the few ranks that fall into each range; most ranges have none and drop out
+    per_range = ranks.offsets.select(
+        *keys, "bucket", before.alias("before"), F.filter(
+            F.array(*ends), lambda a: (a["rank"] >= before) & (a["rank"] < before + size)).alias("asked"))
+    asked_rank = F.transform("asked", lambda a: a["rank"])
+    per_range = per_range.filter(F.size("asked") > 0).select(
+        "*", F.array_min(asked_rank).alias("lowest"), F.array_max(asked_rank).alias("highest"))
     upto = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.col("n_obs") + F.col("n_true")
-    last = F.col("before") + F.sum(n).over(upto)
     hits = (join_checked(ranks.rows, per_range, [*keys, "bucket"], ranks.n_offsets)
-            .withColumn("last", last)
+            .withColumn("last", F.col("before") + F.sum(n).over(upto))
             .withColumn("first", F.col("last") - n)
             .filter((F.col("last") > F.col("lowest")) & (F.col("first") <= F.col("highest")))
             .select(*keys, "v", F.inline(F.filter(
                 "asked", lambda a: (a["rank"] >= F.col("first")) & (a["rank"] < F.col("last"))))))
-    # below: at most 2 * len(probs) rows per key
-    ends = hits.groupBy(*keys, "name").agg(
-        F.max("t").alias("t"), F.max(F.when(F.col("end") == 0, F.col("v"))).alias("a"),
-        F.max(F.when(F.col("end") == 1, F.col("v"))).alias("b"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("t")
-    return (ends.withColumn("value", value).groupBy(*keys)
-            .agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in probs]))
+
+    def of(name, end, value):
+        return F.max(F.when((F.col("name") == name) & (F.col("end") == end), F.col(value)))
+
+    def percentile(name):
+        a, b = of(name, 0, "v"), of(name, 1, "v")
+        return (a + (b - a) * of(name, 0, "t")).alias(name)
+
+    return hits.groupBy(*keys).agg(*[percentile(name) for name in probs])
 
 
 def exact_percentiles(values: DataFrame, keys, probs: dict) -> DataFrame:

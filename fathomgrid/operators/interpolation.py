@@ -59,13 +59,21 @@ def point_weights(grid: Grid, targets: DataFrame, ids, variables) -> DataFrame:
                  sorted({stencil_of(v) for v in variables}), "h")
 
 
-def level_weights(grid: Grid, levels: DataFrame, zaxes) -> DataFrame:
+def level_weights(grid: Grid, levels: DataFrame) -> DataFrame:
     """Linear weights in depth: (k, iz, zw_<axis>, zn_<axis>). levels: (k, z)."""
-    kinds = F.array(*[F.struct(F.lit(a).alias("kind"), grid.strip(a, F.col("z")).alias("zs"))
-                      for a in sorted(zaxes)])
-    filed = levels.select("k", "z", F.inline(kinds))
-    found = grid.interpolated(filed, "kind", "zs", "z", "iz", "w", "n")
-    return _wide(found, ["k"], ["iz"], sorted(zaxes), "z")
+    zaxes = sorted({g[2] for g in GRID.values()} & set(grid.extents))
+    kinds = F.array(*[F.struct(F.lit(a).alias("kind"), grid.strip(a, F.col("z")).alias("zs")) for a in zaxes])
+    found = grid.interpolated(levels.select("k", "z", F.inline(kinds)), "kind", "zs", "z", "iz", "w", "n")
+    return _wide(found, ["k"], ["iz"], zaxes, "z")
+
+
+def _vertical(cells: DataFrame, grid: Grid, levels, max_depth: float, dz: float, zaxes):
+    """Hinted level weights on the given axes and their scan range, the same for every use of a grid."""
+    key = (levels.__name__, max_depth, dz)
+    table = grid.once(key, lambda: durable(
+        level_weights(grid, levels(cells.sparkSession, max_depth, dz)), "levels"))
+    used = F.greatest(*[F.coalesce(f"zn_{a}", F.lit(0)) for a in sorted(zaxes)], F.lit(0)) > 0
+    return grid.once((*key, *sorted(zaxes)), lambda: _small(table.filter(used), "iz"))
 
 
 def _small(weights: DataFrame, *cols: str):
@@ -75,8 +83,8 @@ def _small(weights: DataFrame, *cols: str):
     return hinted, inside_ranges(size, *cols)
 
 
-def apply_weights(cells: DataFrame, horizontal: DataFrame, vertical: DataFrame, ids, outputs,
-                  times=("time",)) -> DataFrame:
+def apply_weights(cells: DataFrame, grid: Grid, horizontal: DataFrame, ids, outputs, max_depth: float,
+                  dz: float, levels=obs_levels, times=("time",)) -> DataFrame:
     """The kernel: sum of weight * value per (times, ids, k).
 
     outputs maps a result column to the list of (variable, horizontal weight column,
@@ -89,7 +97,8 @@ def apply_weights(cells: DataFrame, horizontal: DataFrame, vertical: DataFrame,
     """
     ids = list(ids)
     horizontal, in_box = _small(durable(horizontal, "weights"), "iy", "ix")
-    vertical, in_levels = _small(vertical, "iz")
+    zaxes = {t[3] for terms in outputs.values() for t in terms}
+    vertical, in_levels = _vertical(cells, grid, levels, max_depth, dz, zaxes)
     used = sorted({t[0] for terms in outputs.values() for t in terms})
     joined = (cells.filter(in_box & in_levels).select(*times, *CELL_KEYS, *used)
               .join(horizontal, ["iy", "ix"]).join(vertical, ["iz"]))
@@ -123,9 +132,7 @@ def sample_fields(cells: DataFrame, grid: Grid, positions: DataFrame,
     """
     ids = ["config", "glider", "lat", "lon"]
     horizontal = point_weights(grid, positions, ids, variables)
-    vertical = level_weights(grid, obs_levels(cells.sparkSession, max_depth, dz),
-                             {GRID[v][2] for v in variables})
-    return (apply_weights(cells, horizontal, vertical, ids, _plain_outputs(variables))
+    return (apply_weights(cells, grid, horizontal, ids, _plain_outputs(variables), max_depth, dz)
             .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
 
 
@@ -142,28 +149,24 @@ def model_region(cells: DataFrame, grid: Grid, positions: DataFrame,
     hull = hull_cells(grid, positions) if hull is None else hull
     centres = hull.withColumnsRenamed({"iy": "ty", "ix": "tx"})
     horizontal = point_weights(grid, centres, ids, variables)
-    vertical = level_weights(grid, obs_levels(cells.sparkSession, max_depth, dz),
-                             {GRID[v][2] for v in variables})
-    values = apply_weights(cells, horizontal, vertical, ids, _plain_outputs(variables))
+    values = apply_weights(cells, grid, horizontal, ids, _plain_outputs(variables), max_depth, dz)
     return (with_cell_position(values.withColumnsRenamed({"ty": "iy", "tx": "ix"}), grid)
             .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
 
 
 def with_cell_position(df: DataFrame, grid: Grid) -> DataFrame:
     """Add lat, lon of tracer cell centres (two one-dimensional lookups)."""
-    (yc, _), (xc, _) = _small(grid.nodes("YC", "iy", "lat"), "iy"), _small(grid.nodes("XC", "ix", "lon"), "ix")
-    return df.join(yc, "iy").join(xc, "ix")
+    return df.join(grid.nodes("YC", "iy", "lat"), "iy").join(grid.nodes("XC", "ix", "lon"), "ix")
 
 
-def interp_levels(cells: DataFrame, grid: Grid, variables, levels: DataFrame,
-                  columns: DataFrame | None = None) -> DataFrame:
-    """Depth interpolation only: (iy, ix, time, k, values).
+def interp_levels(cells: DataFrame, grid: Grid, variables, max_depth: float, dz: float,
+                  columns: DataFrame | None = None, levels=obs_levels) -> DataFrame:
+    """Depth interpolation only, to layers or (levels=interface_levels) interfaces.
 
-    columns, if given, restricts to those (iy, ix) and may repeat them under a config.
+    (iy, ix, time, k, values). columns, if given, restricts to those (iy, ix) and may
+    repeat them under a config.
     """
-    zaxes = {GRID[v][2] for v in variables}
-    vertical = level_weights(grid, levels, zaxes)
-    vertical, in_levels = _small(vertical, "iz")
+    vertical, in_levels = _vertical(cells, grid, levels, max_depth, dz, {GRID[v][2] for v in variables})
     ids, src = ["iy", "ix"], cells.filter(in_levels)
     if columns is not None:
         columns, in_box = _small(columns, "iy", "ix")
@@ -198,6 +201,6 @@ def centroid_w(cells: DataFrame, grid: Grid, positions: DataFrame,
     """Model W at each array's centroid and the interface depths: (config, time, k, w_model)."""
     centre = positions.groupBy("config").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     horizontal = point_weights(grid, centre, ["config"], ["WVEL"])
-    vertical = level_weights(grid, interface_levels(cells.sparkSession, max_depth, dz), {"Zl"})
-    return (apply_weights(cells, horizontal, vertical, ["config"], _plain_outputs(["WVEL"]))
+    return (apply_weights(cells, grid, horizontal, ["config"], _plain_outputs(["WVEL"]), max_depth, dz,
+                          interface_levels)
             .withColumnRenamed("W", "w_model").withColumn("depth", interface(F.col("k"), dz)))

@@ -11,9 +11,8 @@ from ..durable import durable, join_checked
 from ..functions.columns import correlation, interface, layer_mid
 from ..grid import Grid
 from ..model import EARTH_RADIUS_M, levels_in
-from .geometry import hull_cells, interface_levels, obs_levels
-from .interpolation import (apply_weights, centroid_w, interp_levels, level_weights,
-                            point_weights_long, stencil_of)
+from .geometry import hull_cells, interface_levels
+from .interpolation import apply_weights, centroid_w, interp_levels, point_weights_long, stencil_of
 
 RANK_EPS = 1e-12
 
@@ -110,9 +109,8 @@ def array_divergence(cells: DataFrame, grid: Grid, positions: DataFrame,
               .agg(*[F.count(f"hw_{k}").alias(f"hn_{k}") for k in (u, v)], (everyone[0] & everyone[1]).alias("full"))
               .filter("full").drop("full"))
     horizontal = per_cell.drop(f"reach_{u}", f"reach_{v}", "n_glider").join(usable, "config")
-    vertical = level_weights(grid, obs_levels(cells.sparkSession, max_depth, dz), {"Z"})
     terms = [(var, f"hw_{k}", f"hn_{k}", "Z") for var, k in (("UVEL", u), ("VVEL", v))]
-    return apply_weights(cells, horizontal, vertical, ["config"], {"div": terms})
+    return apply_weights(cells, grid, horizontal, ["config"], {"div": terms}, max_depth, dz)
 
 
 def layer_thickness(samples: DataFrame) -> DataFrame:
@@ -171,8 +169,7 @@ def model_w(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth: float
     if spatial_mean:
         hull = hull_cells(grid, positions) if hull is None else hull
         columns = hull.select("config", "iy", "ix")
-        levels = interface_levels(cells.sparkSession, max_depth, dz)
-        w = hull_mean(interp_levels(cells, grid, ["WVEL"], levels, columns), ["W"])
+        w = hull_mean(interp_levels(cells, grid, ["WVEL"], max_depth, dz, columns, interface_levels), ["W"])
         w = w.withColumnRenamed("W", "w_model").withColumn("depth", interface(F.col("k"), dz))
     else:
         w = centroid_w(cells, grid, positions, max_depth, dz)
@@ -210,9 +207,8 @@ def cell_divergence(cells: DataFrame, grid: Grid, columns: DataFrame,
                     max_depth: float = 70, dz: float = 2) -> DataFrame:
     """Flux divergence at each given cell and observation level: (config, iy, ix, time, k, div)."""
     horizontal = flux_divergence_weights(grid.metrics, columns)
-    vertical = level_weights(grid, obs_levels(cells.sparkSession, max_depth, dz), {"Z"})
     terms = [(v, f"hw_{stencil_of(v)}", f"hn_{stencil_of(v)}", "Z") for v in ("UVEL", "VVEL")]
-    return (apply_weights(cells, horizontal, vertical, ["config", "ty", "tx"], {"div": terms})
+    return (apply_weights(cells, grid, horizontal, ["config", "ty", "tx"], {"div": terms}, max_depth, dz)
             .withColumnsRenamed({"ty": "iy", "tx": "ix"}))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -55,6 +56,16 @@ class FieldComparison:
                                 ("WVEL", "UVEL", "VVEL", "THETA", "SALT"), self.max_depth, self.dz, self.hull)
         return durable(add_density(region), "region")
 
+    def prepare(self) -> "FieldComparison":
+        """Write the tables that do not depend on each other at the same time.
+
+        Their jobs share the cluster instead of each leaving its tail idle.
+        """
+        _ = self.hull, self.grid.spans
+        with ThreadPoolExecutor(3) as pool:
+            list(pool.map(lambda name: getattr(self, name), ("true_raw", "obs_raw", "div_true")))
+        return self
+
     @cached_property
     def obs(self) -> DataFrame:
         return E.eddy_anomalies(self.obs_raw, ["config", "glider", "k"])
@@ -80,6 +91,7 @@ class FieldComparison:
     @cached_property
     def population(self) -> DataFrame:
         """(config, side, field, v) of the five fields and of divergence."""
+        self.prepare()
         wide = D.pooled(self.obs_raw, self.true_raw, ["config", *FIELDS])
         div = D.pooled(self.div_obs, self.div_true, ["config", F.col("div").alias("divergence")])
         return D.field_population(wide, FIELDS).unionByName(D.field_population(div, ["divergence"]))
@@ -139,6 +151,7 @@ class FieldComparison:
 
     def stats_record(self, tstep: int = 1) -> DataFrame:
         """One nested record per array, the shape the JSON sink writes."""
+        self.prepare()
         stats = self.field_stats()
         fields = stats.groupBy("config").agg(F.map_from_entries(F.collect_list(F.struct(
             "field", F.struct(*[c for c in stats.columns if c not in ("config", "field")])))).alias("fields"))

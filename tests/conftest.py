@@ -12,6 +12,7 @@ from checks.compare import session  # noqa: E402
 def spark(tmp_path_factory):
     spark = session("8")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield spark
     spark.stop()

@@ -157,4 +157,5 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
 
 
 def test_shared_folder_is_the_clusters(spark, tmp_path):
-    assert durable_module.durable_root(spark) == spark.sparkContext.getCheckpointDir().rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert durable_module.durable_root(spark) == named.rstrip("/")
