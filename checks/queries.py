@@ -18,6 +18,7 @@ from fathomgrid.operators import velocity as V
 from fathomgrid.plans.domain_mean import velocity_map as array_map
 from fathomgrid.plans.field_comparison import FieldComparison
 from fathomgrid.plans.vertical_velocity import bias_tables, w_comparison, w_comparison_tables
+from fathomgrid.plans.vertical_velocity import w_limits as limits_of
 from fathomgrid.sources import arrays, cells as C
 
 from . import fixtures as X
@@ -198,7 +199,7 @@ def planefit_baroclinic(spark, d):
 
 @query
 def w_from_div(spark, d):
-    return V.planefit_w(_event_samples(spark, d), X.circle(spark), X.MAX_DEPTH, X.DZ)[0]
+    return V.planefit_w(_event_samples(spark, d), X.circle(spark), dz=X.DZ)[0]
 
 
 def _model_w(spark, d, **kw):
@@ -247,7 +248,7 @@ def w_at_point_depth(spark, d):
 
 @query
 def w_limits(spark, d):
-    return w_comparison_tables(_comparison(spark, d))["limits"]
+    return limits_of(_comparison(spark, d))
 
 
 @query

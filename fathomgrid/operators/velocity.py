@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..durable import durable, join_checked
 from ..functions.columns import correlation, interface, layer_mid
 from ..grid import Grid
-from ..model import EARTH_RADIUS_M, levels_in
+from ..model import EARTH_RADIUS_M
 from .geometry import hull_cells, interface_levels
 from .interpolation import apply_weights, centroid_w, interp_levels, point_weights_long, stencil_of
 
@@ -121,29 +121,38 @@ def layer_thickness(samples: DataFrame) -> DataFrame:
         F.coalesce(F.abs(second - first), F.abs(first) * 2).alias("dz"))
 
 
-def w_from_divergence(div: DataFrame, dz: float, keys=("config", "time")) -> DataFrame:
+def w_from_divergence(div: DataFrame, dz: float | Column, keys=("config", "time")) -> DataFrame:
     """Integrate divergence downward from w = 0 at the surface: (keys..., k, w_est, depth).
 
     Interface k + 1 lies below layer k. A missing layer makes every deeper interface
-    missing. The window holds one profile.
+    missing. The window holds one profile. dz is a number or a column of div.
     """
+    step = dz if isinstance(dz, Column) else F.lit(float(dz))
     profile = Window.partitionBy(*keys).orderBy("k")
     above = profile.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     complete = F.count("div").over(above) == F.col("k") + 1
-    w = F.when(complete, F.sum(F.col("div") * F.lit(float(dz))).over(above))
-    surface = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("w_est"))
-    below = F.struct((F.col("k") + 1).cast("int").alias("k"), F.col("w").alias("w_est"))
+    w = F.when(complete, F.sum(F.col("div") * step).over(above))
+    surface = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("w_est"), F.lit(0.0).alias("depth"))
+    below = F.struct((F.col("k") + 1).cast("int").alias("k"), F.col("w").alias("w_est"),
+                     (F.lit(0.0) - (F.col("k") + 1) * step).alias("depth"))
     steps = F.when(F.col("rank") == 1, F.array(surface, below)).otherwise(F.array(below))
     return (div.withColumn("w", w).withColumn("rank", F.row_number().over(profile))
-            .select(*keys, F.inline(steps))
-            .withColumn("depth", interface(F.col("k"), dz)))
+            .select(*keys, F.inline(steps)))
 
 
-def planefit_w(samples: DataFrame, positions: DataFrame, max_depth: float, dz: float,
-               remove_barotropic: bool = False):
-    """Both results of the plane fit: (w_est on interfaces, div on layers)."""
-    div = planefit_divergence(samples, positions, levels_in(max_depth, dz), remove_barotropic)
-    return (w_from_divergence(div, dz), div.withColumn("obs_depth", layer_mid(F.col("k"), dz)))
+def planefit_w(samples: DataFrame, positions: DataFrame, n_levels: int | None = None,
+               dz: float | None = None, remove_barotropic: bool = False):
+    """Both results of the plane fit: (w_est on interfaces, div on layers).
+
+    Without dz the layer thickness is read off each array's obs_depth.
+    """
+    div = planefit_divergence(samples, positions, n_levels, remove_barotropic)
+    if dz is None:
+        div = join_checked(div, layer_thickness(samples), ["config"])
+    else:
+        div = div.withColumn("dz", F.lit(float(dz)))
+    w = w_from_divergence(div, F.col("dz"))
+    return w, div.withColumn("obs_depth", -(F.col("k") * F.col("dz") + F.col("dz") / 2)).drop("dz")
 
 
 def hull_mean(field: DataFrame, values, keys=("config", "time", "k")) -> DataFrame:

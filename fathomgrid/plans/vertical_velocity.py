@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import durable
-from ..functions.columns import interface
 from ..grid import Grid
 from ..operators.summaries import abs_limit, at_nearest_depth, depth_mean_series, profile_stats
 from ..operators.velocity import array_divergence, model_w, w_bias, w_from_divergence
@@ -38,28 +37,32 @@ def w_comparison_tables(comparison: DataFrame, depth_range=None, time_range=None
                         point_depth: float = -50) -> dict[str, DataFrame]:
     """The tables behind the comparison figure.
 
-    hovmoller, profiles (mean and spread over time), series (over depth), point (the level
-    nearest to point_depth) and limits (98th percentile of |w|, both fields pooled, and of
-    |bias|). The comparison is written once and read by each of them.
+    hovmoller, profiles (mean and spread over time), series (over depth) and point (the
+    level nearest to point_depth). The comparison is written once and read by each.
     """
     rows = durable(w_range(comparison, depth_range, time_range), "w-comparison")
     levels = rows.select("config", "k", "depth").distinct()
-    pooled = (rows.unpivot(["config"], ["w_est", "w_model", "bias"], "what", "v")
-              .withColumn("what", F.when(F.col("what") == "bias", "bias").otherwise("w")))
     return {
         "hovmoller": rows,
         "profiles": profile_stats(rows),
         "series": depth_mean_series(rows),
         "point": at_nearest_depth(rows, levels, point_depth),
-        "limits": abs_limit(pooled, ["config", "what"]),
     }
 
 
+def w_limits(comparison: DataFrame) -> DataFrame:
+    """(config, what, bound): 98th percentile of |w|, both fields pooled, and of |bias|."""
+    pooled = (comparison.unpivot(["config"], ["w_est", "w_model", "bias"], "what", "v")
+              .withColumn("what", F.when(F.col("what") == "bias", "bias").otherwise("w")))
+    return abs_limit(pooled, ["config", "what"])
+
+
 def bias_tables(comparison: DataFrame, point_depth: float = -50) -> DataFrame:
     """Bias by time, by depth and at one level, in one long table.
 
     (config, series, time, k, bias): series is 'by_time', 'by_depth' or 'at_level'.
     """
+    comparison = durable(comparison, "w-comparison")
     by_time = comparison.groupBy("config", "time").agg(F.avg("bias").alias("bias"))
     by_depth = comparison.groupBy("config", "k").agg(F.avg("bias").alias("bias"))
     levels = comparison.select("config", "k", "depth").distinct()
@@ -69,10 +72,3 @@ def bias_tables(comparison: DataFrame, point_depth: float = -50) -> DataFrame:
             .unionByName(by_depth.withColumns({
                 "series": F.lit("by_depth"), "time": F.lit(None).cast("timestamp_ntz")}).select(*cols))
             .unionByName(at.withColumn("series", F.lit("at_level")).select(*cols)))
-
-
-def level_axis(max_depth: float, dz: float, spark) -> DataFrame:
-    """Interface depths as (k, depth)."""
-    n = int(max_depth / dz) + 1
-    return (spark.range(n).select(F.col("id").cast("int").alias("k"))
-            .withColumn("depth", interface(F.col("k"), dz)))

@@ -21,7 +21,10 @@ def test_divergence_of_a_linear_field_is_recovered(spark):
 def test_w_is_divergence_times_depth(spark):
     rows = hexagon(0.0, 220.0, 0.125)
     samples = linear_samples(spark, rows, 1e-5)
-    w, _ = V.planefit_w(samples, positions_df(spark, rows), 20, 2)
+    read_off, div = V.planefit_w(samples, positions_df(spark, rows))
+    assert div.filter("obs_depth = -(2 * k + 1)").count() == 30
+    w, _ = V.planefit_w(samples, positions_df(spark, rows), dz=2)
+    assert read_off.exceptAll(w).count() == 0
     w = w.filter("time = 0").orderBy("k").toPandas()
     assert list(w["k"]) == list(range(11))
     assert np.allclose(w["w_est"], 1e-5 * np.arange(11) * 2, rtol=1e-6)
