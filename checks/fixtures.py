@@ -9,7 +9,6 @@ get the fill value.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,24 +171,30 @@ def metrics(spark: SparkSession) -> DataFrame:
                           "rA": edge * edge * F.cos(F.radians((F.col("iy") - 3.5) / 24))}))
 
 
-@lru_cache(maxsize=1)
-def _grid(spark: SparkSession, app: str) -> Grid:
-    return Grid(axes(spark), metrics(spark))
+_KEPT: dict = {}
 
 
-def grid(spark: SparkSession) -> Grid:
-    """The grid of the cell table, built once per application."""
-    return _grid(spark, spark.sparkContext.applicationId)
+def _kept(spark: SparkSession, name: str, make, table):
+    """Make something static once per application; again if its files were cleaned up."""
+    key = (name, spark.sparkContext.applicationId)
+    if key in _KEPT:
+        try:
+            table(_KEPT[key]).take(1)
+        except Exception:
+            del _KEPT[key]
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
-@lru_cache(maxsize=1)
-def _hull(spark: SparkSession, app: str) -> DataFrame:
-    return hull_cells(grid(spark), positions(spark))
+def grid(spark: SparkSession) -> Grid:
+    """The grid of the cell table."""
+    return _kept(spark, "grid", lambda: Grid(axes(spark), metrics(spark)), lambda g: g.spans)
 
 
 def hull(spark: SparkSession) -> DataFrame:
-    """Cells inside the two arrays, found once per application."""
-    return _hull(spark, spark.sparkContext.applicationId)
+    """Cells inside the two arrays."""
+    return _kept(spark, "hull", lambda: hull_cells(grid(spark), positions(spark)), lambda h: h)
 
 
 def positions(spark: SparkSession) -> DataFrame:
