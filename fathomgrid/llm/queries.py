@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .sharding import shard_documents
+from .token_blocks import read_blocks, write_blocks
 
 
 def _table(spark, sf_dir, name):
@@ -17,5 +18,12 @@ def op7_sharding(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op7_sharding": op7_sharding}
+def op4_token_blocks(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return read_blocks(write_blocks(_table(spark, sf_dir, "documents"), None, path), with_ids=False)
+
+
+QUERIES = {"op4_token_blocks": op4_token_blocks, "op7_sharding": op7_sharding}
 ORACLES = {}
