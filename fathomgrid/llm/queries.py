@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
+from .common import crc_of_id
 from .sharding import shard_documents
 from .token_blocks import read_blocks, write_blocks
 
@@ -18,6 +20,26 @@ def op7_sharding(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _held_out(modulus, remainder):
+    return (F.pmod(crc_of_id(F.col("doc_id")), F.lit(modulus)) == remainder).alias("held_out")
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score_toxicity(docs, model)
+    return out.select("doc_id", _held_out(toxicity.MODULUS, toxicity.HELD_OUT), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op5_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", _held_out(quality.MODULUS, quality.HELD_OUT), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_token_blocks(spark, sf_dir):
     import public_tokenizers
 
@@ -25,5 +47,10 @@ def op4_token_blocks(spark, sf_dir):
     return read_blocks(write_blocks(_table(spark, sf_dir, "documents"), None, path), with_ids=False)
 
 
-QUERIES = {"op4_token_blocks": op4_token_blocks, "op7_sharding": op7_sharding}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_token_blocks": op4_token_blocks,
+    "op5_quality": op5_quality,
+    "op7_sharding": op7_sharding,
+}
 ORACLES = {}
