@@ -21,12 +21,24 @@ from pyspark.sql import functions as F
 
 from fathomgrid.durable import durable
 
-__all__ = ["durable", "crc_of_id", "documents", "mix", "mix_int", "rows_in", "small_table", "text_hash", "to_arrow"]
+__all__ = ["stage", "crc_of_id", "documents", "mix", "mix_int", "rows_in", "small_table", "text_hash", "to_arrow"]
 
 # Tasks get these functions with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["fathomgrid.llm"])
 
 M64 = (1 << 64) - 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder, and free the shuffle files that made it."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return durable(df, name)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

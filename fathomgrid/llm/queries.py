@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import quality, suffixes, toxicity
 from .common import crc_of_id
 from .sharding import shard_documents
 from .token_blocks import read_blocks, write_blocks
@@ -32,6 +32,10 @@ def op1_toxicity(spark, sf_dir):
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op3_suffixes(spark, sf_dir):
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
@@ -49,6 +53,7 @@ def op4_token_blocks(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_suffixes": op3_suffixes,
     "op4_token_blocks": op4_token_blocks,
     "op5_quality": op5_quality,
     "op7_sharding": op7_sharding,

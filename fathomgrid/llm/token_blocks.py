@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, durable, rows_in, small_table, text_hash, to_arrow
+from .common import documents, rows_in, small_table, stage, text_hash, to_arrow
 
 MAGIC = b"FGT1"
 HEADER = "<4sIIIIqI"  # magic, ids, lanes, vocabulary, documents, ids before in the partition, crc32
@@ -289,7 +289,7 @@ def write_blocks(docs: DataFrame, path: str | None, tokenizer: str, end_id: int
                .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text"))
     blocks = ordered.mapInArrow(code, "part int, block int, n_ids bigint, doc_ids array<bigint>, data binary")
     if path is None:
-        return durable(blocks, "token-blocks")
+        return stage(blocks, "token-blocks")
     blocks.write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.schema(blocks.schema).parquet(path)
 
