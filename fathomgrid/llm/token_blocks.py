@@ -233,18 +233,32 @@ class Tokens:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def encode(self, text: str) -> bytes:
-        """ids as little-endian 32-bit numbers."""
-        if _UNCERTAIN.search(text) or any(s in text for s in self.special):
-            return self._raw([text])[0]
-        pieces = _PIECE.findall(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian 32-bit numbers."""
+        whole = [i for i, t in enumerate(texts) if _UNCERTAIN.search(t) or any(s in t for s in self.special)]
+        pieces = [_PIECE.findall(t) for t in texts]
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        if missing := {p for p in pieces if p not in known}:
-            missing = list(missing)
+        if missing := list({p for row in pieces for p in row if p not in known}):
             known.update(zip(missing, self._raw(missing)))
-        return b"".join(map(known.__getitem__, pieces))
+        out = [b"".join(map(known.__getitem__, row)) for row in pieces]
+        for i in whole:
+            out[i] = self._raw([texts[i]])[0]
+        return out
+
+
+def _groups(rows, size: int = 1 << 18):
+    """Lists of rows with about `size` characters of text."""
+    group, n = [], 0
+    for row in rows:
+        group.append(row)
+        n += len(row[1])
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()),
@@ -273,14 +287,15 @@ def write_blocks(docs: DataFrame, path: str | None, tokenizer: str, end_id: int
             return row
 
         end = np.array([end_id], "<u4").tobytes()
-        for doc_id, text in rows_in(batches, "doc_id", "text"):
-            one = tokens.encode(text) + end
-            ids.append(one)
-            names.append(doc_id)
-            lengths.append(len(one) // 4)
-            size += len(one) // 4
-            if size >= block_ids:
-                yield close()
+        for group in _groups(rows_in(batches, "doc_id", "text")):
+            for (doc_id, _), one in zip(group, tokens.encode([text for _, text in group])):
+                one += end
+                ids.append(one)
+                names.append(doc_id)
+                lengths.append(len(one) // 4)
+                size += len(one) // 4
+                if size >= block_ids:
+                    yield close()
         if size:
             yield close()
 
