@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, suffixes, toxicity
+from . import html_text, near_duplicates, quality, suffixes, toxicity
 from .common import crc_of_id
 from .sharding import shard_documents
 from .token_blocks import read_blocks, write_blocks
@@ -51,11 +51,24 @@ def op4_token_blocks(spark, sf_dir):
     return read_blocks(write_blocks(_table(spark, sf_dir, "documents"), None, path), with_ids=False)
 
 
+def op8_near_duplicates(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = near_duplicates.near_duplicates(docs, near_duplicates.Rule(words=3, percent=85, bands=40, rows=6))
+    return found.select(F.col("d").alias("doc_id"), "n_shingles", "component_id",
+                        (F.col("d") == F.col("component_id")).alias("kept"))
+
+
+def op10_html_text(spark, sf_dir):
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_suffixes": op3_suffixes,
     "op4_token_blocks": op4_token_blocks,
     "op5_quality": op5_quality,
     "op7_sharding": op7_sharding,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op10_html_text": op10_html_text,
 }
 ORACLES = {}
