@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_text, near_duplicates, quality, suffixes, toxicity
+from . import html_text, lempel_ziv, near_duplicates, quality, suffixes, toxicity
 from .common import crc_of_id
 from .sharding import shard_documents
 from .token_blocks import read_blocks, write_blocks
@@ -58,6 +58,10 @@ def op8_near_duplicates(spark, sf_dir):
                         (F.col("d") == F.col("component_id")).alias("kept"))
 
 
+def op9_lempel_ziv(spark, sf_dir):
+    return lempel_ziv.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark, sf_dir):
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op7_sharding": op7_sharding,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_lempel_ziv": op9_lempel_ziv,
     "op10_html_text": op10_html_text,
 }
 ORACLES = {}
