@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_text, lempel_ziv, near_duplicates, quality, suffixes, toxicity
+from . import decontamination, html_text, lempel_ziv, near_duplicates, quality, suffixes, toxicity
 from .common import crc_of_id
 from .sharding import shard_documents
 from .token_blocks import read_blocks, write_blocks
@@ -51,6 +51,11 @@ def op4_token_blocks(spark, sf_dir):
     return read_blocks(write_blocks(_table(spark, sf_dir, "documents"), None, path), with_ids=False)
 
 
+def op6_decontamination(spark, sf_dir):
+    found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "word", "question_overlap", "answer_overlap")
+
+
 def op8_near_duplicates(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     found = near_duplicates.near_duplicates(docs, near_duplicates.Rule(words=3, percent=85, bands=40, rows=6))
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_suffixes": op3_suffixes,
     "op4_token_blocks": op4_token_blocks,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_lempel_ziv": op9_lempel_ziv,
