@@ -22,8 +22,9 @@ import re
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, rows_in, text_hash, to_arrow
@@ -204,6 +205,23 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield Index(sorted(items))
 
 
+def is_leaked(text: Column, index: Index) -> Column:
+    """Whether a text holds an item of the index; false for null and empty texts."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(index.leaks(t or "")) for t in texts], dtype=bool)
+
+    return run(text)
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **columns) -> DataFrame:
+    """The rows of docs without a leaked item, in one pass per index and without a shuffle."""
+    for index in indexes(benchmark, **columns):
+        docs = docs.where(~is_leaked(F.col(text_col), index))
+    return docs
+
+
 HITS = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("word", pa.int32()),
                   ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 HITS_SQL = "d bigint, h bigint, item_id bigint, score double, word int, question_overlap double, answer_overlap double"

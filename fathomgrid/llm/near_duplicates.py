@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     without words has no shingles and is linked with nothing.
     """
     rows = documents(docs, id_col, text_col).select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), text_hash(F.col("text")).alias("h"), "text")
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), text_hash(F.col("text")).alias("h"), "text")
     sets = rows.mapInArrow(_sets(rule), "d bigint, h bigint, n bigint, c1 bigint, c2 bigint, sketch binary, "
                                         "bands array<bigint>, grams binary")
     members = stage(sets.select("d", "h", "n", "c1", "c2"), "classes")
@@ -226,8 +226,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
             .select("d", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id")))
 
 
+NO_ID = -(1 << 63)
+
+
 def mark_near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with `_n_shingles` and `_component` (its null means a null id, as does the least long)."""
+    """All columns of docs, with `_d` and `_h` (the identity), `_n_shingles` and `_component`."""
     found = near_duplicates(docs, rule, id_col, text_col).dropDuplicates(["d", "h"]).toDF("_d", "_h", "_n_shingles", "_component")
-    me = {"_d": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), "_h": text_hash(F.coalesce(F.col(text_col), F.lit("")))}
-    return docs.withColumns(me).join(found, ["_d", "_h"], "left").drop("_d", "_h")
+    me = {"_d": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "_h": text_hash(F.coalesce(F.col(text_col), F.lit("")))}
+    return docs.withColumns(me).join(found, ["_d", "_h"], "left")
+
+
+def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with the least id of their group; of rows equal in id and text one stays."""
+    marked = mark_near_duplicates(docs, rule, id_col, text_col).where(F.col("_d") == F.col("_component"))
+    return marked.dropDuplicates(["_d", "_h"]).select(*docs.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, lempel_ziv, near_duplicates, quality, suffixes, toxicity
+from . import decontamination, html_text, lempel_ziv, near_duplicates, quality, sentencepieces, suffixes, toxicity
 from .common import crc_of_id
 from .sharding import shard_documents
 from .token_blocks import read_blocks, write_blocks
@@ -32,6 +33,14 @@ def op1_toxicity(spark, sf_dir):
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op2_sentencepieces(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepieces.encode_documents(_table(spark, sf_dir, "documents"), path)
+    return sentencepieces.decode_documents(encoded, path, with_ids=False)
+
+
 def op3_suffixes(spark, sf_dir):
     return suffixes.digest(_table(spark, sf_dir, "documents"))
 
@@ -72,7 +81,9 @@ def op10_html_text(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepieces": op2_sentencepieces,
     "op3_suffixes": op3_suffixes,
     "op4_token_blocks": op4_token_blocks,
     "op5_quality": op5_quality,
