@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from fathomgrid.grid import Grid
 from fathomgrid.model import EARTH_RADIUS_M
-from fathomgrid.operators.geometry import hull_cells
 from fathomgrid.sources.arrays import hexagon_positions
 from fathomgrid.sources.cells import load_model
 
 MAX_DEPTH, DZ = 10, 2
+DEEP = 14  # below the deepest level
 GRID_N, LEVELS = 8, 7
 CELL_EDGE = EARTH_RADIUS_M * math.radians(1) / 24
 
@@ -53,7 +53,15 @@ select 'c' || c_custkey as config, (c_custkey * 37 % 1000) / 1000e0 * 2 - 1 as l
 from customer
 """
 
-# One irregular array per customer with three orders or more: a sensor per order.
+# One irregular array per customer: a sensor per order.
+SCATTERED = """
+select 'c' || o_custkey as config, cast(o_orderkey as int) as glider,
+       (o_orderkey * 7919 % 10007) / 10007e0 - 0.5e0 as lat,
+       220 + (o_orderkey * 104729 % 10009) / 10009e0 - 0.5e0 as lon
+from orders
+"""
+
+# The same for customers with three orders or more, which span an area.
 IRREGULAR = """
 select 'c' || o_custkey as config, cast(o_orderkey as int) as glider,
        (o_orderkey * 7919 % 10007) / 10007e0 - 0.5e0 as lat,
@@ -87,12 +95,13 @@ select 'circle' as config, date_trunc('day', ts) as time, cast(user_id % 6 as in
 from events group by 1, 2, 3, 4
 """
 
-# The same with many levels per day and sensor, so that cells are missing.
+# The same with many levels per day and sensor, some of whose values are missing.
 EVENT_SERIES = """
 select 'circle' as config, date_trunc('day', ts) as time, cast(user_id % 6 as int) as glider,
        cast(extract(hour from ts) as int) as k,
-       avg(value) / 100e0 as U, max(value) / 500e0 as V
-from events where event_id % 7 < 6 or extract(hour from ts) < 12 group by 1, 2, 3, 4
+       avg(case when event_id % 7 < 6 or extract(hour from ts) < 12 then value end) / 100e0 as U,
+       max(case when event_id % 7 < 6 or extract(hour from ts) < 12 then value end) / 500e0 as V
+from events group by 1, 2, 3, 4
 """
 
 # Values that are missing, not a number or infinite among ordinary ones.
@@ -171,30 +180,9 @@ def metrics(spark: SparkSession) -> DataFrame:
                           "rA": edge * edge * F.cos(F.radians((F.col("iy") - 3.5) / 24))}))
 
 
-_KEPT: dict = {}
-
-
-def _kept(spark: SparkSession, name: str, make, table):
-    """Make something static once per application; again if its files were cleaned up."""
-    key = (name, spark.sparkContext.applicationId)
-    if key in _KEPT:
-        try:
-            table(_KEPT[key]).take(1)
-        except Exception:
-            del _KEPT[key]
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
 def grid(spark: SparkSession) -> Grid:
-    """The grid of the cell table."""
-    return _kept(spark, "grid", lambda: Grid(axes(spark), metrics(spark)), lambda g: g.spans)
-
-
-def hull(spark: SparkSession) -> DataFrame:
-    """Cells inside the two arrays."""
-    return _kept(spark, "hull", lambda: hull_cells(grid(spark), positions(spark)), lambda h: h)
+    """The grid of the cell table, made anew for every query."""
+    return Grid(axes(spark), metrics(spark))
 
 
 def positions(spark: SparkSession) -> DataFrame:
@@ -205,3 +193,11 @@ def positions(spark: SparkSession) -> DataFrame:
         (0, 0e0, 219.9e0), (1, 0e0, 220.1e0), (2, -0.1e0, 219.9e0),
         (3, -0.1e0, 220.1e0), (4, 0.1e0, 219.9e0), (5, 0.1e0, 220.1e0) as p(glider, lat, lon)""")
     return hexagon.unionByName(rect)
+
+
+def wide_positions(spark: SparkSession) -> DataFrame:
+    """The two arrays, one that reaches over the edge of the grid, and one beyond it."""
+    more = spark.sql("""select config, cast(glider as int) as glider, lat, lon from values
+        ('edge', 0, 0.1e0, 220.1e0), ('edge', 1, 0.1e0, 220.3e0), ('edge', 2, -0.05e0, 220.05e0),
+        ('far', 0, 5.0e0, 225.0e0), ('far', 1, 5.1e0, 225.2e0), ('far', 2, 4.9e0, 225.1e0) as p(config, glider, lat, lon)""")
+    return positions(spark).unionByName(more)

@@ -54,6 +54,7 @@ CTE["event_sensors"] = circle_sql("event_centre")
 CTE["centers"] = X.CENTERS
 CTE["circles"] = circle_sql("centers")
 CTE["irregular"] = X.IRREGULAR
+CTE["scattered"] = X.SCATTERED
 CTE["requests"] = X.DEPTHS
 CTE["targets"] = X.TARGETS
 CTE["layers"] = f"select cast(k as int) as k, -(k * {float(DZ)} + {DZ / 2}) as z from range({N}) as r(k)"
@@ -71,6 +72,8 @@ CTE["layer_lines"] = "select axis, k, z as pos from layers, (values ('Z'), ('Zl'
 CTE["layer_w"] = bracket("layer_lines")
 CTE["interface_lines"] = "select 'Zl' as axis, k, z as pos from interfaces"
 CTE["interface_w"] = bracket("interface_lines")
+CTE["times"] = "select distinct time from cells"
+LEVEL_LIST = {"layer_w": "layers", "interface_w": "interfaces"}
 
 
 def interpolate(name: str, points: str, ids: list[str], levels: str) -> None:
@@ -91,8 +94,10 @@ def interpolate(name: str, points: str, ids: list[str], levels: str) -> None:
         from {name}_weights as w join long_cells as c using (var, iz, iy, ix)
         join {name}_expected as e on e.var = w.var and e.k = w.k and {' and '.join(f'e.{c} = w.{c}' for c in ids)}
         group by all"""
+    CTE[f"{name}_frame"] = f"select {i}, time, k from (select distinct {i} from {points}), times, {LEVEL_LIST[levels]}"
     CTE[name] = f"select {i}, time, k, " + ", ".join(
-        f"max(case when alias = '{a}' then v end) as {a}" for a in "UVTSW") + f" from {name}_values group by {i}, time, k"
+        f"max(case when alias = '{a}' then v end) as {a}" for a in "UVTSW"
+    ) + f" from {name}_frame left join {name}_values using ({i}, time, k) group by {i}, time, k"
 
 
 SIGMA0 = """case when S >= 0 then 999.842594e0 + 6.793952e-2 * T - 9.095290e-3 * T ** 2 + 1.001685e-4 * T ** 3
@@ -171,13 +176,16 @@ planefit("div_series", "event_sensors", "series_in")
 planefit("div_baroclinic", "event_sensors", "baroclinic_in")
 CTE["w_events"] = integrate("div_events")
 
-CTE["w_cells"] = """select c.iy, c.ix, c.time, z.k, case when count(c.WVEL) = max(n.n) then sum(z.w * c.WVEL) end as W
+CTE["w_found"] = """select c.iy, c.ix, c.time, z.k, case when count(c.WVEL) = max(n.n) then sum(z.w * c.WVEL) end as W
     from cells as c join interface_w as z on z.idx = c.iz
     join (select k, count(*) as n from interface_w group by k) as n on n.k = z.k group by all"""
+CTE["w_cells"] = """select iy, ix, time, k, W from (select * from (select distinct iy, ix, time from cells), interfaces)
+    left join w_found using (iy, ix, time, k)"""
 CTE["w_model"] = f"""select config, time, k, -{float(DZ)} * k as depth, avg(W) as w_model
-    from w_cells join hull using (iy, ix) group by all"""
-CTE["w_shear"] = f"""select config, time, k, depth, w_model + first_value(w_model) over
-    (partition by config, time order by k desc) / {float(H)} * depth as w_model from w_model"""
+    from (select config, iy, ix, time, k from hull, times, interfaces) left join w_found using (iy, ix, time, k) group by all"""
+CTE["w_shear"] = """select config, time, k, depth, w_model + max(w_model) filter (where k = deepest) over
+    (partition by config, time) / (deepest * {step}) * depth as w_model
+    from w_model, (select max(k) as deepest from interfaces)""".replace("{step}", repr(float(DZ)))
 CTE["w_centroid"] = f"select config, time, k, -{float(DZ)} * k as depth, W as w_model from centroid_values"
 CTE["bias"] = "select *, w_est - w_model as bias from w_est join (select config, time, k, w_model from w_model) using (config, time, k)"
 CTE["div_cells"] = """select c.time, c.iz, c.iy, c.ix, ((case when c.ix = 7 then 0 else e.UVEL * me.dyG end) - c.UVEL * m.dyG
@@ -187,11 +195,13 @@ CTE["div_cells"] = """select c.time, c.iz, c.iy, c.ix, ((case when c.ix = 7 then
     left join metrics as me on me.iy = c.iy and me.ix = c.ix + 1
     left join cells as n on n.time = c.time and n.iz = c.iz and n.iy = c.iy + 1 and n.ix = c.ix
     left join metrics as mn on mn.iy = c.iy + 1 and mn.ix = c.ix"""
-CTE["div_true"] = """select config, time, k, avg(d) as div from (
+CTE["div_true"] = """select config, time, k, avg(d) as div from (select config, iy, ix, time, k from hull, times, layers)
+    left join (
     select h.config, c.iy, c.ix, c.time, z.k, case when count(c.d) = max(n.n) then sum(z.w * c.d) end as d
     from div_cells as c join hull as h on h.iy = c.iy and h.ix = c.ix
     join layer_w as z on z.idx = c.iz and z.axis = 'Z'
-    join (select k, count(*) as n from layer_w where axis = 'Z' group by k) as n on n.k = z.k group by all) group by all"""
+    join (select k, count(*) as n from layer_w where axis = 'Z' group by k) as n on n.k = z.k group by all)
+    using (config, iy, ix, time, k) group by all"""
 
 CTE["samples_p"] = "select *, " + ", ".join(
     f"{v} - avg({v}) over w as {v}p" for v in "UVTS") + " from samples window w as (partition by config, glider, k)"
@@ -219,7 +229,7 @@ mean_flux("array_flux", "array_mean", "w")
 mean_flux("area_flux", "area_mean", "W")
 CTE["flux_rows"] = " union all ".join(
     f"""select config, k, z as obs_depth, 'w{v}' as flux, m.w{v} as total, a.w{v} as glider, r.w{v} as area
-        from model_flux as m join array_flux as a using (config, k) join area_flux as r using (config, k)
+        from array_flux as a left join model_flux as m using (config, k) left join area_flux as r using (config, k)
         join layers using (k)""" for v in "TSUV")
 CTE["integrals"] = """select config, flux, case when count(total) = count(*) then coalesce(sum(pt), 0) end as total_integral,
     case when count(glider) = count(*) then coalesce(sum(pg), 0) end as glider_integral from (
@@ -315,7 +325,7 @@ CTE["field_pairs"] = " union all ".join(
         ("uv", "U", "V"), ("TS", "T", "S"), ("stress_uv", "Up", "Vp"), ("heatflux_vT", "Vp", "Tp"), ("heatflux_uT", "Up", "Tp")))
 joint("fj", "field_pairs")
 CTE["div_corr"] = """select config, case when count_if(e.div is null or m.div is null) = 0 then corr(e.div, m.div) end as div_corr
-    from div_obs as e join div_true as m using (config, time, k) group by config"""
+    from div_obs as e left join div_true as m using (config, time, k) group by config"""
 
 # ---------------------------------------------------------------- maps and summaries
 
@@ -344,8 +354,8 @@ RESULTS = {
     "positions_explode": "select c.config, diameter, glider, c.lat, c.lon from circles as c join centers using (config)",
     "hexagon_positions": "select * from circles",
     "project_to_metres": f"""select config, glider, {PER_M!r} * (lon - avg(lon) over w) * cos(radians(avg(lat) over w)) as x_m,
-        {PER_M!r} * (lat - avg(lat) over w) as y_m from irregular window w as (partition by config)""",
-    "hull_bbox": box("irregular"),
+        {PER_M!r} * (lat - avg(lat) over w) as y_m from scattered window w as (partition by config)""",
+    "hull_bbox": box("scattered"),
     "depth_axes": """select part, k, case when k < n then -(k * dz + dz / 2) end as obs_depth, 0e0 - k * dz as depth from (
         select *, floor(max_depth / dz) as n, unnest(range(cast(floor(max_depth / dz) as int) + 1)) as k from requests)""",
     "hull_edges": edges("irregular"),
@@ -408,8 +418,7 @@ RESULTS = {
     "joint_js_distance": "select * from j_js",
     "joint_cov_corr": "select * from j_cov",
     "joint_pairs": """select config, pair, side, count(*) as n, sum(x) as sum_x, sum(y) as sum_y from pairs group by all""",
-    "joint_sample": """select * from pairs qualify row_number() over (partition by config, pair, side order by
-        (l_orderkey * 7919 + l_linenumber * 104729) % 1000003, l_orderkey, l_linenumber, x, y) <= 3000""",
+    "joint_sample": "select * from pairs where (l_orderkey * 7919 + l_linenumber * 104729) % 1000003 / 1000003e0 < 0.1e0",
     "joint_compare": "select * from j_all",
     "dist_moments": "select * from p_moments",
     "dist_stats": "select * from p_stats",
@@ -417,8 +426,24 @@ RESULTS = {
     "field_pdfs": "select * from f_density where field <> 'divergence'",
     "field_stats": "select * from f_stats where field <> 'divergence'",
     "field_joint": "select * from fj_all",
-    "divergence_pdf": "select * from f_density where field = 'divergence'",
+    "divergence_pdf": """select * from f_density join (select config, field, ks, js, wasserstein from f_stats)
+        using (config, field) where field = 'divergence'""",
     "divergence_corr": "select * from div_corr",
+    "divergence_corr_beyond": "select * from div_corr",
+    "array_divergence_beyond": "select * from div_obs",
+    "sample_points_beyond": "select * from samples",
+    "w_debarotropic_beyond": "select * from w_shear",
+    "flux_integrals_beyond": "select * from recovered",
+    "stats_record_beyond": """select config as name, 14 as max_depth, 1 as tstep, n_glider, coalesce(n_point, 0) as n_point,
+        coalesce(n_hull, 0) as n_hull, (select count(*) from times) as n_time, div_corr
+        from (select config, count(*) as n_glider from sensors group by all)
+        left join div_corr using (config)
+        left join (select config, count(*) as n_point from sensor_box join xc as x on x.pos between lon_min and lon_max
+              join yc as y on y.pos between lat_min and lat_max group by all) using (config)
+        left join (select config, count(*) as n_hull from hull group by all) using (config)""",
+    "stored_slice_stride": """select * from (select time, count(*) as n, sum(SALT) as total, (epoch(time) - epoch(timestamp '2012-10-01'))
+        / 10800 as i from cells where time >= timestamp '2012-10-01 06:00:00' and time < timestamp '2012-10-04' group by time)
+        where (i - 2) % 3 = 0""",
     "stats_record": """select c.config as name, 10 as max_depth, 1 as tstep, c.div_corr, s.n_glider, b.n_point, h.n_hull, t.n_time,
         max(f.ks) filter (field = 'T') as ks_T, max(f.js) filter (field = 'S') as js_S,
         max(f.wasserstein) filter (field = 'divergence') as wasserstein_divergence,
@@ -434,13 +459,22 @@ RESULTS = {
 
 # Queries over the gridding without gaps.
 FULL = {"flux_integrals", "flux_compare", "divergence_corr", "stats_record"}
+# Deeper than the grid, with arrays over its edge and outside it, over the gridding without gaps.
+BEYOND = {name for name in RESULTS if name.endswith("_beyond")}
+MORE_SENSORS = """ union all select config, cast(g as int), lat, lon from (values
+    ('edge', 0, 0.1e0, 220.1e0), ('edge', 1, 0.1e0, 220.3e0), ('edge', 2, -0.05e0, 220.05e0),
+    ('far', 0, 5.0e0, 225.0e0), ('far', 1, 5.1e0, 225.2e0), ('far', 2, 4.9e0, 225.1e0)) as p(config, g, lat, lon)"""
 
 
 def build(name: str) -> str:
     """One self-contained statement: the needed subqueries in order, then the result."""
     texts = dict(CTE)
-    if name in FULL:
+    if name in FULL | BEYOND:
         texts["cells"] = loaded("coarse_cells")
+    if name in BEYOND:
+        texts["sensors"] += MORE_SENSORS
+        texts["layers"] = texts["layers"].replace(f"range({N})", f"range({int(X.DEEP / DZ)})")
+        texts["interfaces"] = texts["interfaces"].replace(f"range({N + 1})", f"range({int(X.DEEP / DZ) + 1})")
     order: list[str] = []
 
     def need(text: str) -> None:

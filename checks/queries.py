@@ -61,12 +61,12 @@ def hexagon_positions(spark, d):
 
 @query
 def project_to_metres(spark, d):
-    return G.project_to_metres(X.sql(spark, d, X.IRREGULAR, "orders"))
+    return G.project_to_metres(X.sql(spark, d, X.SCATTERED, "orders"))
 
 
 @query
 def hull_bbox(spark, d):
-    return G.hull_bbox(X.sql(spark, d, X.IRREGULAR, "orders"))
+    return G.hull_bbox(X.sql(spark, d, X.SCATTERED, "orders"))
 
 
 @query
@@ -121,12 +121,14 @@ def density_sigma0(spark, d):
 
 @query
 def domain_mean_map(spark, d):
-    return S.map_rows(S.domain_mean(X.cells(spark, d), X.grid(spark), 8), X.grid(spark))
+    grid = X.grid(spark)
+    return S.map_rows(S.domain_mean(X.cells(spark, d), grid, 8), grid)
 
 
 @query
 def crop_window(spark, d):
-    maps = S.map_rows(S.domain_mean(X.cells(spark, d), X.grid(spark), 8), X.grid(spark))
+    grid = X.grid(spark)
+    maps = S.map_rows(S.domain_mean(X.cells(spark, d), grid, 8), grid)
     return C.crop(maps, lon=(219.9, 220.1), lat=(-0.1, 0.05))
 
 
@@ -148,7 +150,7 @@ def _samples(spark, d, variables=("UVEL", "VVEL", "THETA", "SALT")):
 
 def _region(spark, d):
     return I.model_region(X.cells(spark, d), X.grid(spark), X.positions(spark),
-                          ("WVEL", "UVEL", "VVEL", "THETA", "SALT"), hull=X.hull(spark), **DEPTH)
+                          ("WVEL", "UVEL", "VVEL", "THETA", "SALT"), **DEPTH)
 
 
 @query
@@ -199,11 +201,13 @@ def planefit_baroclinic(spark, d):
 
 @query
 def w_from_div(spark, d):
-    return V.planefit_w(_event_samples(spark, d), X.circle(spark), dz=X.DZ)[0]
+    # the layer thickness is read off the observation depths
+    samples = _event_samples(spark, d).withColumn("obs_depth", -(F.col("k") * X.DZ + X.DZ / 2))
+    return V.planefit_w(samples, X.circle(spark))[0]
 
 
 def _model_w(spark, d, **kw):
-    return V.model_w(X.cells(spark, d), X.grid(spark), X.positions(spark), hull=X.hull(spark), **DEPTH, **kw)
+    return V.model_w(X.cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH, **kw)
 
 
 @query
@@ -219,16 +223,16 @@ def w_debarotropic(spark, d):
 @query
 def hull_mean(spark, d):
     return V.hull_mean(I.model_region(X.cells(spark, d), X.grid(spark), X.positions(spark), ("THETA", "SALT"),
-                                      hull=X.hull(spark), **DEPTH), ["T", "S"])
+                                      **DEPTH), ["T", "S"])
 
 
 @query
 def cgrid_divergence(spark, d):
-    return V.model_divergence(X.cells(spark, d), X.grid(spark), X.positions(spark), hull=X.hull(spark), **DEPTH)
+    return V.model_divergence(X.cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH)
 
 
 def _comparison(spark, d):
-    return w_comparison(X.cells(spark, d), X.grid(spark), X.positions(spark), hull=X.hull(spark), **DEPTH)
+    return w_comparison(X.cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH)
 
 
 @query
@@ -289,9 +293,12 @@ def model_vertical_flux(spark, d):
 
 
 def fields(spark, d, cells=X.cells) -> FieldComparison:
-    done = FieldComparison(cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH)
-    done.__dict__["hull"] = X.hull(spark)
-    return done
+    return FieldComparison(cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH)
+
+
+def beyond(spark, d) -> FieldComparison:
+    """Deeper than the grid, with an array over its edge and one outside it."""
+    return FieldComparison(X.full_cells(spark, d), X.grid(spark), X.wide_positions(spark), max_depth=X.DEEP, dz=X.DZ)
 
 
 @query
@@ -417,10 +424,9 @@ def joint_pairs(spark, d):
 
 @query
 def joint_sample(spark, d):
-    ids = ["l_orderkey", "l_linenumber"]
-    rows = _pairs(spark, d, [*ids, "depth"])
-    order = F.expr("struct((l_orderkey * 7919 + l_linenumber * 104729) % 1000003 as h, l_orderkey, l_linenumber, x, y)")
-    return D.thin(rows, ["config", "pair", "side"], order, 3000)
+    rows = _pairs(spark, d, ["l_orderkey", "l_linenumber", "depth"])
+    identity = F.expr("(l_orderkey * 7919 + l_linenumber * 104729) % 1000003 / 1000003D")
+    return D.thin(rows, identity, 0.1)
 
 
 @query
@@ -447,7 +453,9 @@ def field_joint(spark, d):
 
 @query
 def divergence_pdf(spark, d):
-    return fields(spark, d).field_pdfs().filter(F.col("field") == "divergence")
+    done = fields(spark, d)
+    distances = done.field_stats().select("config", "field", "ks", "js", "wasserstein")
+    return done.field_pdfs().filter(F.col("field") == "divergence").join(distances, ["config", "field"])
 
 
 @query
@@ -464,3 +472,46 @@ def stats_record(spark, d):
                     F.expr("flux['wT'].total_integral as wT_total"),
                     F.expr("flux['wS'].recovered_frac as wS_recovered"))
 
+
+
+# ---------------------------------------------------------------- beyond the grid and its levels
+
+@query
+def divergence_corr_beyond(spark, d):
+    return beyond(spark, d).div_corr()
+
+
+@query
+def array_divergence_beyond(spark, d):
+    return V.array_divergence(X.full_cells(spark, d), X.grid(spark), X.wide_positions(spark), X.DEEP, X.DZ)
+
+
+@query
+def sample_points_beyond(spark, d):
+    return I.sample_fields(X.full_cells(spark, d), X.grid(spark), X.wide_positions(spark), max_depth=X.DEEP, dz=X.DZ)
+
+
+@query
+def w_debarotropic_beyond(spark, d):
+    return V.model_w(X.full_cells(spark, d), X.grid(spark), X.wide_positions(spark), X.DEEP, X.DZ, remove_barotropic=True)
+
+
+@query
+def flux_integrals_beyond(spark, d):
+    return beyond(spark, d).flux_integrals()
+
+
+@query
+def stats_record_beyond(spark, d):
+    return beyond(spark, d).stats_record()
+
+
+# ---------------------------------------------------------------- from storage
+
+@query
+def stored_slice_stride(spark, d):
+    """Cells written in the storage layout, read back, sliced and strided on their snapshots."""
+    path = f"{durable_root(spark)}/stored-{uuid.uuid4().hex}"
+    C.write_cells(X.raw_cells(spark, d), path, 360)
+    stored = C.load_model(C.read_cells(spark, path), start="2012-10-01T06", end="2012-10-03", stride=3, every=36)
+    return _per_time(stored)

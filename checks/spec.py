@@ -73,8 +73,16 @@ SPECS = {
     "field_pdfs": "config field bin:int edge:7 n_obs:long n_true:long density_obs:6 density_true:6",
     "field_stats": "config field obs_mean:7 true_mean:7 obs_std:7 true_std:7 obs_skew:6 true_skew:6 ks:9 wasserstein:7 js:9",
     "field_joint": "config pair cov_obs:9 cov_true:9 corr_obs:7 corr_true:7 js:7",
-    "divergence_pdf": "config bin:int edge:1e6:5 n_obs:long n_true:long",
+    "divergence_pdf": "config bin:int edge:1e6:5 n_obs:long n_true:long density_obs:1e-6:5 density_true:1e-6:5 ks:9 js:9 "
+                      "wasserstein:1e6:5",
     "divergence_corr": "config div_corr:9",
+    "divergence_corr_beyond": "config div_corr:9",
+    "array_divergence_beyond": "config time k:int div:1e6:6",
+    "sample_points_beyond": "config glider:int time k:int lat:9 lon:9 obs_depth:6 U:9 V:9 T:9 S:9",
+    "w_debarotropic_beyond": "config time k:int depth:6 w_model:9",
+    "flux_integrals_beyond": "config flux total_integral:9 glider_integral:1e6:6 recovered_frac:1e3:6",
+    "stats_record_beyond": "name max_depth:int tstep:int n_glider:long n_point:long n_hull:long n_time:long div_corr:9",
+    "stored_slice_stride": "time n:long total:6",
     "stats_record": "name max_depth:int tstep:int n_glider:long n_point:long n_hull:long n_time:long div_corr:9 "
                     "ks_T:9 js_S:9 wasserstein_divergence:1e6:5 true_std_sigma0:7 wT_total:9 wS_recovered:1e3:6",
 }

@@ -13,10 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast. Rows here are a few numbers wide, so this
-# stays under ~200 MB per executor.
+# Bytes a side may have to be broadcast, and the rows of ordinary width that make them up.
+BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000
-SALTS = 32
 
 
 def durable_root(spark: SparkSession) -> str:
@@ -24,7 +23,7 @@ def durable_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(root)
@@ -58,23 +57,27 @@ def inside_ranges(measure, *cols: str) -> Column:
     return cond
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Width of a row of numbers; text counts as 32 bytes, nested values as 64."""
+    wide = {"string": 32, "binary": 32}
+    return sum(64 if "<" in kind else wide.get(kind, 8) for _, kind in df.dtypes)
+
+
+def small_enough(df: DataFrame, rows: int) -> bool:
+    """Whether a table of this many rows may be broadcast."""
+    return rows <= BROADCAST_ROWS and rows * row_bytes(df) <= BROADCAST_BYTES
+
+
 def join_checked(df: DataFrame, side: DataFrame, keys, rows: int | None = None,
                  how: str = "inner") -> DataFrame:
     """Join df with a side that has few rows per key.
 
-    The side is broadcast only when its row count is known to be small. Beyond
-    that both sides are shuffled, and every key of `side` is repeated over a fixed
-    number of salts, so one key that holds much of df is spread over many tasks.
+    The side is broadcast only when its counted size is small. Beyond that it is a plain
+    equi-join on shuffled keys: adaptive execution splits partitions that a hot key of df
+    makes large, and repeats only the matching rows of the other side.
     """
-    keys = list(keys)
-    if rows is None:
-        rows = side.count()
-    if rows <= BROADCAST_ROWS:
-        return df.join(F.broadcast(side), keys, how)
-    rest = [c for c in df.columns if c not in keys] or keys
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
-    right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, keys + ["_salt"], how).drop("_salt")
+    rows = side.count() if rows is None else rows
+    return df.join(F.broadcast(side) if small_enough(side, rows) else side, list(keys), how)
 
 
 def group_stats_join(df: DataFrame, stats: DataFrame, keys, name: str = "stats") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import BROADCAST_ROWS, durable
+from .durable import durable, small_enough
 
 
 @dataclass
@@ -23,12 +24,14 @@ class Grid:
     axes: DataFrame
     metrics: DataFrame | None = None
     _tables: dict = field(default_factory=dict, repr=False)
+    _lock: RLock = field(default_factory=RLock, repr=False)
 
     def once(self, key, make):
         """A small result that depends on the grid alone, made on first use."""
-        if key not in self._tables:
-            self._tables[key] = make()
-        return self._tables[key]
+        with self._lock:  # threads of one plan share a grid
+            if key not in self._tables:
+                self._tables[key] = make()
+            return self._tables[key]
 
     @cached_property
     def extents(self) -> dict[str, tuple[float, float, float]]:
@@ -70,7 +73,7 @@ class Grid:
 
     @cached_property
     def _spans_side(self) -> DataFrame:
-        return F.broadcast(self.spans) if self.spans.count() <= BROADCAST_ROWS else self.spans
+        return F.broadcast(self.spans) if small_enough(self.spans, self.spans.count()) else self.spans
 
     def around(self, df: DataFrame, axis: str, strip: str, pos: str) -> DataFrame:
         """df with the span around each coordinate; rows outside the axis are dropped.

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import SALTS, durable, join_checked
+from ..durable import durable, join_checked
 from ..functions.columns import correlation, histogram_bin, is_finite
 from ..model import HIST_BINS, HIST_PROBS
 
@@ -283,18 +283,13 @@ def covariances(pairs: DataFrame, keys=("config", "pair")) -> DataFrame:
         for n, f in (("cov", F.covar_samp), ("corr", correlation)) for s in SIDES])
 
 
-def thin(rows: DataFrame, keys, order: Column, max_points: int = 30000) -> DataFrame:
-    """At most max_points rows per key, the first by `order` (a hash of the row's identity).
+def thin(rows: DataFrame, identity: Column, fraction: float) -> DataFrame:
+    """About this fraction of the rows, for drawing: those whose identity falls low in [0, 1).
 
-    A repeatable draw without replacement. Rows are first cut per (key, salt), in parallel
-    and pruned before the shuffle; only max_points rows per salt reach the final cut.
+    identity is a number in [0, 1) made from what names a row, so the draw is repeatable. It
+    is a filter: no sort and no shuffle.
     """
-    keys = list(keys)
-    salted = rows.withColumn("_o", order).withColumn("_salt", F.pmod(F.xxhash64("_o"), F.lit(SALTS)))
-    for group in ([*keys, "_salt"], keys):
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy("_o"))
-        salted = salted.withColumn("_r", rank).filter(F.col("_r") <= max_points).drop("_r")
-    return salted.drop("_o", "_salt")
+    return rows.where(identity < F.lit(float(fraction)))
 
 
 def joint_compare(pairs: DataFrame, keys=("config", "pair"), limits: DataFrame | None = None,

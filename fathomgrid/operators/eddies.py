@@ -75,8 +75,8 @@ def flux_rows(profile: DataFrame, value: str, dz: float) -> DataFrame:
             .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
 
 
-def depth_integral(rows: DataFrame, value: str, keys=("config", "flux"), z: str = "obs_depth") -> DataFrame:
-    """Trapezoidal integral over depth, surface to bottom; missing if any level is.
+def depth_integral(rows: DataFrame, value: str, levels: int, keys=("config", "flux"), z: str = "obs_depth") -> DataFrame:
+    """Trapezoidal integral over depth, surface to bottom; missing if any of the levels is.
 
     z decreases downward, so the integral of a positive profile is negative. The window
     holds one profile.
@@ -85,23 +85,24 @@ def depth_integral(rows: DataFrame, value: str, keys=("config", "flux"), z: str
     piece = F.lit(0.5) * (F.col(value) + F.lead(value).over(w)) * (F.lead(z).over(w) - F.col(z))
     return (rows.withColumn("piece", piece).groupBy(*keys)
             .agg(F.coalesce(F.sum("piece"), F.lit(0.0)).alias("total"),
-                 F.count_if(F.col(value).isNull()).alias("gaps"))
-            .select(*keys, F.when(F.col("gaps") == 0, F.col("total")).alias(value)))
+                 F.count(value).alias("present"))
+            .select(*keys, F.when(F.col("present") == levels, F.col("total")).alias(value)))
 
 
-def flux_integrals(array_flux: DataFrame, model_flux: DataFrame, dz: float) -> DataFrame:
-    """(config, flux, total_integral, glider_integral, recovered_frac)."""
-    total = depth_integral(flux_rows(model_flux, "total_integral", dz), "total_integral")
-    seen = depth_integral(flux_rows(array_flux, "glider_integral", dz), "glider_integral")
-    return total.join(seen, ["config", "flux"]).withColumn(
+def flux_integrals(array_flux: DataFrame, model_flux: DataFrame, dz: float, levels: int) -> DataFrame:
+    """(config, flux, total_integral, glider_integral, recovered_frac) over this many levels."""
+    total = depth_integral(flux_rows(model_flux, "total_integral", dz), "total_integral", levels)
+    seen = depth_integral(flux_rows(array_flux, "glider_integral", dz), "glider_integral", levels)
+    return total.join(seen, ["config", "flux"], "full").withColumn(
         "recovered_frac", F.try_divide("glider_integral", "total_integral"))
 
 
-def flux_compare(array_flux: DataFrame, model_flux: DataFrame, dz: float) -> DataFrame:
+def flux_compare(array_flux: DataFrame, model_flux: DataFrame, dz: float, levels: int) -> DataFrame:
     """Both profiles side by side with the recovered fraction of each flux."""
     profiles = (flux_rows(model_flux, "total", dz)
-                .join(flux_rows(array_flux, "glider", dz).drop("obs_depth"), ["config", "flux", "k"]))
-    parts = flux_integrals(array_flux, model_flux, dz).select("config", "flux", "recovered_frac")
+                .drop("obs_depth").join(flux_rows(array_flux, "glider", dz).drop("obs_depth"), ["config", "flux", "k"], "full")
+                .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
+    parts = flux_integrals(array_flux, model_flux, dz, levels).select("config", "flux", "recovered_frac")
     return profiles.join(parts, ["config", "flux"])
 
 

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import BROADCAST_ROWS, durable, inside_ranges, measured
+from ..durable import durable, inside_ranges, measured, small_enough
 from ..functions.columns import interface, layer_mid
 from ..grid import Grid
-from ..model import ALIAS, CELL_KEYS, GRID
+from ..model import ALIAS, CELL_KEYS, GRID, levels_in
 from .geometry import hull_cells, interface_levels, obs_levels
 
 
@@ -79,17 +79,34 @@ def _vertical(cells: DataFrame, grid: Grid, levels, max_depth: float, dz: float,
 def _small(weights: DataFrame, *cols: str):
     """Weights with a broadcast hint if their measured size allows, and the scan range."""
     size = measured(weights, *cols)
-    hinted = F.broadcast(weights) if size["n"] <= BROADCAST_ROWS else weights
+    hinted = F.broadcast(weights) if small_enough(weights, size["n"]) else weights
     return hinted, inside_ranges(size, *cols)
 
 
+def all_times(cells: DataFrame, grid: Grid) -> DataFrame:
+    """The distinct times of a cell table, read once per grid and table from its time column alone."""
+    def make():
+        times = durable(cells.select("time").distinct(), "times")
+        return F.broadcast(times) if small_enough(times, times.count()) else times
+    return grid.once(("times", cells), make)
+
+
+def frame_rows(cells: DataFrame, grid: Grid, targets: DataFrame, levels, max_depth: float, dz: float) -> DataFrame:
+    """(time, ids..., k) of everything asked for: every target at every time and level."""
+    n = levels_in(max_depth, dz) + (1 if levels is interface_levels else 0)
+    k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.explode(F.array().cast("array<int>"))
+    return targets.withColumn("k", k).crossJoin(all_times(cells, grid))
+
+
 def apply_weights(cells: DataFrame, grid: Grid, horizontal: DataFrame, ids, outputs, max_depth: float,
-                  dz: float, levels=obs_levels, times=("time",)) -> DataFrame:
-    """The kernel: sum of weight * value per (times, ids, k).
+                  dz: float, levels=obs_levels, targets: DataFrame | None = None) -> DataFrame:
+    """The kernel: sum of weight * value per (time, ids, k).
 
     outputs maps a result column to the list of (variable, horizontal weight column,
     horizontal count column, z axis) terms added up in it. A result is NULL unless every
-    expected cell is present.
+    expected cell is present. targets: the ids asked for; each gets a row at every time and
+    level, also where its stencil or all its cells are missing. These rows take part in the
+    one aggregation and need no join of their own.
 
     The row, column and level ranges of the weights are pushed into the scan as literals;
     the joins then drop all other cells before the only shuffle, and the aggregation is
@@ -100,8 +117,11 @@ def apply_weights(cells: DataFrame, grid: Grid, horizontal: DataFrame, ids, outp
     zaxes = {t[3] for terms in outputs.values() for t in terms}
     vertical, in_levels = _vertical(cells, grid, levels, max_depth, dz, zaxes)
     used = sorted({t[0] for terms in outputs.values() for t in terms})
-    joined = (cells.filter(in_box & in_levels).select(*times, *CELL_KEYS, *used)
+    joined = (cells.filter(in_box & in_levels).select("time", *CELL_KEYS, *used)
               .join(horizontal, ["iy", "ix"]).join(vertical, ["iz"]))
+    if targets is not None:
+        frame = frame_rows(cells, grid, targets.select(*ids).distinct(), levels, max_depth, dz)
+        joined = joined.unionByName(frame, allowMissingColumns=True)
     aggs, result = [], []
     for name, terms in outputs.items():
         total, seen, expected = F.lit(0.0), F.lit(0), F.lit(0)
@@ -109,12 +129,12 @@ def apply_weights(cells: DataFrame, grid: Grid, horizontal: DataFrame, ids, outp
             term = F.col(hw) * F.col(f"zw_{axis}") * F.col(variable)
             total = total + F.coalesce(term, F.lit(0.0))
             seen = seen + term.isNotNull().cast("int")
-            expected = expected + F.max(F.col(hn) * F.col(f"zn_{axis}"))
+            expected = expected + F.coalesce(F.max(F.col(hn) * F.col(f"zn_{axis}")), F.lit(-1))
         aggs += [F.sum(total).alias(f"{name}_sum"), F.sum(seen).alias(f"{name}_seen"),
                  expected.alias(f"{name}_all")]
         complete = (F.col(f"{name}_seen") == F.col(f"{name}_all")) & (F.col(f"{name}_all") > 0)
         result.append(F.when(complete, F.col(f"{name}_sum")).alias(name))
-    return joined.groupBy(*times, *ids, "k").agg(*aggs).select(*ids, *times, "k", *result)
+    return joined.groupBy("time", *ids, "k").agg(*aggs).select(*ids, "time", "k", *result)
 
 
 def _plain_outputs(variables):
@@ -127,12 +147,13 @@ def sample_fields(cells: DataFrame, grid: Grid, positions: DataFrame,
     """Fields at every sensor and observation level.
 
     Pointwise bilinear in the horizontal, linear in depth:
-    (config, glider, lat, lon, time, k, U, V, T, S, obs_depth). A value whose stencil
-    has a missing cell, or lies outside the grid, is missing.
+    (config, glider, lat, lon, time, k, U, V, T, S, obs_depth), one row for every sensor,
+    time and level. A value whose stencil has a missing or absent cell, or lies outside the
+    grid or its levels, is missing.
     """
     ids = ["config", "glider", "lat", "lon"]
     horizontal = point_weights(grid, positions, ids, variables)
-    return (apply_weights(cells, grid, horizontal, ids, _plain_outputs(variables), max_depth, dz)
+    return (apply_weights(cells, grid, horizontal, ids, _plain_outputs(variables), max_depth, dz, targets=positions)
             .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
 
 
@@ -149,7 +170,7 @@ def model_region(cells: DataFrame, grid: Grid, positions: DataFrame,
     hull = hull_cells(grid, positions) if hull is None else hull
     centres = hull.withColumnsRenamed({"iy": "ty", "ix": "tx"})
     horizontal = point_weights(grid, centres, ids, variables)
-    values = apply_weights(cells, grid, horizontal, ids, _plain_outputs(variables), max_depth, dz)
+    values = apply_weights(cells, grid, horizontal, ids, _plain_outputs(variables), max_depth, dz, targets=centres)
     return (with_cell_position(values.withColumnsRenamed({"ty": "iy", "tx": "ix"}), grid)
             .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
 
@@ -163,9 +184,11 @@ def interp_levels(cells: DataFrame, grid: Grid, variables, max_depth: float, dz:
                   columns: DataFrame | None = None, levels=obs_levels) -> DataFrame:
     """Depth interpolation only, to layers or (levels=interface_levels) interfaces.
 
-    (iy, ix, time, k, values). columns, if given, restricts to those (iy, ix) and may
-    repeat them under a config.
+    (iy, ix, time, k, values), one row for every column, time and level. columns, if given,
+    restricts to those (iy, ix) and may repeat them under a config; else all columns of the
+    cell table are meant, at the times they occur.
     """
+    asked = columns
     vertical, in_levels = _vertical(cells, grid, levels, max_depth, dz, {GRID[v][2] for v in variables})
     ids, src = ["iy", "ix"], cells.filter(in_levels)
     if columns is not None:
@@ -173,12 +196,19 @@ def interp_levels(cells: DataFrame, grid: Grid, variables, max_depth: float, dz:
         src = src.filter(in_box).join(columns, ["iy", "ix"])
         ids = [c for c in columns.columns if c not in ids] + ids
     src = src.join(vertical, ["iz"])
+    if asked is None:
+        n = levels_in(max_depth, dz) + (1 if levels is interface_levels else 0)
+        frame = cells.select("iy", "ix", "time").distinct().withColumn(
+            "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    else:
+        frame = frame_rows(cells, grid, asked.select(*ids).distinct(), levels, max_depth, dz)
+    src = src.unionByName(frame, allowMissingColumns=True)
     aggs, out = [], []
     for v in variables:
         a, name = GRID[v][2], ALIAS[v]
         term = F.col(v) * F.col(f"zw_{a}")
         aggs += [F.sum(term).alias(f"{name}_sum"), F.count(term).alias(f"{name}_seen"),
-                 F.max(f"zn_{a}").alias(f"{name}_all")]
+                 F.coalesce(F.max(f"zn_{a}"), F.lit(-1)).alias(f"{name}_all")]
         full = (F.col(f"{name}_seen") == F.col(f"{name}_all")) & (F.col(f"{name}_all") > 0)
         out.append(F.when(full, F.col(f"{name}_sum")).alias(name))
     return src.groupBy(*ids, "time", "k").agg(*aggs).select(*ids, "time", "k", *out)
@@ -202,5 +232,5 @@ def centroid_w(cells: DataFrame, grid: Grid, positions: DataFrame,
     centre = positions.groupBy("config").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     horizontal = point_weights(grid, centre, ["config"], ["WVEL"])
     return (apply_weights(cells, grid, horizontal, ["config"], _plain_outputs(["WVEL"]), max_depth, dz,
-                          interface_levels)
+                          interface_levels, centre)
             .withColumnRenamed("W", "w_model").withColumn("depth", interface(F.col("k"), dz)))

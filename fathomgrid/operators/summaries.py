@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import join_checked
+from ..durable import inside_ranges, join_checked, measured
 from ..grid import Grid
 from ..model import ALIAS, GRID
 from .distributions import exact_percentiles
@@ -16,14 +16,17 @@ def domain_mean(cells: DataFrame, grid: Grid, max_depth: float,
                 variables=("UVEL", "VVEL", "WVEL")) -> DataFrame:
     """Mean over time and levels down to max_depth per (iy, ix); each variable on its own axis.
 
-    Levels count equally. One pass: the depth test is a per-level flag.
+    Levels count equally. One pass: the depth test is a per-level flag, and the range of
+    levels that pass it is pushed into the scan.
     """
     deep = F.lit(-float(max_depth))
     flags = grid.axes.filter(F.col("axis").isin(sorted({GRID[v][2] for v in variables}))).groupBy(
         F.col("idx").alias("iz")).agg(
         *[F.max(F.when(F.col("axis") == a, F.col("pos") >= deep)).alias(f"in_{a}")
           for a in sorted({GRID[v][2] for v in variables})])
-    joined = join_checked(cells.select("iz", "iy", "ix", *variables), flags, ["iz"])
+    size = measured(flags.where(F.greatest(*(c for c in flags.columns if c != "iz"), F.lit(False))), "iz")
+    used = cells.select("iz", "iy", "ix", *variables)
+    joined = join_checked(used.where(inside_ranges(size, "iz")), flags, ["iz"], size["n"])
     return joined.groupBy("iy", "ix").agg(
         *[F.avg(F.when(F.col(f"in_{GRID[v][2]}"), F.col(v))).alias(ALIAS[v]) for v in variables])
 

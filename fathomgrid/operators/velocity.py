@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..durable import durable, join_checked
 from ..functions.columns import correlation, interface, layer_mid
 from ..grid import Grid
-from ..model import EARTH_RADIUS_M
+from ..model import EARTH_RADIUS_M, levels_in
 from .geometry import hull_cells, interface_levels
 from .interpolation import apply_weights, centroid_w, interp_levels, point_weights_long, stencil_of
 
@@ -89,7 +89,7 @@ def array_divergence(cells: DataFrame, grid: Grid, positions: DataFrame,
 
     Interpolation and fit are both linear, so their weights are multiplied beforehand:
     one scan and one shuffle, without the per-sensor samples in between. Same result as
-    `planefit_divergence(sample_fields(...))`.
+    `planefit_divergence(sample_fields(...))`, with a row for every array, time and level.
     """
     ids = ["config", "glider"]
     variables = ("UVEL", "VVEL")
@@ -110,7 +110,7 @@ def array_divergence(cells: DataFrame, grid: Grid, positions: DataFrame,
               .filter("full").drop("full"))
     horizontal = per_cell.drop(f"reach_{u}", f"reach_{v}", "n_glider").join(usable, "config")
     terms = [(var, f"hw_{k}", f"hn_{k}", "Z") for var, k in (("UVEL", u), ("VVEL", v))]
-    return apply_weights(cells, grid, horizontal, ["config"], {"div": terms}, max_depth, dz)
+    return apply_weights(cells, grid, horizontal, ["config"], {"div": terms}, max_depth, dz, targets=positions)
 
 
 def layer_thickness(samples: DataFrame) -> DataFrame:
@@ -160,11 +160,15 @@ def hull_mean(field: DataFrame, values, keys=("config", "time", "k")) -> DataFra
     return field.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def remove_linear_trend(w: DataFrame, max_depth: float, keys=("config", "time"),
+def remove_linear_trend(w: DataFrame, max_depth: float, levels: int, keys=("config", "time"),
                         value: str = "w_model") -> DataFrame:
-    """Subtract the linear profile that carries w from 0 to its value at the deepest level."""
+    """Subtract the linear profile that carries w from 0 to its value at the deepest interface.
+
+    levels is the number of that interface; where its value is missing or absent, the whole
+    profile is missing.
+    """
     profile = Window.partitionBy(*keys)
-    bottom = F.max_by(F.struct(value), "k").over(profile)[value]
+    bottom = F.max(F.when(F.col("k") == levels, F.col(value))).over(profile)
     return w.withColumn(value, F.col(value) + bottom / F.lit(float(max_depth)) * F.col("depth"))
 
 
@@ -182,7 +186,7 @@ def model_w(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth: float
         w = w.withColumnRenamed("W", "w_model").withColumn("depth", interface(F.col("k"), dz))
     else:
         w = centroid_w(cells, grid, positions, max_depth, dz)
-    return remove_linear_trend(w, max_depth) if remove_barotropic else w
+    return remove_linear_trend(w, max_depth, levels_in(max_depth, dz)) if remove_barotropic else w
 
 
 def flux_divergence_weights(metrics: DataFrame, columns: DataFrame) -> DataFrame:
@@ -217,7 +221,8 @@ def cell_divergence(cells: DataFrame, grid: Grid, columns: DataFrame,
     """Flux divergence at each given cell and observation level: (config, iy, ix, time, k, div)."""
     horizontal = flux_divergence_weights(grid.metrics, columns)
     terms = [(v, f"hw_{stencil_of(v)}", f"hn_{stencil_of(v)}", "Z") for v in ("UVEL", "VVEL")]
-    return (apply_weights(cells, grid, horizontal, ["config", "ty", "tx"], {"div": terms}, max_depth, dz)
+    targets = columns.withColumnsRenamed({"iy": "ty", "ix": "tx"})
+    return (apply_weights(cells, grid, horizontal, ["config", "ty", "tx"], {"div": terms}, max_depth, dz, targets=targets)
             .withColumnsRenamed({"ty": "iy", "tx": "ix"}))
 
 
@@ -238,9 +243,12 @@ def w_bias(w_est: DataFrame, w_model: DataFrame) -> DataFrame:
 
 
 def divergence_correlation(estimated: DataFrame, true: DataFrame, keys=("config",)) -> DataFrame:
-    """Correlation over all times and levels; missing if any value is missing."""
+    """Correlation over all times and levels; missing if any value is missing.
+
+    A time or level that only one side has counts as missing in the other.
+    """
     pairs = (estimated.select(*keys, "time", "k", F.col("div").alias("e"))
-             .join(true.select(*keys, "time", "k", F.col("div").alias("m")), [*keys, "time", "k"]))
+             .join(true.select(*keys, "time", "k", F.col("div").alias("m")), [*keys, "time", "k"], "full"))
     gap = F.count_if(F.col("e").isNull() | F.col("m").isNull())
     return pairs.groupBy(*keys).agg(correlation(F.col("e"), F.col("m")).alias("c"), gap.alias("gaps")).select(
         *keys, F.when(F.col("gaps") == 0, F.col("c")).alias("div_corr"))

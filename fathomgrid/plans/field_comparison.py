@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -23,7 +23,7 @@ FIELDS = ("T", "S", "U", "V", "sigma0")
 
 
 def add_density(df: DataFrame) -> DataFrame:
-    """Add potential density anomaly sigma0 from T and S."""
+    """df with sigma0, the density of the water at surface pressure less 1000 kg/m3."""
     return df.withColumn("sigma0", sigma0(F.col("S"), F.col("T")))
 
 
@@ -41,6 +41,21 @@ class FieldComparison:
     max_depth: float = 70
     dz: float = 2
 
+    @property
+    def levels(self) -> int:
+        return levels_in(self.max_depth, self.dz)
+
+    def at_depth(self, max_depth: float) -> FieldComparison:
+        """The same comparison down to a smaller depth, from the tables of this one: no further scan."""
+        if max_depth > self.max_depth:
+            raise ValueError("only a smaller depth is contained in the tables")
+        self.prepare()
+        other = replace(self, max_depth=max_depth)
+        other.__dict__["hull"] = self.hull
+        for name in ("obs_raw", "true_raw", "div_obs", "div_true"):
+            other.__dict__[name] = getattr(self, name).where(F.col("k") < other.levels)
+        return other
+
     @cached_property
     def hull(self) -> DataFrame:
         return hull_cells(self.grid, self.positions)
@@ -61,7 +76,8 @@ class FieldComparison:
 
         Their jobs share the cluster instead of each leaving its tail idle.
         """
-        _ = self.hull, self.grid.spans
+        # what the three share is made first, by one thread
+        _ = self.hull, self.grid.spans, I.all_times(self.cells, self.grid)
         with ThreadPoolExecutor(3) as pool:
             list(pool.map(lambda name: getattr(self, name), ("true_raw", "obs_raw", "div_true")))
         return self
@@ -128,10 +144,10 @@ class FieldComparison:
         return durable(E.model_vertical_flux(self.true_raw), "model-flux")
 
     def fluxes(self) -> DataFrame:
-        return E.flux_compare(self.array_flux, self.model_flux, self.dz)
+        return E.flux_compare(self.array_flux, self.model_flux, self.dz, self.levels)
 
     def flux_integrals(self) -> DataFrame:
-        return E.flux_integrals(self.array_flux, self.model_flux, self.dz)
+        return E.flux_integrals(self.array_flux, self.model_flux, self.dz, self.levels)
 
     def flux_stats(self) -> DataFrame:
         return E.flux_profile_stats(self.array_flux, E.areamean_vertical_flux(self.true_raw),
@@ -142,12 +158,14 @@ class FieldComparison:
 
     def counts(self) -> DataFrame:
         """(config, n_glider, n_point, n_hull, n_time): n_point counts the box, n_hull the hull."""
+        # an array off the grid has no box, hull or time, and counts of 0
         gliders = self.positions.groupBy("config").agg(F.count(F.lit(1)).alias("n_glider"))
         box = box_spans(self.grid, self.positions).select("config", "n_point")
         hull = self.hull.groupBy("config").agg(F.count(F.lit(1)).alias("n_hull"))
         times = self.obs_raw.select("config", "time").distinct().groupBy("config").agg(
             F.count(F.lit(1)).alias("n_time"))
-        return gliders.join(box, "config").join(hull, "config").join(times, "config")
+        return (gliders.join(box, "config", "left").join(hull, "config", "left").join(times, "config", "left")
+                .fillna(0, ["n_point", "n_hull", "n_time"]))
 
     def stats_record(self, tstep: int = 1) -> DataFrame:
         """One nested record per array, the shape the JSON sink writes."""
@@ -158,13 +176,14 @@ class FieldComparison:
         flux = self.flux_integrals()
         fluxes = flux.groupBy("config").agg(F.map_from_entries(F.collect_list(F.struct(
             "flux", F.struct("total_integral", "glider_integral", "recovered_frac")))).alias("flux"))
-        return (self.counts().join(self.div_corr(), "config").join(fields, "config").join(fluxes, "config")
+        return (self.counts().join(self.div_corr(), "config", "left").join(fields, "config", "left")
+                .join(fluxes, "config", "left")
                 .select(F.col("config").alias("name"), F.lit(self.max_depth).alias("max_depth"),
                         F.lit(tstep).alias("tstep"), "n_glider", "n_point", "n_hull", "n_time",
                         "div_corr", "fields", "flux"))
 
 
 def write_stats(records: DataFrame, path: str) -> None:
-    """Write stats records as JSON below <path>/max_depth=<m>/config=<name>/."""
+    """Add stats records as JSON below <path>/max_depth=<m>/config=<name>/; other depths and arrays stay."""
     (records.withColumn("config", F.col("name"))
-     .write.partitionBy("max_depth", "config").json(path))
+     .write.mode("append").partitionBy("max_depth", "config").json(path))

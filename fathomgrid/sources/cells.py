@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +40,47 @@ def write_cells(cells: DataFrame, path: str, iters_per_part: int = 288) -> None:
      .write.partitionBy(*PARTS).parquet(path))
 
 
-def load_model(cells: DataFrame, iters=None, ref_date: str = "2012-10-01",
-               delta_t: int = 300, fill: float = FILL_VALUE) -> DataFrame:
+# The date of snapshot 0 and the seconds of a model step.
+REF_DATE, DELTA_T = "2012-10-01", 300
+
+
+def label_span(label: str) -> tuple[datetime, datetime]:
+    """Start of the span an ISO label names, and start of what follows it."""
+    if len(label) not in _LABEL_UNITS:
+        raise ValueError(f"unsupported time label {label!r}")
+    start = datetime.fromisoformat(label + _LABEL_PAD[len(label):])
+    unit = _LABEL_UNITS[len(label)]
+    if unit == "YEAR":
+        return start, start.replace(year=start.year + 1)
+    if unit == "MONTH":
+        return start, (start + timedelta(days=32)).replace(day=1)
+    return start, start + timedelta(**{unit.lower() + "s": 1})
+
+
+def load_model(cells: DataFrame, iters=None, ref_date: str = REF_DATE, delta_t: int = DELTA_T, fill: float = FILL_VALUE,
+               start: str | None = None, end: str | None = None, stride: int = 1, every: int | None = None) -> DataFrame:
     """Select snapshots, stamp their time, and turn fill values into NULL.
 
     Only data columns are masked, never the cell indices. `iters` is a range or list of
-    snapshot numbers; its bounds skip folders and row groups of a stored table.
+    snapshot numbers. start and end are ISO labels, both inclusive, as in `time_slice`;
+    stride keeps every so many snapshots of a table with one every `every` steps, counted
+    from the first at or after start. All become bounds and tests on the snapshot number,
+    which skip folders and row groups of a stored table.
     """
     df = cells
+    zero = datetime.fromisoformat(ref_date)
+    lo = None if start is None else -(-int((label_span(start)[0] - zero).total_seconds()) // delta_t)
+    hi = None if end is None else -(-int((label_span(end)[1] - zero).total_seconds()) // delta_t) - 1
+    for bound, test, folder in ((lo, F.col("iter") >= F.lit(lo), "iter_to"), (hi, F.col("iter") <= F.lit(hi), "iter_from")):
+        if bound is not None:
+            df = df.filter(test)
+            if folder in df.columns:
+                df = df.filter(F.col(folder) >= bound if folder == "iter_to" else F.col(folder) <= bound)
+    if stride > 1:
+        if not every:
+            raise ValueError("a stride on snapshot numbers needs their spacing")
+        first = df.agg(F.min("iter")).first()[0]
+        df = df.filter((F.col("iter") - F.lit(first)) % (stride * every) == 0)
     if iters is not None:
         lo, hi = min(iters), max(iters)
         df = df.filter(F.col("iter").between(lo, hi))

@@ -77,11 +77,13 @@ def test_integrals_and_recovered_fraction(spark):
             "config string, k int, " + ", ".join(f"{c} double" for c in cols))
     model = profile(wT=[1, 2, 4], wS=[0, 0, 0], wU=[1, None, 1])
     array = profile(wT=[2, 2, 2], wS=[1, 1, 1], wU=[1, 1, 1])
-    got = {r["flux"]: r for r in E.flux_integrals(array, model, 2.0).collect()}
+    got = {r["flux"]: r for r in E.flux_integrals(array, model, 2.0, 3).collect()}
     z = np.array([-1.0, -3.0, -5.0])
     assert got["wT"]["total_integral"] == pytest.approx(np.trapezoid([1, 2, 4], z))
     assert got["wT"]["recovered_frac"] == pytest.approx(-8 / np.trapezoid([1, 2, 4], z))
     assert got["wS"]["total_integral"] == 0 and got["wS"]["recovered_frac"] is None
     assert got["wU"]["total_integral"] is None and got["wU"]["glider_integral"] == -4
+    short = {r["flux"]: r for r in E.flux_integrals(array, model.filter("k < 2"), 2.0, 3).collect()}
+    assert short["wT"]["total_integral"] is None and short["wT"]["glider_integral"] == -8
     stats = {r["flux"]: r for r in E.flux_profile_stats(array, model, model, 2.0).collect()}
     assert stats["wT"]["array_dmean"] == 2 and stats["wT"]["total_dmean"] == pytest.approx(7 / 3)

@@ -173,7 +173,7 @@ def test_kernel_without_broadcast_gives_the_same(spark, cube, monkeypatch):
     pos = positions_df(spark, hexagon(0.01, 220.0, 0.13))
     cols = ["config", "glider", "time", "k", "U", "V", "T", "S"]
     one = I.sample_fields(load_model(cube.raw), cube.grid, pos, max_depth=12, dz=2).select(cols).toPandas()
-    monkeypatch.setattr(I, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("fathomgrid.durable.BROADCAST_ROWS", 0)
     two = I.sample_fields(load_model(cube.raw), cube.grid, pos, max_depth=12, dz=2).select(cols).toPandas()
     order = ["config", "glider", "time", "k"]
     one, two = (f.sort_values(order).reset_index(drop=True) for f in (one, two))
