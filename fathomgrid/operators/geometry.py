@@ -86,7 +86,7 @@ def nearest_level(levels: DataFrame, depth: float, keys=("config",), z: str = "d
 
 # ---------------------------------------------------------------- convex hull
 
-def _half_hull(points: Column, eps: float) -> Column:
+def _half_hull(points: Column, eps: Column) -> Column:
     """One side of the hull of points sorted by (lon, lat).
 
     Folding in the next point drops the tail of the chain that it sees from the outside.
@@ -96,14 +96,14 @@ def _half_hull(points: Column, eps: float) -> Column:
     def add(chain, p):
         def hidden(i):
             a, b = F.element_at(chain, i), F.element_at(chain, i + 1)
-            return turn(a["lon"], a["lat"], b["lon"], b["lat"], p["lon"], p["lat"]) > F.lit(eps)
+            return turn(a["lon"], a["lat"], b["lon"], b["lat"], p["lon"], p["lat"]) > eps
         stay = F.when(F.size(chain) < 2, F.size(chain)).otherwise(
             F.size(F.filter(F.sequence(F.lit(1), F.size(chain) - 1), hidden)) + 1)
         return F.concat(F.slice(chain, F.lit(1), stay), F.array(p))
     return F.aggregate(points, F.array().cast(POINT), add)
 
 
-def _hull_of(points: Column, eps: float) -> Column:
+def _hull_of(points: Column, eps: Column) -> Column:
     """Hull vertices, anticlockwise from the westernmost point; collinear ones dropped."""
     lower, upper = _half_hull(points, eps), _half_hull(F.reverse(points), eps)
     def open_end(chain):
@@ -112,44 +112,51 @@ def _hull_of(points: Column, eps: float) -> Column:
 
 
 def hull_vertices(positions: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """(config, vertices): convex hull of each array as one anticlockwise point list.
+    """(config, vertices, problem): convex hull of each array as one anticlockwise point list.
 
-    Arrays of up to HULL_PART sensors are handled in one step. Larger ones are cut into
-    parts whose hulls are taken first: the hull of all parts' vertices is the same hull.
+    eps is relative: turns below eps times the square of the array's extent count as straight,
+    in parts and in the whole alike. An array that spans no area keeps its row, with a problem
+    named instead of vertices. Arrays above HULL_PART sensors are first cut into parts whose
+    hulls are taken: the hull of all parts' vertices is the same hull.
     """
+    extent = F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"))
+    about = durable(positions.groupBy("config").agg((extent * extent * F.lit(eps)).alias("eps"), F.count(F.lit(1)).alias("size")),
+                    "extents")
+    largest = about.agg(F.max("size")).first()[0] or 0
     points = positions.select("config", F.struct("lon", "lat").alias("p"))
-    while True:
-        sizes = points.groupBy("config").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.agg(F.max("size")).first()[0] or 0
-        if largest <= HULL_PART:
-            break
-        cut = points.join(sizes, "config").withColumn(
-            "part", F.pmod(F.xxhash64("p"), F.ceil(F.col("size") / (HULL_PART / 4))).cast("int"))
-        reduced = (_collect_hull(cut, ["config", "part"], eps)
-                   .select("config", F.explode("vertices").alias("p")))
-        left = reduced.groupBy("config").count().agg(F.max("count")).first()[0]
-        points = reduced
+    while largest > HULL_PART:
+        sizes = points.groupBy("config").agg(F.count(F.lit(1)).alias("n"))
+        cut = points.join(sizes, "config").join(about.select("config", "eps"), "config").withColumn(
+            "part", F.pmod(F.xxhash64("p"), F.ceil(F.col("n") / (HULL_PART / 4))).cast("int"))
+        points = durable(_collect_hull(cut, ["config", "part", "eps"]).select("config", F.explode("vertices").alias("p")), "hull-parts")
+        left = points.groupBy("config").count().agg(F.max("count")).first()[0] or 0
         if left > largest / 2:  # most sensors are hull vertices: the result itself is that large
             break
-    hulls = _collect_hull(points, ["config"], eps)
-    flat = F.raise_error(F.concat(F.lit("array "), F.col("config"), F.lit(" spans no area")))
-    return hulls.withColumn("vertices", F.when(F.size("vertices") < 3, flat.cast(POINT))
-                            .otherwise(F.col("vertices")))
+        largest = left
+    hulls = _collect_hull(points.join(about.select("config", "eps"), "config"), ["config", "eps"])
+    flat = F.size("vertices") < 3
+    return hulls.select("config", F.when(~flat, F.col("vertices")).alias("vertices"), F.when(flat, "spans no area").alias("problem"))
 
 
-def _collect_hull(points: DataFrame, keys, eps: float) -> DataFrame:
+def _collect_hull(points: DataFrame, keys) -> DataFrame:
     return (points.groupBy(*keys).agg(F.sort_array(F.collect_set("p")).alias("pts"))
-            .select(*keys, _hull_of(F.col("pts"), eps).alias("vertices")))
+            .select(*keys, _hull_of(F.col("pts"), F.col("eps")).alias("vertices")))
 
 
 def hull_edges(positions: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """(config, x0, y0, x1, y1): directed hull edges, interior on the left."""
+    """(config, x0, y0, x1, y1): directed hull edges, interior on the left; none of a flat array."""
+    return _edges(hull_vertices(positions, eps)).drop("y_min", "y_max")
+
+
+def _edges(hulls: DataFrame) -> DataFrame:
     v = F.col("vertices")
     nxt = F.concat(F.slice(v, F.lit(2), F.size(v) - 1), F.slice(v, F.lit(1), F.lit(1)))
-    return (hull_vertices(positions, eps)
-            .select("config", F.explode(F.arrays_zip(v.alias("a"), nxt.alias("b"))).alias("e"))
+    lat = F.transform(v, lambda p: p["lat"])
+    return (hulls.where("problem is null")
+            .select("config", F.array_min(lat).alias("y_min"), F.array_max(lat).alias("y_max"),
+                    F.explode(F.arrays_zip(v.alias("a"), nxt.alias("b"))).alias("e"))
             .select("config", F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"),
-                    F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1")))
+                    F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1"), "y_min", "y_max"))
 
 
 def _index_range(df: DataFrame, grid: Grid, axis: str, lo: str, hi: str, first: str, last: str) -> DataFrame:
@@ -201,19 +208,18 @@ def hull_cells(grid: Grid, positions: DataFrame) -> DataFrame:
     """Durable (config, iy, ix, lat, lon): tracer cell centres strictly inside each array's hull.
 
     Scan lines: on a line of latitude the hull reaches from its falling to its rising edge
-    (interior on the left), so each grid row is cut once and only the columns between the
-    two ends are listed. The result has no time or depth and feeds several operators, so
-    it is written once.
+    (interior on the left). Every edge is listed on the grid rows it crosses, two edges a row,
+    and only the columns between them are listed. The result has no time or depth and feeds
+    several operators, so it is written once.
     """
-    box = hull_bbox(positions, margin=0)
-    lines = _index_range(box, grid, "YC", "lat_min", "lat_max", "iy0", "iy1")
-    rows = (_rows_of(grid, lines.select("config", "iy0", "iy1", "lat_min", "lat_max"))
-            .filter((F.col("lat") > F.col("lat_min")) & (F.col("lat") < F.col("lat_max"))))
-    rise, lat = F.col("y1") - F.col("y0"), F.col("lat")
-    at = F.col("x0") + (F.col("x1") - F.col("x0")) * (lat - F.col("y0")) / rise
-    edges = hull_edges(positions).filter("y0 <> y1")
-    cut = (rows.join(edges, "config")
-           .filter(lat.between(F.least("y0", "y1"), F.greatest("y0", "y1")))
+    rise, lat = F.col("by") - F.col("ay"), F.col("lat")
+    at = F.col("ax") + (F.col("bx") - F.col("ax")) * (lat - F.col("ay")) / rise
+    edges = (_edges(hull_vertices(positions)).filter("y0 <> y1")
+             .withColumnsRenamed({"x0": "ax", "y0": "ay", "x1": "bx", "y1": "by"})
+             .withColumns({"low": F.least("ay", "by"), "high": F.greatest("ay", "by")}))
+    crossed = _index_range(edges, grid, "YC", "low", "high", "iy0", "iy1")
+    cut = (crossed.withColumn("iy", F.explode(F.sequence("iy0", "iy1"))).join(grid.nodes("YC", "iy", "lat"), "iy")
+           .filter((lat > F.col("y_min")) & (lat < F.col("y_max")))
            .groupBy("config", "iy", "lat")
            .agg(F.max(F.when(rise < 0, at)).alias("west"), F.min(F.when(rise > 0, at)).alias("east"))
            .filter(F.col("west") < F.col("east")))

@@ -47,9 +47,13 @@ def test_hull_drops_inner_and_collinear_points(spark):
         (0.0, -1.0), (2.0, -1.0), (2.0, 1.0), (0.0, 1.0)}
 
 
-def test_hull_of_a_line_is_an_error(spark):
-    with pytest.raises(Exception, match="spans no area"):
-        G.hull_edges(positions_df(spark, [("l", g, 0.1 * g, 0.2 * g) for g in range(4)])).collect()
+def test_a_line_is_marked_and_others_go_on(spark):
+    rows = [("l", g, 0.1 * g, 0.2 * g) for g in range(4)] + hexagon(0.0, 220.0, 0.1) + [
+        ("tiny", 0, 0.0, 220.0), ("tiny", 1, 5e-7, 220.0), ("tiny", 2, 0.0, 220.0000005)]
+    got = {r["config"]: r for r in G.hull_vertices(positions_df(spark, rows)).collect()}
+    assert got["l"]["problem"] == "spans no area" and got["l"]["vertices"] is None
+    assert len(got["hex"]["vertices"]) == 6 and len(got["tiny"]["vertices"]) == 3
+    assert {r["config"] for r in G.hull_edges(positions_df(spark, rows)).collect()} == {"hex", "tiny"}
 
 
 def test_large_array_hull_is_built_in_parts(spark, monkeypatch):
