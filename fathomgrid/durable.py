@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,36 @@ def durable_root(spark: SparkSession) -> str:
     return root
 
 
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df once to the shared folder; later reads prune columns and row groups."""
+_written: list[str] = []
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables of a run when it ends.
+
+    Results must be written or collected inside; tables made with keep=True stay.
+    """
+    first = len(_written)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written[first:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _written[first:]
+
+
+def durable(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+    """Write df once to the shared folder; later reads prune columns and row groups.
+
+    keep: the table outlives the `run_scope` it is made in.
+    """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{durable_root(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

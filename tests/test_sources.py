@@ -159,3 +159,18 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
 def test_shared_folder_is_the_clusters(spark, tmp_path):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert durable_module.durable_root(spark) == named.rstrip("/")
+
+
+def test_a_run_leaves_no_tables(spark, tmp_path):
+    import os
+
+    from fathomgrid.durable import durable, durable_root, run_scope
+
+    root = f"{durable_root(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    with run_scope(spark):
+        kept = durable(spark.range(5).toDF("id"), "kept", keep=True)
+        inner = durable(spark.range(5).toDF("id"), "inner")
+        assert inner.count() == 5
+        there = set(os.listdir(root))
+    assert {n.rsplit("-", 1)[0] for n in there - set(os.listdir(root))} == {"inner"}
+    assert kept.count() == 5
