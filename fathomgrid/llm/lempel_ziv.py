@@ -6,8 +6,8 @@ would compress well together. A fingerprint is the signature of minimum hashes o
 set, and the likeness of two fingerprints, the share of equal minima, estimates the overlap of the
 sets.
 
-A phrase is known by its hash, which is also the state of the parser, so parsing costs one set
-lookup per byte and can go on from the middle of a text with another ending.
+Phrases are numbered in a trie, so parsing costs one lookup per byte and can go on from the middle
+of a text with another ending; a phrase's hash is made from its parent's when it is entered.
 """
 
 from __future__ import annotations
@@ -28,32 +28,34 @@ _GROW = 0x1E3779B97F4A7C15 & _MASK
 
 
 class Phrases:
-    """Phrases of the bytes fed so far."""
+    """Phrases of the bytes fed so far: a trie of numbered phrases, and the hash of each."""
 
-    __slots__ = ("seen", "state")
+    __slots__ = ("child", "hashes", "state")
 
-    def __init__(self, seen=(), state: int = 0):
-        self.seen, self.state = set(seen), state
+    def __init__(self, child=(), hashes=(0,), state: int = 0):
+        self.child, self.hashes, self.state = dict(child), list(hashes), state
 
     def copy(self) -> Phrases:
-        return Phrases(self.seen, self.state)
+        return Phrases(self.child, self.hashes, self.state)
 
     def feed(self, data: bytes) -> Phrases:
-        seen, at = self.seen, self.state
+        child, hashes, at = self.child, self.hashes, self.state
+        find = child.get
         for b in data:
-            now = (at ^ b + 1) * _GROW & _MASK
-            now ^= now >> 29
-            if now in seen:
+            key = at << 8 | b
+            now = find(key)
+            if now:
                 at = now
             else:
-                seen.add(now)
+                child[key] = len(hashes)
+                hashes.append((hashes[at] + b + 1) * _GROW & _MASK)
                 at = 0
         self.state = at
         return self
 
     def signature(self, family) -> np.ndarray:
         """Minimum hashes; a last phrase that was seen before adds nothing. No phrases: all ones."""
-        return minima(mix(np.fromiter(self.seen, np.uint64, len(self.seen))), family).astype(">u4")
+        return minima(mix(np.array(self.hashes[1:], np.uint64)), family).astype(">u4")
 
 
 def phrase_signature(text: str) -> np.ndarray:

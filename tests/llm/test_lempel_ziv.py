@@ -16,9 +16,9 @@ def phrases(data: bytes) -> set[bytes]:
 
 def test_as_many_phrases_as_brute_force():
     for t in ["", "a", "aaaaaaa", "abababababab", "the cat the cat the dog " * 20, "é日本" * 30]:
-        assert len(Phrases().feed(t.encode()).seen) == len(phrases(t.encode()))
+        assert len(set(Phrases().feed(t.encode()).hashes[1:])) == len(phrases(t.encode()))
     a, b = "the quick brown fox jumps " * 3, "over the lazy dog " * 4
-    assert Phrases().feed(a.encode()).copy().feed(b.encode()).seen == Phrases().feed((a + b).encode()).seen
+    assert Phrases().feed(a.encode()).copy().feed(b.encode()).hashes == Phrases().feed((a + b).encode()).hashes
 
 
 def test_likeness_follows_overlap():
