@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from itertools import groupby
 
 import numpy as np
@@ -108,8 +109,32 @@ class Pieces:
         return node, ids[::-1]
 
     def trace(self, text: str) -> list[int]:
-        """ids of the best path through a whole text."""
-        return self.walk(text, self.forward(text, 0, [0]), 0, len(text))[1]
+        """ids of the best path through a whole text; the same as forward and walk from its start."""
+        get, longest, n = self.table.get, self.longest, len(text)
+        best, back, last = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0
+        for at in range(n):
+            base, any_one = best[at], False
+            for j in range(at + 1, min(n, at + longest) + 1):
+                found = get(text[at:j], 0)
+                if found:
+                    score = base + found[0]
+                    if score > best[j]:
+                        best[j], back[j], last[j] = score, at, found[1]
+                    if j == at + 1:
+                        any_one = True
+                elif found == 0:
+                    break
+            if not any_one:
+                score = base + self.byte_score * len(text[at].encode())
+                if score > best[at + 1]:
+                    best[at + 1], back[at + 1], last[at + 1] = score, at, -1
+        ids: list[int] = []
+        while n:
+            at, piece = back[n], last[n]
+            ids.extend([piece] if piece >= 0 else [self.byte[b] for b in reversed(text[at].encode())])
+            n = at
+        return ids[::-1]
 
     def encode(self, text: str) -> bytes:
         """ids of a text as little-endian 32-bit numbers; a space is put in front, as the model was made."""
@@ -131,13 +156,36 @@ class Pieces:
         data = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         return data.decode("utf-8", "replace")[1:]
 
+    def is_cut(self, text: str, at: int) -> bool:
+        """Whether no piece can cross this position."""
+        return self.cuts and (text[at] == " " != text[at - 1] or text[at] == "\n" or text[at - 1] == "\n")
+
+    def scores(self, text: str, start: int) -> list[tuple[int, int]]:
+        """Best scores, from a node, of the nodes less than a piece before the end."""
+        get, longest, n = self.table.get, self.longest, len(text)
+        best = [NEVER] * (n + 1)
+        best[start] = 0
+        for at in range(start, n):
+            base, any_one = best[at], False
+            for j in range(at + 1, min(n, at + longest) + 1):
+                found = get(text[at:j], 0)
+                if found:
+                    best[j] = max(best[j], base + found[0])
+                    any_one |= j == at + 1
+                elif found == 0:
+                    break
+            if not any_one:
+                best[at + 1] = max(best[at + 1], base + self.byte_score * len(text[at].encode()))
+        return [(at, best[at]) for at in range(max(start, n - longest + 1), n + 1)]
+
     def transfer(self, text: str, start: int) -> np.ndarray:
         """Matrix of a chunk that begins at `start` of `text`; what stands before is the end of the last chunk.
 
         Entry [i, j]: best score from node start - i, leaving it beyond the start, to node end - j.
         """
-        size, end = self.longest, len(text)
-        best = {}
+        size, whole, best = self.longest, len(text), {}
+        # every path has a node at a cut; from there on all states move alike
+        end = next((k for k in range(start + 1, whole) if self.is_cut(text, k)), whole)
         for i in range(min(size, start + 1)):
             for j, score, _ in self.edges(text, start - i, end):
                 if j > start or i == 0:
@@ -150,7 +198,11 @@ class Pieces:
             row = best.pop(at, None)
             if row is None:
                 continue
-            if end - at < size:
+            if end < whole and at == end:
+                for node, score in self.scores(text, end):
+                    out[:, whole - node] = np.where(row > NEVER, row + score, NEVER)
+                return out
+            if end == whole and end - at < size:
                 out[:, end - at] = row
             for j, score, _ in self.edges(text, at, end):
                 to = best.get(j)
@@ -202,11 +254,10 @@ def _chunks(size: int, overlap: int):
     return run
 
 
-def _matrices(model_file):
+def _matrices(pieces):
     schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("c", pa.int32()), ("matrix", pa.binary())])
 
     def run(batches):
-        pieces = Pieces(model_file)
         for d, h, c, start, text in rows_in(batches, "d", "h", "c", "start", "text"):
             yield to_arrow(schema, [[d], [h], [c], [pieces.transfer(text, start).tobytes()]])
 
@@ -223,12 +274,11 @@ def _entries(batches):
         yield to_arrow(schema, [[d] * len(scores), [h] * len(scores), range(len(scores)), scores])
 
 
-def _maps(model_file):
+def _maps(pieces):
     """For every chunk and state at its end, the state at its start."""
     schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("c", pa.int32()), ("origin", pa.list_(pa.int32()))])
 
     def run(batches):
-        pieces = Pieces(model_file)
         for d, h, c, start, text, entry in rows_in(batches, "d", "h", "c", "start", "text", "entry"):
             back = pieces.forward(text, start, entry[:start + 1])
             origin = []
@@ -253,11 +303,10 @@ def _states(batches):
         yield to_arrow(schema, [[d] * n, [h] * n, range(n), states[::-1]])
 
 
-def _traced(model_file):
+def _traced(pieces):
     schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("c", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
-        pieces = Pieces(model_file)
         for d, h, c, start, text, entry, leave in rows_in(batches, "d", "h", "c", "start", "text", "entry", "exit"):
             back = pieces.forward(text, start, entry[:start + 1])
             ids = pieces.walk(text, back, start, len(text) - leave)[1]
@@ -272,11 +321,11 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     Texts of more than `giant` characters take the way through chunks; the result is the same.
     """
+    pieces = Pieces(model_file)  # read once, and sent along with the tasks
     rows = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.binary())])
 
     def direct(batches):
-        pieces = Pieces(model_file)
         out, size = [], 0
         for doc_id, text in rows_in(batches, "doc_id", "text"):
             out.append((doc_id, text, pieces.encode(text)))
@@ -290,16 +339,15 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     short = rows.where(F.char_length("text") <= giant).mapInArrow(direct, "doc_id bigint, text string, ids binary")
     long = rows.where(F.char_length("text") > giant).select(
         "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), text_hash(F.col("text")).alias("h"), "text")
-    longest = Pieces(model_file).longest
-    parts = stage(long.dropDuplicates(["d", "h"]).mapInArrow(_chunks(chunk, longest), "d bigint, h bigint, c int, start int, text string")
+    parts = stage(long.dropDuplicates(["d", "h"]).mapInArrow(_chunks(chunk, pieces.longest), "d bigint, h bigint, c int, start int, text string")
                   .repartition("d", "h", "c"), "chunks")
-    matrices = parts.mapInArrow(_matrices(model_file), "d bigint, h bigint, c int, matrix binary")
+    matrices = parts.mapInArrow(_matrices(pieces), "d bigint, h bigint, c int, matrix binary")
     entries = (matrices.repartition("d", "h").sortWithinPartitions("d", "h", "c")
                .mapInArrow(_entries, "d bigint, h bigint, c int, entry array<bigint>"))
     parts = stage(parts.join(entries, ["d", "h", "c"]), "scored-chunks")
-    states = (parts.mapInArrow(_maps(model_file), "d bigint, h bigint, c int, origin array<int>")
+    states = (parts.mapInArrow(_maps(pieces), "d bigint, h bigint, c int, origin array<int>")
               .repartition("d", "h").sortWithinPartitions("d", "h", "c").mapInArrow(_states, "d bigint, h bigint, c int, exit int"))
-    traced = parts.join(states, ["d", "h", "c"]).mapInArrow(_traced(model_file), "d bigint, h bigint, c int, ids binary")
+    traced = parts.join(states, ["d", "h", "c"]).mapInArrow(_traced(pieces), "d bigint, h bigint, c int, ids binary")
     whole = traced.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("c", "ids"))).alias("parts")).select(
         "d", "h", F.expr("aggregate(parts, cast('' as binary), (x, p) -> concat(x, p.ids))").alias("ids"))
     return short.unionByName(long.join(whole, ["d", "h"]).select("doc_id", "text", "ids"))
@@ -313,13 +361,19 @@ ENCODED_SQL = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip bool
 def decode_documents(encoded: DataFrame, model_file: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, whether the decoded ids are the text, and the ids."""
 
-    def run(batches):
-        import zlib
+    pieces = Pieces(model_file)
 
-        pieces = Pieces(model_file)
+    def run(batches):
+        out, size = [], 0
         for doc_id, text, ids in rows_in(batches, "doc_id", "text", "ids"):
-            numbers = [np.frombuffer(ids, "<u4").astype(np.int32)] if with_ids else [None]
-            yield to_arrow(ENCODED, [[doc_id], [len(ids) // 4], [zlib.crc32(ids)], [pieces.decode(ids) == text], numbers])
+            numbers = np.frombuffer(ids, "<u4").astype(np.int32) if with_ids else None
+            out.append((doc_id, len(ids) // 4, zlib.crc32(ids), pieces.decode(ids) == text, numbers))
+            size += len(ids)
+            if size > 1 << 20:
+                yield to_arrow(ENCODED, [list(c) for c in zip(*out)])
+                out, size = [], 0
+        if out:
+            yield to_arrow(ENCODED, [list(c) for c in zip(*out)])
 
     out = encoded.mapInArrow(run, ENCODED_SQL)
     return out if with_ids else out.drop("ids")
