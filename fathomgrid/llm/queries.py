@@ -67,7 +67,7 @@ def op6_decontamination(spark, sf_dir):
 
 def op8_near_duplicates(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    found = near_duplicates.near_duplicates(docs, near_duplicates.Rule(words=3, percent=85, bands=40, rows=6))
+    found = near_duplicates.near_duplicates(docs, near_duplicates.Rule(words=3, percent=85, bands=32, rows=6))
     return found.select(F.col("d").alias("doc_id"), "n_shingles", "component_id",
                         (F.col("d") == F.col("component_id")).alias("kept"))
 
@@ -93,4 +93,39 @@ QUERIES = {
     "op9_lempel_ziv": op9_lempel_ziv,
     "op10_html_text": op10_html_text,
 }
-ORACLES = {}
+# Repeated 100-byte strings: windows of the hexadecimal bytes, ranked by first occurrence; later ones merge to spans.
+SUFFIXES_SQL = """
+with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+windows as (select doc_id, p, substr(x, 2 * p + 1, 200) as w from (
+    select doc_id, x, unnest(range(0, greatest(n - 99, 0))) as p from bytes)),
+later as (select doc_id, p from windows qualify row_number() over (partition by w order by doc_id, p) > 1),
+islands as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as island from (
+    select *, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end as fresh from later)),
+spans as (select doc_id, island, min(p) as lo, max(p) + 100 as hi from islands group by doc_id, island),
+kept as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as before from spans),
+parts as (select b.doc_id, k.lo, substr(b.x, 2 * k.before + 1, 2 * (k.lo - k.before)) as part from kept as k join bytes as b using (doc_id)
+    union all select b.doc_id, b.n + 1, substr(b.x, 2 * coalesce(s.hi, 0) + 1) from bytes as b
+    left join (select doc_id, max(hi) as hi from spans group by doc_id) as s using (doc_id)),
+whole as (select doc_id, string_agg(part, '' order by lo) as x from parts group by doc_id)
+select b.doc_id, b.n as n_bytes, coalesce(s.removed, 0)::bigint as n_removed, coalesce(s.spans, 0)::bigint as n_spans,
+    sha256(unhex(w.x)) as kept_sha256
+from bytes as b join whole as w using (doc_id)
+left join (select doc_id, sum(hi - lo) as removed, count(*) as spans from spans group by doc_id) as s using (doc_id)
+"""
+
+# All pairs that share a shingle, and reachability.
+NEAR_DUPLICATES_SQL = """
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as g from words),
+members as (select doc_id, len(g) as n, unnest(g) as g from sets),
+pairs as (select a.doc_id as a, b.doc_id as b from members as a join members as b on a.g = b.g and a.doc_id < b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select doc_id as id, doc_id as seen from documents union select r.id, l.b from reach as r join links as l on l.a = r.seen)
+select s.doc_id, len(s.g)::bigint as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from sets as s join (select id, min(seen) as component_id from reach group by id) as c on c.id = s.doc_id
+"""
+
+ORACLES = {"op3_suffixes": SUFFIXES_SQL, "op8_near_duplicates": NEAR_DUPLICATES_SQL}
