@@ -4,11 +4,11 @@
    hash functions over that set.
 2. Documents with equal sets are one class; only its least id goes on, so exact copies cost nothing
    more and are never expanded into pairs.
-3. Bands of minima are buckets. Four documents of each bucket, drawn by hash, are its centres; every
+3. Bands of minima are buckets. Up to four documents of each bucket, drawn by hash, are its centres; every
    other document is paired with them, so a bucket of any size makes a number of pairs in
    proportion to it. Pairs are verified on the full sets, and linked ones give first components.
-4. Buckets that still hold several components may hide links between documents that were not
-   centres. There, every document outside the bucket's commonest component is compared with all
+4. Buckets of any size that still hold several components may hide links between documents that
+   were not centres. There, every document outside the bucket's commonest component is compared with all
    others of the bucket on 8-bit sketches of the minima, in blocks of bounded size inside tasks;
    only likely pairs of different components leave them, and are verified in the same way.
 5. Components over all verified links, by alternating stars.
@@ -174,7 +174,8 @@ def _likely(rule: Rule, floor: float):
             a, b = [], []
             for r in members:
                 agree = (table == np.frombuffer(r[6], np.uint8)).sum(1)
-                for j in np.flatnonzero((agree >= least) & (comps != r[5])):
+                near = agree >= (least if len(others) > CENTRES + 1 else 0)  # few are all verified
+                for j in np.flatnonzero(near & (comps != r[5])):
                     a.append(min(r[4], int(ids[j])))
                     b.append(max(r[4], int(ids[j])))
             if a:
@@ -213,7 +214,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
     links = verified(pairs, "links")
     found = stage(components(links), "components")
-    rest = (buckets.where(F.col("size") > CENTRES + 1).where(~F.array_contains("centres", F.col("c")))
+    # the minima of several hashes may be one document, also in a small bucket
+    rest = (buckets.where(F.col("size") > F.size("centres") + 1).where(~F.array_contains("centres", F.col("c")))
             .join(found.select(F.col("node").alias("c"), "component"), "c", "left")
             .select("band", "c", F.coalesce("component", "c").alias("component")))
     sizes = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))

@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from fathomgrid.llm import near_duplicates as nd
+from fathomgrid.llm.common import to_arrow
 from fathomgrid.llm.components import components
 
 
@@ -79,6 +81,25 @@ def test_few_centres_leave_links_to_blocks(spark, rows, monkeypatch):
     assert sorted((r.d, r.n_shingles, r.component_id) for r in got) == sorted((d, *v) for (d, _), v in want.items())
 
 
+def test_small_buckets_hide_no_pair(spark):
+    """Families of 3 to 5, one pair above the threshold, all others below it, and one band to meet in."""
+    rule = nd.Rule(words=3, percent=85, bands=1, rows=1)
+    rows = []
+    for f in range(400):
+        words = [f"f{f}w{i}" for i in range(202)]
+        for k, changes in enumerate((2, 3, 4, 4, 4)[:3 + f % 3]):
+            w = list(words)
+            for i in range(changes):
+                w[10 + 38 * k + 6 * i] = f"f{f}k{k}i{i}"
+            rows.append((8 * f + k, " ".join(w)))
+    keys = {c: c_bands for batch in nd._sets(rule)([to_arrow(pa.schema([("c", pa.int64()), ("text", pa.string())]), list(zip(*rows)))])
+            for c, c_bands in zip(batch.column("c").to_pylist(), batch.column("bands").to_pylist())}
+    meet = {8 * f for f in range(400) if keys[8 * f] == keys[8 * f + 1]}
+    assert len(meet) > 300
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), rule).collect()
+    assert {r.d: r.component_id for r in got} == {d: d - 1 if d % 8 == 1 and d - 1 in meet else d for d, _ in rows}
+
+
 def test_empty_null_ids_and_repeated_rows(spark):
     schema = "doc_id bigint, text string"
     assert nd.near_duplicates(spark.createDataFrame([], schema)).count() == 0
