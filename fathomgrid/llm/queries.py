@@ -65,9 +65,12 @@ def op6_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "score", "word", "question_overlap", "answer_overlap")
 
 
+NEAR_DUPLICATES_RULE = near_duplicates.Rule(words=3, percent=85, bands=40, rows=6)
+
+
 def op8_near_duplicates(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    found = near_duplicates.near_duplicates(docs, near_duplicates.Rule(words=3, percent=85, bands=32, rows=6))
+    found = near_duplicates.near_duplicates(docs, NEAR_DUPLICATES_RULE)
     return found.select(F.col("d").alias("doc_id"), "n_shingles", "component_id",
                         (F.col("d") == F.col("component_id")).alias("kept"))
 

@@ -7,6 +7,7 @@ import pytest
 from fathomgrid.llm import near_duplicates as nd
 from fathomgrid.llm.common import to_arrow
 from fathomgrid.llm.components import components
+from fathomgrid.llm.queries import NEAR_DUPLICATES_RULE
 
 
 def brute(rows, words, percent):
@@ -71,6 +72,14 @@ def test_equals_brute_force(spark, rows, words, percent, bands, per):
     assert {(r.doc_id, r.text): (r._n_shingles, r._component) for r in got} == want
 
 
+def test_rule_of_the_query(spark, rows):
+    rule = NEAR_DUPLICATES_RULE
+    assert (1 - (rule.percent / 100) ** rule.rows) ** rule.bands < 1e-8
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), rule).collect()
+    assert sorted((r.d, r.n_shingles, r.component_id) for r in got) == sorted(
+        (d, *v) for (d, _), v in brute(rows, rule.words, rule.percent).items())
+
+
 def test_few_centres_leave_links_to_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(nd, "CENTRES", 1)
     monkeypatch.setattr(nd, "MEMBERS", 8)
