@@ -5,7 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, lempel_ziv, near_duplicates, quality, sentencepieces, suffixes, toxicity
+from . import (decontamination, divergence, html_text, lempel_ziv, near_duplicates, quality, resampling, sentencepieces,
+               suffixes, toxicity, vector_search)
 from .common import crc_of_id
 from .sharding import shard_documents
 from .token_blocks import read_blocks, write_blocks
@@ -83,6 +84,18 @@ def op10_html_text(spark, sf_dir):
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark, sf_dir):
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_top_k(spark, sf_dir):
+    return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(100)) == 0)
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
@@ -95,6 +108,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_lempel_ziv": op9_lempel_ziv,
     "op10_html_text": op10_html_text,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_resampling": op12_resampling,
+    "op13_top_k": op13_top_k,
 }
 # Repeated 100-byte strings: windows of the hexadecimal bytes, ranked by first occurrence; later ones merge to spans.
 SUFFIXES_SQL = """
@@ -131,4 +147,38 @@ select s.doc_id, len(s.g)::bigint as n_shingles, c.component_id, s.doc_id = c.co
 from sets as s join (select id, min(seen) as component_id from reach group by id) as c on c.id = s.doc_id
 """
 
-ORACLES = {"op3_suffixes": SUFFIXES_SQL, "op8_near_duplicates": NEAR_DUPLICATES_SQL}
+# Shares of every group over all kept terms, and all pairs of sources of a language.
+SOURCE_DIVERGENCE_SQL = """
+with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as r from documents),
+words as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as w from docs),
+counts as (select lang, source, w, count(*)::hugeint as n, count(distinct r) as d from words group by lang, source, w),
+kept as (select lang, w, sum(n)::hugeint as n from counts group by lang, w having sum(d) >= 3),
+langs as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from kept group by lang),
+sizes as (select lang, source, sum(c.n)::hugeint as total from counts as c join kept as k using (lang, w) group by lang, source),
+named as (select distinct lang, source from docs),
+shares as (select g.lang, g.source, k.w, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + l.v) as p,
+    1 + 1000000000::hugeint * (k.n + 1) // (l.total + l.v) as q
+    from named as g join kept as k using (lang) join langs as l using (lang) left join sizes as s using (lang, source)
+    left join counts as c on c.lang = g.lang and c.source = g.source and c.w = k.w),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from shares as a join shares as b on a.lang = b.lang and a.w = b.w and a.source <> b.source group by a.lang, a.source, b.source),
+ranked as (select lang, source, 'pair' as part, item, coalesce(value, 0)::bigint as value
+    from (select a.lang, a.source, b.source as item from named as a join named as b on a.lang = b.lang and a.source <> b.source)
+    left join pairs using (lang, source, item)
+    union all select lang, source, 'term', w, ((p - q) * (p - q) // q)::bigint from shares where n > 0 and p > q),
+numbered as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from ranked)
+select * from numbered where part = 'pair' or rank <= 200
+"""
+
+# All inner products of the asked rows.
+TOP_K_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
+    from v as q join v as c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scores qualify rank <= 10
+"""
+
+ORACLES = {"op11_source_divergence": SOURCE_DIVERGENCE_SQL, "op13_top_k": TOP_K_SQL, "op3_suffixes": SUFFIXES_SQL, "op8_near_duplicates": NEAR_DUPLICATES_SQL}
