@@ -66,9 +66,14 @@ def durable(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def measured(df: DataFrame, *range_cols: str):
-    """Row count and the value range of some columns of a small table, in one job."""
+def measured(df: DataFrame, *range_cols: str, distinct=()):
+    """Row count and the value range of some columns of a small table, in one job.
+
+    distinct: columns whose distinct combinations are counted too, as `sources`.
+    """
     aggs = [F.count(F.lit(1)).alias("n")]
+    if distinct:
+        aggs.append(F.count_distinct(*distinct).alias("sources"))
     for c in range_cols:
         aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
     return df.agg(*aggs).first()

@@ -12,7 +12,7 @@ from ..functions.columns import correlation, interface, layer_mid
 from ..grid import Grid
 from ..model import EARTH_RADIUS_M, levels_in
 from .geometry import hull_cells, interface_levels
-from .interpolation import apply_weights, centroid_w, interp_levels, point_weights_long, stencil_of
+from .interpolation import apply_weights, centroid_w, complete, interp_levels, point_weights_long, stencil_of
 
 RANK_EPS = 1e-12
 
@@ -183,6 +183,7 @@ def model_w(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth: float
         hull = hull_cells(grid, positions) if hull is None else hull
         columns = hull.select("config", "iy", "ix")
         w = hull_mean(interp_levels(cells, grid, ["WVEL"], max_depth, dz, columns, interface_levels), ["W"])
+        w = complete(w, cells, grid, columns, ["config"], levels_in(max_depth, dz) + 1, name="hull-w")
         w = w.withColumnRenamed("W", "w_model").withColumn("depth", interface(F.col("k"), dz))
     else:
         w = centroid_w(cells, grid, positions, max_depth, dz)
@@ -217,21 +218,27 @@ def flux_divergence_weights(metrics: DataFrame, columns: DataFrame) -> DataFrame
 
 
 def cell_divergence(cells: DataFrame, grid: Grid, columns: DataFrame,
-                    max_depth: float = 70, dz: float = 2) -> DataFrame:
-    """Flux divergence at each given cell and observation level: (config, iy, ix, time, k, div)."""
+                    max_depth: float = 70, dz: float = 2, form: str | None = None) -> DataFrame:
+    """Flux divergence at each given cell and observation level: (config, iy, ix, time, k, div).
+
+    Times and levels without any of a cell's edges have no row.
+    """
     horizontal = flux_divergence_weights(grid.metrics, columns)
     terms = [(v, f"hw_{stencil_of(v)}", f"hn_{stencil_of(v)}", "Z") for v in ("UVEL", "VVEL")]
-    targets = columns.withColumnsRenamed({"iy": "ty", "ix": "tx"})
-    return (apply_weights(cells, grid, horizontal, ["config", "ty", "tx"], {"div": terms}, max_depth, dz, targets=targets)
+    return (apply_weights(cells, grid, horizontal, ["config", "ty", "tx"], {"div": terms}, max_depth, dz, form=form)
             .withColumnsRenamed({"ty": "iy", "tx": "ix"}))
 
 
 def model_divergence(cells: DataFrame, grid: Grid, positions: DataFrame,
                      max_depth: float = 70, dz: float = 2, hull: DataFrame | None = None) -> DataFrame:
-    """Hull mean of the model's flux divergence: (config, time, k, div, obs_depth)."""
+    """Hull mean of the model's flux divergence: (config, time, k, div, obs_depth).
+
+    A row for every array with a hull, time and level; only these means are completed, not the cells.
+    """
     hull = hull_cells(grid, positions) if hull is None else hull
     columns = hull.select("config", "iy", "ix")
-    return (hull_mean(cell_divergence(cells, grid, columns, max_depth, dz), ["div"])
+    mean = hull_mean(cell_divergence(cells, grid, columns, max_depth, dz), ["div"])
+    return (complete(mean, cells, grid, columns, ["config"], levels_in(max_depth, dz), name="hull-divergence")
             .withColumn("obs_depth", layer_mid(F.col("k"), dz)))
 
 

@@ -62,14 +62,13 @@ class FieldComparison:
 
     @cached_property
     def obs_raw(self) -> DataFrame:
-        return durable(add_density(I.sample_fields(
-            self.cells, self.grid, self.positions, max_depth=self.max_depth, dz=self.dz)), "samples")
+        return I.sample_fields(self.cells, self.grid, self.positions, max_depth=self.max_depth, dz=self.dz,
+                               finish=add_density)
 
     @cached_property
     def true_raw(self) -> DataFrame:
-        region = I.model_region(self.cells, self.grid, self.positions,
-                                ("WVEL", "UVEL", "VVEL", "THETA", "SALT"), self.max_depth, self.dz, self.hull)
-        return durable(add_density(region), "region")
+        return I.model_region(self.cells, self.grid, self.positions, ("WVEL", "UVEL", "VVEL", "THETA", "SALT"),
+                              self.max_depth, self.dz, self.hull, finish=add_density)
 
     def prepare(self) -> "FieldComparison":
         """Write the tables that do not depend on each other at the same time.
@@ -97,8 +96,7 @@ class FieldComparison:
 
     @cached_property
     def div_true(self) -> DataFrame:
-        return durable(V.model_divergence(self.cells, self.grid, self.positions,
-                                          self.max_depth, self.dz, self.hull), "div-true")
+        return V.model_divergence(self.cells, self.grid, self.positions, self.max_depth, self.dz, self.hull)
 
     @cached_property
     def w_est(self) -> DataFrame:
