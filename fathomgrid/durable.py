@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes a side may have to be broadcast, and the rows of ordinary width that make them up.
@@ -66,14 +66,24 @@ def durable(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def measured(df: DataFrame, *range_cols: str, distinct=()):
-    """Row count and the value range of some columns of a small table, in one job.
+def recorded(df: DataFrame, name: str = "table", **aggregates: Column) -> tuple[DataFrame, dict]:
+    """`durable`, with the row count (n) and further aggregates taken while writing: no job of their own.
 
-    distinct: columns whose distinct combinations are counted too, as `sources`.
+    They are made in the writing tasks, of which each partition counts once, also when tasks are repeated.
     """
+    watch = Observation()
+    table = durable(df.observe(watch, F.count(F.lit(1)).alias("n"), *[a.alias(k) for k, a in aggregates.items()]), name)
+    return table, {"n": 0, **dict.fromkeys(aggregates), **watch.get}
+
+
+def ranges_of(*cols: str) -> dict[str, Column]:
+    """Aggregates for `recorded` that `inside_ranges` reads."""
+    return {f"{f.__name__}_{c}": f(c) for c in cols for f in (F.min, F.max)}
+
+
+def measured(df: DataFrame, *range_cols: str):
+    """Row count and the value range of some columns of a small table, in one job."""
     aggs = [F.count(F.lit(1)).alias("n")]
-    if distinct:
-        aggs.append(F.count_distinct(*distinct).alias("sources"))
     for c in range_cols:
         aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
     return df.agg(*aggs).first()
@@ -118,5 +128,5 @@ def group_stats_join(df: DataFrame, stats: DataFrame, keys, name: str = "stats")
     The aggregates are combined map-side and written once; their measured size then
     decides how they are joined back. No window gathers a whole group in one task.
     """
-    table = durable(stats, name)
-    return join_checked(df, table, keys)
+    table, size = recorded(stats, name)
+    return join_checked(df, table, keys, size["n"])

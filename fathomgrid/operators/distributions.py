@@ -1,25 +1,21 @@
 """Two-sample distribution comparison at scale.
 
-A population is a long table (keys..., side, v) with side 'obs' or 'true'. Everything
-that needs order statistics (percentiles, ECDFs, KS, Wasserstein) goes through one rank
-table: distinct values with their counts per side, range-partitioned over the whole
-cluster on (keys, v) and written once. Each range remembers its number; the totals of
-all ranges are a tiny table that turns ranks inside a range into global ranks. No key's
-values are ever gathered in one task, however many rows or ties it has.
+A population is a long table (keys..., side, v) with side 'obs' or 'true'. Everything that needs
+order statistics goes through the value cells of `value_cells`: percentiles from mergeable counts and
+the few cells that hold their ranks, ECDFs, KS and Wasserstein from ranges of bounded size whose
+starting counts are known beforehand. No key's values are ever gathered in one task, however many
+rows or ties it has.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable, join_checked
 from ..functions.columns import correlation, histogram_bin, is_finite
 from ..model import HIST_BINS, HIST_PROBS
-
-SIDES = ("obs", "true")
+from .value_cells import SIDES, Ranks, by_depth, moment_columns, ordered_values, percentiles
 
 
 def on_side(side: str, value: Column) -> Column:
@@ -45,117 +41,53 @@ def field_population(wide: DataFrame, fields, keys=("config",)) -> DataFrame:
     return finite_rows(wide.unpivot([*keys, "side"], list(fields), "field", "v"), "v")
 
 
-# ---------------------------------------------------------------- rank table
+# ---------------------------------------------------------------- order statistics
 
-@dataclass(frozen=True)
-class Ranks:
-    """A population in rank order, as two durable tables.
+def rank_table(population: DataFrame, keys, depths=()) -> Ranks:
+    """The values of (keys..., side, v) in ordered cells; nothing is computed before it is used.
 
-    rows: (keys..., v, n_obs, n_true, bucket), distinct values in ranges. offsets, one row
-    per (keys, bucket): counts before the range, in it and of the whole key for each side,
-    and the next range's first value. There are at most as many offsets as ranges and keys
-    together, so they are normally broadcast, after a look at their number.
+    depths: nested populations, see `value_cells`; the population then has a column depth_class.
     """
+    return Ranks(population, tuple(keys), tuple(depths))
 
-    rows: DataFrame
-    offsets: DataFrame
-    n_offsets: int
-    keys: tuple[str, ...]
 
+def ecdf(ranks: Ranks) -> DataFrame:
+    """(keys..., v, f_obs, f_true, next_v): both ECDFs at every distinct value of the whole population."""
+    last = ranks.classes[-1]
 
-def rank_table(population: DataFrame, keys) -> Ranks:
-    """Rank the values of (keys..., side, v).
-
-    Ties are merged map-side first, so a value that makes up much of a population is one
-    row. Ranges are cut from sampled (keys, v), which cuts inside a hot key as well.
-    Writing the range number freezes it: a retried task cannot disagree with the totals.
-    """
-    keys = tuple(keys)
-    counts = population.groupBy(*keys, "v").agg(
-        F.count_if(F.col("side") == "obs").alias("n_obs"),
-        F.count_if(F.col("side") == "true").alias("n_true"))
-    n = int(population.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = durable(counts.repartitionByRange(n, *keys, "v")
-                   .withColumn("bucket", F.spark_partition_id()), "ranks")
-    offsets = durable(_range_offsets(rows, keys), "rank-offsets")
-    return Ranks(rows, offsets, offsets.count(), keys)
-
-
-def _range_offsets(rows: DataFrame, keys) -> DataFrame:
-    """Windows over ranges, not values: per key at most one row per range."""
-    per = rows.groupBy(*keys, "bucket").agg(
-        F.sum("n_obs").alias("b_obs"), F.sum("n_true").alias("b_true"), F.min("v").alias("first_v"))
-    order = Window.partitionBy(*keys).orderBy("bucket")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    zero = F.lit(0).cast("bigint")
-    return per.select(
-        *keys, "bucket", "b_obs", "b_true",
-        *[F.coalesce(F.sum(f"b_{s}").over(before), zero).alias(f"before_{s}") for s in SIDES],
-        *[F.sum(f"b_{s}").over(whole).alias(f"all_{s}") for s in SIDES],
-        F.lead("first_v").over(order).alias("next_first"))
+    def total(prefix, side):
+        return sum((F.col(f"{prefix}_n_{side}_{c}") for c in range(1, last + 1)), F.col(f"{prefix}_n_{side}_0"))
 
-
-def ecdf(ranks: Ranks) -> DataFrame:
-    """(keys..., v, f_obs, f_true, next_v): both ECDFs at every distinct value."""
-    in_range = Window.partitionBy(*ranks.keys, "bucket").orderBy("v")
-    upto = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = join_checked(ranks.rows, ranks.offsets, [*ranks.keys, "bucket"], ranks.n_offsets)
-    return joined.select(
-        *ranks.keys, "v",
-        *[F.try_divide((F.col(f"before_{s}") + F.sum(f"n_{s}").over(upto)).cast("double"),
-                       F.col(f"all_{s}").cast("double")).alias(f"f_{s}") for s in SIDES],
-        F.coalesce(F.lead("v").over(in_range), F.col("next_first")).alias("next_v"))
+    return ordered_values(ranks).select(
+        *ranks.keys, "v", *[F.try_divide(total("past", s).cast("double"), total("all", s).cast("double")).alias(f"f_{s}")
+                            for s in SIDES], "next_v")
 
 
 def ecdf_distances(ranks: Ranks) -> DataFrame:
-    """(keys..., ks, wasserstein), both from one pass; NULL if a side is empty."""
-    gap = F.abs(F.col("f_obs") - F.col("f_true"))
-    return ecdf(ranks).groupBy(*ranks.keys).agg(
-        F.max(gap).alias("ks"),
-        F.coalesce(F.sum(gap * (F.col("next_v") - F.col("v"))), F.max(gap * 0)).alias("wasserstein"))
+    """(keys..., [max_depth,] ks, wasserstein), both from one pass; NULL if a side is empty.
 
+    A value that a nested population lacks leaves its ECDFs as they were and splits one step of the
+    integral in two, so all depths are read off the same ordered values.
+    """
+    def f(side, d):
+        def total(prefix):
+            return sum((F.col(f"{prefix}_n_{side}_{c}") for c in range(1, d + 1)), F.col(f"{prefix}_n_{side}_0"))
+        return F.try_divide(total("past").cast("double"), total("all").cast("double"))
+
+    gaps = ordered_values(ranks).select(*ranks.keys, "v", "next_v", *[
+        F.abs(f("obs", d) - f("true", d)).alias(f"gap_{d}") for d in ranks.classes])
+    step = F.col("next_v") - F.col("v")
+    sums = gaps.groupBy(*ranks.keys).agg(*[a for d in ranks.classes for a in (
+        F.max(f"gap_{d}").alias(f"ks_{d}"),
+        F.coalesce(F.sum(F.col(f"gap_{d}") * step), F.max(F.col(f"gap_{d}") * 0)).alias(f"wasserstein_{d}"))])
+    rows = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"ks_{d}").alias("ks"), F.col(f"wasserstein_{d}").alias("wasserstein"))
+                     for d in ranks.classes])
+    return sums.select(*ranks.keys, F.inline(rows)).select(*ranks.keys, *ranks.named_depth(), "ks", "wasserstein")
 
-def rank_percentiles(ranks: Ranks, probs: dict) -> DataFrame:
-    """Exact linear-interpolated percentiles of the pooled values: (keys..., <name>...).
 
-    Finds the order statistics on both sides of each position through the range totals,
-    so only ranges that hold one of them are shuffled and sorted.
-    """
-    keys = ranks.keys
-    before = F.col("before_obs") + F.col("before_true")
-    size = F.col("b_obs") + F.col("b_true")
-    last_rank = F.col("all_obs") + F.col("all_true") - 1
-    ends = []
-    for name, p in probs.items():
-        low = F.floor(last_rank * F.lit(float(p)))
-        for end, rank in ((0, low), (1, F.least(low + 1, last_rank))):
-            ends.append(F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), rank.alias("rank"),
-                                 (last_rank * F.lit(float(p)) - low).alias("t")))
-    # the few ranks that fall into each range; most ranges have none and drop out
-    per_range = ranks.offsets.select(
-        *keys, "bucket", before.alias("before"), F.filter(
-            F.array(*ends), lambda a: (a["rank"] >= before) & (a["rank"] < before + size)).alias("asked"))
-    asked_rank = F.transform("asked", lambda a: a["rank"])
-    per_range = per_range.filter(F.size("asked") > 0).select(
-        "*", F.array_min(asked_rank).alias("lowest"), F.array_max(asked_rank).alias("highest"))
-    upto = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.col("n_obs") + F.col("n_true")
-    hits = (join_checked(ranks.rows, per_range, [*keys, "bucket"], ranks.n_offsets)
-            .withColumn("last", F.col("before") + F.sum(n).over(upto))
-            .withColumn("first", F.col("last") - n)
-            .filter((F.col("last") > F.col("lowest")) & (F.col("first") <= F.col("highest")))
-            .select(*keys, "v", F.inline(F.filter(
-                "asked", lambda a: (a["rank"] >= F.col("first")) & (a["rank"] < F.col("last"))))))
-
-    def of(name, end, value):
-        return F.max(F.when((F.col("name") == name) & (F.col("end") == end), F.col(value)))
-
-    def percentile(name):
-        a, b = of(name, 0, "v"), of(name, 1, "v")
-        return (a + (b - a) * of(name, 0, "t")).alias(name)
-
-    return hits.groupBy(*keys).agg(*[percentile(name) for name in probs])
+def rank_percentiles(ranks: Ranks, probs: dict) -> DataFrame:
+    """Exact linear-interpolated percentiles of the pooled values: (keys..., [max_depth,] <name>...)."""
+    return percentiles(ranks, probs)
 
 
 def exact_percentiles(values: DataFrame, keys, probs: dict) -> DataFrame:
@@ -165,18 +97,20 @@ def exact_percentiles(values: DataFrame, keys, probs: dict) -> DataFrame:
 
 
 def pooled_limits(ranks: Ranks) -> DataFrame:
-    """Durable (keys..., lo, hi): the 0.5 and 99.5 percentiles of both sides together."""
+    """Durable (keys..., [max_depth,] lo, hi): the 0.5 and 99.5 percentiles of both sides together."""
     return durable(rank_percentiles(ranks, {"lo": HIST_PROBS[0], "hi": HIST_PROBS[1]}), "limits")
 
 
 # ---------------------------------------------------------------- histograms
 
 def histogram(ranks: Ranks, limits: DataFrame, bins: int = HIST_BINS) -> DataFrame:
-    """(keys..., bin, n_obs, n_true) inside the limits, from counted distinct values."""
-    joined = join_checked(ranks.rows, limits, ranks.keys)
+    """(keys..., [max_depth,] bin, n_obs, n_true) inside the limits; rows are counted map-side."""
+    keys = ranks.result_keys
+    joined = join_checked(by_depth(ranks.population, ranks.depths).select(*keys, "side", "v"), limits, keys)
     return (joined.withColumn("bin", histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), bins))
             .filter(F.col("bin").isNotNull())
-            .groupBy(*ranks.keys, "bin").agg(F.sum("n_obs").alias("n_obs"), F.sum("n_true").alias("n_true")))
+            .groupBy(*keys, "bin").agg(F.count_if(F.col("side") == "obs").alias("n_obs"),
+                                       F.count_if(F.col("side") == "true").alias("n_true")))
 
 
 def histogram_density(hist: DataFrame, limits: DataFrame, keys, bins: int = HIST_BINS) -> DataFrame:
@@ -218,18 +152,16 @@ def js_distance(hist: DataFrame, keys) -> DataFrame:
 
 def moments(population: DataFrame, keys) -> DataFrame:
     """Mean, standard deviation (population) and biased skewness of each side, one pass."""
-    return population.groupBy(*keys).agg(*[
-        f(on_side(s, F.col("v"))).alias(f"{s}_{n}")
-        for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("skew", F.skewness)) for s in SIDES])
+    return population.groupBy(*keys).agg(*moment_columns())
 
 
 def dist_stats(population: DataFrame, keys=("config", "field"), ranks: Ranks | None = None,
                limits: DataFrame | None = None) -> DataFrame:
-    """One record per key: moments of both sides, KS, Wasserstein and Jensen-Shannon distance."""
-    keys = list(keys)
+    """One record per key (and nested depth): moments of both sides, KS, Wasserstein and Jensen-Shannon distance."""
     ranks = rank_table(population, keys) if ranks is None else ranks
     limits = pooled_limits(ranks) if limits is None else limits
-    return (moments(population, keys)
+    keys = ranks.result_keys
+    return (ranks.summary.drop("lo", "hi")
             .join(ecdf_distances(ranks), keys, "left")
             .join(js_distance(histogram(ranks, limits), keys), keys, "left"))
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable, inside_ranges, join_checked, measured, small_enough
+from ..durable import inside_ranges, join_checked, ranges_of, recorded, small_enough
 from ..functions.columns import interface, layer_mid
 from ..grid import Grid
 from ..model import ALIAS, CELL_KEYS, GRID, levels_in
@@ -81,16 +81,15 @@ def _level_count(levels, max_depth: float, dz: float) -> int:
 def _vertical(cells: DataFrame, grid: Grid, levels, max_depth: float, dz: float, zaxes):
     """Hinted level weights on the given axes, their scan range and size, the same for every use of a grid."""
     key = (levels.__name__, max_depth, dz)
-    table = grid.once(key, lambda: durable(
-        level_weights(grid, levels(cells.sparkSession, max_depth, dz)), "levels"))
     used = F.greatest(*[F.coalesce(f"zn_{a}", F.lit(0)) for a in sorted(zaxes)], F.lit(0)) > 0
-    return grid.once((*key, *sorted(zaxes)), lambda: _small(table.filter(used), "iz"))
+    return grid.once((*key, *sorted(zaxes)), lambda: _small(
+        level_weights(grid, levels(cells.sparkSession, max_depth, dz)).filter(used), "levels", "iz"))
 
 
-def _small(weights: DataFrame, *cols: str):
-    """Weights with a broadcast hint if their measured size allows, the scan range, and (rows, sources)."""
-    size = measured(weights, *cols, distinct=cols)
-    hinted = F.broadcast(weights) if small_enough(weights, size["n"]) else weights
+def _small(weights: DataFrame, name: str, *cols: str):
+    """Weights written once, hinted for broadcast if their size allows, the scan range, and (rows, sources)."""
+    table, size = recorded(weights, name, sources=F.approx_count_distinct(F.struct(*cols)), **ranges_of(*cols))
+    hinted = F.broadcast(table) if small_enough(table, size["n"]) else table
     return hinted, inside_ranges(size, *cols), (size["n"], size["sources"])
 
 
@@ -102,8 +101,8 @@ TIMES_PER_BUCKET = 1024
 def all_times(cells: DataFrame, grid: Grid) -> tuple[DataFrame, int]:
     """(time, bucket) of a cell table and their number, read once per grid and table from its time column alone."""
     def make():
-        times = durable(cells.select("time").distinct(), "times")
-        n = times.count()
+        times, size = recorded(cells.select("time").distinct(), "times")
+        n = size["n"]
         return times.withColumn("bucket", F.pmod(F.xxhash64("time"), F.lit(max(1, math.ceil(n / TIMES_PER_BUCKET)))).cast("int")), n
     return grid.once(("times", cells), make)
 
@@ -135,14 +134,15 @@ def complete(rows: DataFrame, cells: DataFrame, grid: Grid, targets: DataFrame,
     """
     ids = list(ids)
     finish = finish or (lambda df: df)
-    table = durable(finish(rows), name)
+    targets = targets.select(*ids).distinct()
     _, n_times = all_times(cells, grid)
-    have = table.groupBy(*ids).agg(F.count(F.lit(1)).alias("_have"))
-    short = durable(targets.select(*ids).distinct().join(have, ids, "left")
-                    .where(F.coalesce("_have", F.lit(0)) < n_times * n_levels).select(*ids), "short")
-    n_short = short.count()
-    if not n_short:
+    table, size = recorded(finish(rows), name)
+    if size["n"] == targets.count() * n_times * n_levels:  # every row of rows is one of those asked for
         return table
+    have = table.groupBy(*ids).agg(F.count(F.lit(1)).alias("_have"))
+    short, size = recorded(targets.join(have, ids, "left")
+                           .where(F.coalesce("_have", F.lit(0)) < n_times * n_levels).select(*ids), "short")
+    n_short = size["n"]
     there = join_checked(table.select(*ids, "time", "k"), short, ids, n_short, "left_semi")
     lacking = frame_rows(cells, grid, short, n_levels).join(there, [*ids, "time", "k"], "left_anti")
     values = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in lacking.columns]
@@ -202,7 +202,7 @@ def apply_weights(cells: DataFrame, grid: Grid, horizontal: DataFrame, ids, outp
     combined map-side.
     """
     ids = list(ids)
-    horizontal, in_box, across = _small(durable(horizontal, "weights"), "iy", "ix")
+    horizontal, in_box, across = _small(horizontal, "weights", "iy", "ix")
     axis_of = {t[0]: t[3] for terms in outputs.values() for t in terms}
     vertical, in_levels, down = _vertical(cells, grid, levels, max_depth, dz, set(axis_of.values()))
     used = sorted(axis_of)
@@ -287,7 +287,7 @@ def interp_levels(cells: DataFrame, grid: Grid, variables, max_depth: float, dz:
     vertical, in_levels, _ = _vertical(cells, grid, levels, max_depth, dz, set(axis_of.values()))
     names = {v: ALIAS[v] for v in variables}
     if columns is not None:
-        known, in_box, _ = _small(columns, "iy", "ix")
+        known, in_box, _ = _small(columns, "columns", "iy", "ix")
         ids = [c for c in columns.columns if c not in ("iy", "ix")] + ["iy", "ix"]
         # each column once, however many arrays it belongs to
         done = apply_levels(cells.filter(in_box & in_levels), vertical, axis_of, columns)
