@@ -19,6 +19,7 @@ from fathomgrid.sources.arrays import hexagon_positions
 from fathomgrid.sources.cells import load_model
 
 MAX_DEPTH, DZ = 10, 2
+SHALLOW = 6
 DEEP = 14  # below the deepest level
 GRID_N, LEVELS = 8, 7
 CELL_EDGE = EARTH_RADIUS_M * math.radians(1) / 24
@@ -140,8 +141,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_model(raw_cells(spark, sf_dir)).drop("iter")
 
 
+def full_raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, FULL_CELLS, "lineitem")
+
+
 def full_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_model(sql(spark, sf_dir, FULL_CELLS, "lineitem")).drop("iter")
+    return load_model(full_raw_cells(spark, sf_dir)).drop("iter")
 
 
 def wide_grid(spark: SparkSession) -> Grid:

@@ -350,6 +350,21 @@ CTE["circle_n"] = """select config, count(*) as n_point from circle_box join wid
     join wide_yc as y on y.pos between lat_min and lat_max group by config"""
 CTE["near_level"] = f"""select k from interfaces order by abs(z + 5.5e0), k limit 1"""
 
+# Every array, with counts of 0 where it lies off the grid.
+COUNTED = """select s.config as {name}, s.n_glider, coalesce(b.n_point, 0) as n_point, coalesce(h.n_hull, 0) as n_hull,
+    (select count(*) from times) as n_time, {rest}
+    from (select config, count(*) as n_glider from sensors group by all) as s left join div_corr as c using (config)
+    left join (select config, count(*) as n_point from sensor_box join xc as x on x.pos between lon_min and lon_max
+          join yc as y on y.pos between lat_min and lat_max group by all) as b using (config)
+    left join (select config, count(*) as n_hull from hull group by all) as h using (config) {joins}"""
+RECORD = COUNTED.format(name="name", rest="""{depth} as max_depth, 1 as tstep, c.div_corr, f.*, r.*""", joins="""
+    left join (select config, max(ks) filter (field = 'T') as ks_T, max(js) filter (field = 'S') as js_S,
+        max(wasserstein) filter (field = 'divergence') as wasserstein_divergence,
+        max(true_std) filter (field = 'sigma0') as true_std_sigma0 from f_stats group by config) as f using (config)
+    left join (select config, max(total_integral) filter (flux = 'wT') as wT_total,
+        max(recovered_frac) filter (flux = 'wS') as wS_recovered from recovered group by config) as r using (config)""")
+COUNTED = COUNTED.replace("{name}", "config")
+
 RESULTS = {
     "positions_explode": "select c.config, diameter, glider, c.lat, c.lon from circles as c join centers using (config)",
     "hexagon_positions": "select * from circles",
@@ -434,31 +449,24 @@ RESULTS = {
     "sample_points_beyond": "select * from samples",
     "w_debarotropic_beyond": "select * from w_shear",
     "flux_integrals_beyond": "select * from recovered",
-    "stats_record_beyond": """select config as name, 14 as max_depth, 1 as tstep, n_glider, coalesce(n_point, 0) as n_point,
-        coalesce(n_hull, 0) as n_hull, (select count(*) from times) as n_time, div_corr
-        from (select config, count(*) as n_glider from sensors group by all)
-        left join div_corr using (config)
-        left join (select config, count(*) as n_point from sensor_box join xc as x on x.pos between lon_min and lon_max
-              join yc as y on y.pos between lat_min and lat_max group by all) using (config)
-        left join (select config, count(*) as n_hull from hull group by all) using (config)""",
     "stored_slice_stride": """select * from (select time, count(*) as n, sum(SALT) as total, (epoch(time) - epoch(timestamp '2012-10-01'))
         / 10800 as i from cells where time >= timestamp '2012-10-01 06:00:00' and time < timestamp '2012-10-04' group by time)
         where (i - 2) % 3 = 0""",
-    "stats_record": """select c.config as name, 10 as max_depth, 1 as tstep, c.div_corr, s.n_glider, b.n_point, h.n_hull, t.n_time,
-        max(f.ks) filter (field = 'T') as ks_T, max(f.js) filter (field = 'S') as js_S,
-        max(f.wasserstein) filter (field = 'divergence') as wasserstein_divergence,
-        max(f.true_std) filter (field = 'sigma0') as true_std_sigma0,
-        max(r.total_integral) filter (flux = 'wT') as wT_total, max(r.recovered_frac) filter (flux = 'wS') as wS_recovered
-        from div_corr as c join f_stats as f using (config) join recovered as r using (config)
-        join (select config, count(*) as n_glider from sensors group by all) as s using (config)
-        join (select config, count(*) as n_point from sensor_box join xc as x on x.pos between lon_min and lon_max
-              join yc as y on y.pos between lat_min and lat_max group by all) as b using (config)
-        join (select config, count(*) as n_hull from hull group by all) as h using (config)
-        join (select config, count(distinct time) as n_time from samples group by all) as t using (config) group by all""",
+    "stored_irregular_stride": """select time, n, total from (select *, row_number() over (order by time) - 1 as i from (
+        select *, (epoch(time) - epoch(timestamp '2012-10-01')) / 300 as step from per_time)
+        where step % 5 <> 0 and step >= 72) where i % 3 = 0""",
+    "stored_divergence_corr": COUNTED.format(rest="c.div_corr", joins=""),
+    "velocity_map_range": """select config, m.*, l.bound from maps as m join map_limits as l using (variable) join near_box
+        on lon between lon_min and lon_max and lat between lat_min and lat_max""",
+    "stats_record": RECORD.format(depth=10),
+    "stats_record_beyond": RECORD.format(depth=14),
+    **dict.fromkeys(("stats_record_depths", "stats_sink"), RECORD),  # see NESTED
 }
 
 # Queries over the gridding without gaps.
-FULL = {"flux_integrals", "flux_compare", "divergence_corr", "stats_record"}
+FULL = {"flux_integrals", "flux_compare", "divergence_corr", "stats_record", "stored_divergence_corr"}
+# Queries of several depths: the record of each.
+NESTED = {"stats_record_depths", "stats_sink"}
 # Deeper than the grid, with arrays over its edge and outside it, over the gridding without gaps.
 BEYOND = {name for name in RESULTS if name.endswith("_beyond")}
 MORE_SENSORS = """ union all select config, cast(g as int), lat, lon from (values
@@ -468,9 +476,25 @@ MORE_SENSORS = """ union all select config, cast(g as int), lat, lon from (value
 
 def build(name: str) -> str:
     """One self-contained statement: the needed subqueries in order, then the result."""
-    texts = dict(CTE)
+    if name in NESTED:
+        return " union all ".join(f"select * from ({_statement('stats_record', d)})" for d in (X.SHALLOW, X.MAX_DEPTH))
+    return _statement(name)
+
+
+def _statement(name: str, depth: int | None = None) -> str:
+    texts, result = dict(CTE), RESULTS[name]
     if name in FULL | BEYOND:
         texts["cells"] = loaded("coarse_cells")
+    if name == "stored_divergence_corr":
+        texts["cells"] = f"select * from ({texts['cells']}) where dense_rank_of_time % 2 = 1".replace(
+            "select timestamp", "select dense_rank() over (order by iter) as dense_rank_of_time, timestamp")
+    if name == "velocity_map_range":
+        texts["cells"] = (f"select * from ({texts['cells']}) where time >= timestamp '2012-10-01 06:00:00' "
+                          "and time < timestamp '2012-10-03 00:00:00'")
+    if depth is not None:
+        result = RECORD.format(depth=depth)
+        texts["layers"] = texts["layers"].replace(f"range({N})", f"range({int(depth / DZ)})")
+        texts["interfaces"] = texts["interfaces"].replace(f"range({N + 1})", f"range({int(depth / DZ) + 1})")
     if name in BEYOND:
         texts["sensors"] += MORE_SENSORS
         texts["layers"] = texts["layers"].replace(f"range({N})", f"range({int(X.DEEP / DZ)})")
@@ -485,8 +509,8 @@ def build(name: str) -> str:
                 if cte not in order:
                     order.append(cte)
 
-    need(RESULTS[name])
-    parts = [f"{cte} as ({texts[cte]})" for cte in order] + [f"final_rows as ({RESULTS[name]})"]
+    need(result)
+    parts = [f"{cte} as ({texts[cte]})" for cte in order] + [f"final_rows as ({result})"]
     return f"with {', '.join(parts)} {shaped_sql(name, 'final_rows')}"
 
 

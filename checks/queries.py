@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.durable import durable, durable_root
+from fathomgrid.durable import durable, scratch
 from fathomgrid.functions.columns import sigma0
 from fathomgrid.operators import distributions as D
 from fathomgrid.operators import eddies as E
@@ -16,7 +14,8 @@ from fathomgrid.operators import interpolation as I
 from fathomgrid.operators import summaries as S
 from fathomgrid.operators import velocity as V
 from fathomgrid.plans.domain_mean import velocity_map as array_map
-from fathomgrid.plans.field_comparison import FieldComparison
+from fathomgrid.plans.field_comparison import FIELDS as MODEL_FIELDS
+from fathomgrid.plans.field_comparison import FieldComparison, write_stats
 from fathomgrid.plans.vertical_velocity import bias_tables, w_comparison, w_comparison_tables
 from fathomgrid.plans.vertical_velocity import w_limits as limits_of
 from fathomgrid.sources import arrays, cells as C
@@ -45,7 +44,7 @@ def positions_explode(spark, d):
     circle = arrays.hexagon_positions(centers).groupBy("config").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("glider", "lat", "lon"))),  # six sensors
                     lambda p: F.array(p["lat"], p["lon"])).alias("positions"))
-    path = f"{durable_root(spark)}/arrays-{uuid.uuid4().hex}"
+    path = scratch(spark, "arrays")
     (centers.join(circle, "config").select(
         F.col("config").alias("name"), F.lit("circle of six").alias("description"),
         F.struct("lat", "lon").alias("center"), F.col("diameter").alias("diameter_deg"), "positions")
@@ -242,7 +241,8 @@ def w_bias(spark, d):
 
 @query
 def w_hovmoller(spark, d):
-    return w_comparison_tables(_comparison(spark, d), (-1, -9), ("2012-10-01T06", "2012-10-02"))["hovmoller"]
+    return w_comparison(X.cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH, depth_range=(-1, -9),
+                        time_range=("2012-10-01T06", "2012-10-02"))
 
 
 @query
@@ -292,8 +292,8 @@ def model_vertical_flux(spark, d):
     return E.model_vertical_flux(_region(spark, d))
 
 
-def fields(spark, d, cells=X.cells) -> FieldComparison:
-    return FieldComparison(cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH)
+def fields(spark, d, cells=X.cells, **kw) -> FieldComparison:
+    return FieldComparison(cells(spark, d), X.grid(spark), X.positions(spark), **DEPTH, **kw)
 
 
 def beyond(spark, d) -> FieldComparison:
@@ -438,12 +438,12 @@ def joint_compare(spark, d):
 
 @query
 def field_pdfs(spark, d):
-    return fields(spark, d).field_pdfs().filter(F.col("field") != "divergence")
+    return fields(spark, d, fields=MODEL_FIELDS).field_pdfs()
 
 
 @query
 def field_stats(spark, d):
-    return fields(spark, d).field_stats().filter(F.col("field") != "divergence")
+    return fields(spark, d, fields=MODEL_FIELDS).field_stats()
 
 
 @query
@@ -453,9 +453,9 @@ def field_joint(spark, d):
 
 @query
 def divergence_pdf(spark, d):
-    done = fields(spark, d)
+    done = fields(spark, d, fields=("divergence",))
     distances = done.field_stats().select("config", "field", "ks", "js", "wasserstein")
-    return done.field_pdfs().filter(F.col("field") == "divergence").join(distances, ["config", "field"])
+    return done.field_pdfs().join(distances, ["config", "field"])
 
 
 @query
@@ -463,9 +463,7 @@ def divergence_corr(spark, d):
     return fields(spark, d, X.full_cells).div_corr()
 
 
-@query
-def stats_record(spark, d):
-    r = fields(spark, d, X.full_cells).stats_record()
+def _flat(r):
     return r.select("*", F.expr("fields['T'].ks as ks_T"), F.expr("fields['S'].js as js_S"),
                     F.expr("fields['divergence'].wasserstein as wasserstein_divergence"),
                     F.expr("fields['sigma0'].true_std as true_std_sigma0"),
@@ -473,6 +471,26 @@ def stats_record(spark, d):
                     F.expr("flux['wS'].recovered_frac as wS_recovered"))
 
 
+@query
+def stats_record(spark, d):
+    return _flat(fields(spark, d, X.full_cells).stats_record())
+
+
+@query
+def stats_record_depths(spark, d):
+    """Two nested depths from the same passes."""
+    return _flat(fields(spark, d, X.full_cells, depths=(X.SHALLOW, X.MAX_DEPTH)).stats_record())
+
+
+@query
+def stats_sink(spark, d):
+    """Records of two depths, written twice into the same folder and read back."""
+    path = scratch(spark, "stats")
+    records = durable(fields(spark, d, X.full_cells, depths=(X.SHALLOW, X.MAX_DEPTH)).stats_record(), "records")
+    for _ in range(2):
+        write_stats(records, path)
+    return _flat(spark.read.schema(records.schema).json(path))
+
 
 # ---------------------------------------------------------------- beyond the grid and its levels
 
@@ -503,7 +521,7 @@ def flux_integrals_beyond(spark, d):
 
 @query
 def stats_record_beyond(spark, d):
-    return beyond(spark, d).stats_record()
+    return _flat(beyond(spark, d).stats_record())
 
 
 # ---------------------------------------------------------------- from storage
@@ -511,7 +529,32 @@ def stats_record_beyond(spark, d):
 @query
 def stored_slice_stride(spark, d):
     """Cells written in the storage layout, read back, sliced and strided on their snapshots."""
-    path = f"{durable_root(spark)}/stored-{uuid.uuid4().hex}"
+    path = scratch(spark, "stored")
     C.write_cells(X.raw_cells(spark, d), path, 360)
     stored = C.load_model(C.read_cells(spark, path), start="2012-10-01T06", end="2012-10-03", stride=3, every=36)
     return _per_time(stored)
+
+
+@query
+def stored_irregular_stride(spark, d):
+    """Every third of the stored snapshots of some numbers, from the snapshot index."""
+    path = scratch(spark, "stored")
+    C.write_cells(X.raw_cells(spark, d).where("iter % 5 <> 0"), path, 360)
+    kept = C.select_snapshots(C.read_snapshots(spark, path), iters=range(72, 100_000, 36), stride=3)
+    return _per_time(C.load_model(C.read_cells(spark, path), snapshots=kept))
+
+
+@query
+def stored_divergence_corr(spark, d):
+    """The comparison from stored cells, whose times come from the snapshot index."""
+    path = scratch(spark, "stored")
+    C.write_cells(X.full_raw_cells(spark, d), path, 360)
+    kept = C.select_snapshots(C.read_snapshots(spark, path), stride=2)
+    model = C.load_model(C.read_cells(spark, path), snapshots=kept).drop("iter")
+    run = FieldComparison(model, X.grid(spark), X.positions(spark), **DEPTH, times=C.snapshot_times(kept))
+    return run.div_corr().join(run.counts(), "config")
+
+
+@query
+def velocity_map_range(spark, d):
+    return array_map(X.cells(spark, d), X.grid(spark), X.positions(spark), 8, ("2012-10-01T06", "2012-10-02"), margin=0.01)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+RECORD = ("name max_depth:int tstep:int n_glider:long n_point:long n_hull:long n_time:long div_corr:9 "
+          "ks_T:9 js_S:9 wasserstein_divergence:1e6:5 true_std_sigma0:7 wT_total:9 wS_recovered:1e3:6")
+
 SPECS = {
     "positions_explode": "config diameter:9 glider:int lat:9 lon:9",
     "hexagon_positions": "config glider:int lat:9 lon:9",
@@ -81,10 +84,11 @@ SPECS = {
     "sample_points_beyond": "config glider:int time k:int lat:9 lon:9 obs_depth:6 U:9 V:9 T:9 S:9",
     "w_debarotropic_beyond": "config time k:int depth:6 w_model:9",
     "flux_integrals_beyond": "config flux total_integral:9 glider_integral:1e6:6 recovered_frac:1e3:6",
-    "stats_record_beyond": "name max_depth:int tstep:int n_glider:long n_point:long n_hull:long n_time:long div_corr:9",
     "stored_slice_stride": "time n:long total:6",
-    "stats_record": "name max_depth:int tstep:int n_glider:long n_point:long n_hull:long n_time:long div_corr:9 "
-                    "ks_T:9 js_S:9 wasserstein_divergence:1e6:5 true_std_sigma0:7 wT_total:9 wS_recovered:1e3:6",
+    "stored_irregular_stride": "time n:long total:6",
+    "stored_divergence_corr": "config div_corr:9 n_glider:long n_point:long n_hull:long n_time:long",
+    "velocity_map_range": "config variable iy:int ix:int lat:9 lon:9 value:9 bound:9",
+    "stats_record": RECORD, "stats_record_depths": RECORD, "stats_sink": RECORD, "stats_record_beyond": RECORD,
 }
 
 

@@ -52,16 +52,21 @@ def run_scope(spark: SparkSession) -> Iterator[None]:
         del _written[first:]
 
 
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; `run_scope` deletes what is there unless keep is set."""
+    path = f"{durable_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written.append(path)
+    return path
+
+
 def durable(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write df once to the shared folder; later reads prune columns and row groups.
 
     keep: the table outlives the `run_scope` it is made in.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{durable_root(spark)}/{app}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _written.append(path)
+    path = scratch(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -185,14 +185,21 @@ def pair_population(wide: DataFrame, pairs=PAIRS, keys=("config",), extra=()) ->
     return finite_rows(wide.select(*keys, *extra, "side", F.inline(items)), "x", "y")
 
 
+def axis_ranks(pairs: DataFrame, keys=("config", "pair")) -> Ranks:
+    """Both values of each pair as populations of their own; their first pass takes the co-moments along."""
+    sides = F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v"), F.col("y").alias("w")),
+                    F.struct(F.lit("y").alias("axis"), F.col("y").alias("v"), F.col("x").alias("w")))
+    return Ranks(pairs.select(*keys, "side", F.inline(sides)), (*keys, "axis"), extra=tuple(_co_moments("v", "w")))
+
+
+def _wide_limits(limits: DataFrame, keys) -> DataFrame:
+    return limits.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("axis") == a, F.col(e))).alias(f"{a}_{e}") for a in ("x", "y") for e in ("lo", "hi")])
+
+
 def joint_limits(pairs: DataFrame, keys=("config", "pair")) -> DataFrame:
     """(keys..., x_lo, x_hi, y_lo, y_hi): pooled percentiles of each axis of each pair."""
-    keys = list(keys)
-    axis_keys = [*keys, "axis"]
-    values = pairs.unpivot([*keys, "side"], ["x", "y"], "axis", "v")
-    lim = pooled_limits(rank_table(values, axis_keys))
-    return lim.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("axis") == a, F.col(e))).alias(f"{a}_{e}") for a in ("x", "y") for e in ("lo", "hi")])
+    return _wide_limits(pooled_limits(axis_ranks(pairs, keys)), list(keys))
 
 
 def joint_histogram(pairs: DataFrame, limits: DataFrame, keys=("config", "pair"),
@@ -208,11 +215,14 @@ def joint_histogram(pairs: DataFrame, limits: DataFrame, keys=("config", "pair")
              F.count_if(F.col("side") == "true").alias("n_true")))
 
 
+def _co_moments(x: str, y: str) -> list[Column]:
+    return [f(on_side(s, F.col(x)), on_side(s, F.col(y))).alias(f"{n}_{s}")
+            for n, f in (("cov", F.covar_samp), ("corr", correlation)) for s in SIDES]
+
+
 def covariances(pairs: DataFrame, keys=("config", "pair")) -> DataFrame:
     """(keys..., cov_obs, cov_true, corr_obs, corr_true); n - 1 covariance."""
-    return pairs.groupBy(*keys).agg(*[
-        f(on_side(s, F.col("x")), on_side(s, F.col("y"))).alias(f"{n}_{s}")
-        for n, f in (("cov", F.covar_samp), ("corr", correlation)) for s in SIDES])
+    return pairs.groupBy(*keys).agg(*_co_moments("x", "y"))
 
 
 def thin(rows: DataFrame, identity: Column, fraction: float) -> DataFrame:
@@ -226,7 +236,16 @@ def thin(rows: DataFrame, identity: Column, fraction: float) -> DataFrame:
 
 def joint_compare(pairs: DataFrame, keys=("config", "pair"), limits: DataFrame | None = None,
                   bins: int = HIST_BINS) -> DataFrame:
-    """One record per pair: limits, covariance and correlation per side, joint distance."""
-    limits = durable(joint_limits(pairs, keys), "joint-limits") if limits is None else limits
+    """One record per pair: limits, covariance and correlation per side, joint distance.
+
+    The pairs are written once, so that what they come from is evaluated once; spans and co-moments come
+    from one pass over that table, cells from a second, and the joint counts from the last.
+    """
+    keys = list(keys)
+    pairs = durable(pairs.select(*keys, "side", "x", "y"), "pairs")
+    ranks = axis_ranks(pairs, keys)
+    limits = durable(_wide_limits(rank_percentiles(ranks, {"lo": HIST_PROBS[0], "hi": HIST_PROBS[1]}), keys),
+                     "joint-limits") if limits is None else limits
     js = js_distance(joint_histogram(pairs, limits, keys, bins), keys)
-    return covariances(pairs, keys).join(js, list(keys), "left").join(limits, list(keys), "left")
+    moments = ranks.summary.where("axis = 'x'").select(*keys, *[f"{n}_{s}" for n in ("cov", "corr") for s in SIDES])
+    return moments.join(js, keys, "left").join(limits, keys, "left")

@@ -53,12 +53,13 @@ class Ranks:
     """A population (keys..., side, v[, depth_class]) and its value cells, counted on first use.
 
     depths: names of the nested populations, shallow to deep; results then have a row for each, under
-    max_depth.
+    max_depth. extra: further aggregates over the population's rows, for the first pass to take along.
     """
 
     population: DataFrame
     keys: tuple[str, ...]
     depths: tuple = ()
+    extra: tuple = ()
 
     @property
     def classes(self) -> range:
@@ -83,7 +84,7 @@ class Ranks:
     def _summary(self) -> tuple[DataFrame, int]:
         rows = by_depth(self.population, self.depths)
         table, size = recorded(rows.groupBy(*self.result_keys).agg(
-            F.min("v").alias("lo"), F.max("v").alias("hi"), *moment_columns()), "summary")
+            F.min("v").alias("lo"), F.max("v").alias("hi"), *moment_columns(), *self.extra), "summary")
         return table, size["n"]
 
     @property

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,20 @@ from ..sources.cells import time_slice
 
 
 def w_comparison(cells: DataFrame, grid: Grid, positions: DataFrame, max_depth: float = 70,
-                 dz: float = 2, spatial_mean: bool = True, hull: DataFrame | None = None) -> DataFrame:
+                 dz: float = 2, spatial_mean: bool = True, hull: DataFrame | None = None,
+                 depth_range=None, time_range=None) -> DataFrame:
     """(config, time, k, depth, w_est, w_model, bias) on the interfaces.
 
-    The estimate comes from one scan of the cells; no per-sensor samples are built.
+    The estimate comes from one scan of the cells; no per-sensor samples are built. Ranges (see `w_range`)
+    bound the scan: w is summed up from the surface, so nothing below the deep end is read, nor any other time.
     """
+    if time_range is not None:
+        cells = time_slice(cells, *time_range)
+    if depth_range is not None:
+        layers = max(1, math.floor(-min(depth_range) / dz))
+        max_depth = min(max_depth, layers * dz)
+        rows = w_comparison(cells, grid, positions, max_depth, dz, spatial_mean, hull)
+        return w_range(rows, depth_range)
     estimate = w_from_divergence(array_divergence(cells, grid, positions, max_depth, dz), dz)
     return w_bias(estimate, model_w(cells, grid, positions, max_depth, dz, spatial_mean=spatial_mean,
                                     hull=hull))

@@ -17,6 +17,9 @@ CELL_SCHEMA = (
 )
 
 
+# The date of snapshot 0 and the seconds of a model step.
+REF_DATE, DELTA_T = "2012-10-01", 300
+
 # Folder columns of a stored cell table: the snapshots a folder may hold.
 PARTS = ("iter_from", "iter_to")
 
@@ -30,7 +33,8 @@ def write_cells(cells: DataFrame, path: str, iters_per_part: int = 288) -> None:
     """Store cells so that readers skip what they do not need.
 
     Snapshot ranges become folders; inside them files are ranges of rows and columns,
-    so a box around an array touches few row groups.
+    so a box around an array touches few row groups. A small table beside them lists
+    every snapshot and its folder (`read_snapshots`).
     """
     first = (F.floor(F.col("iter") / iters_per_part) * iters_per_part).cast("int")
     (cells.withColumn("iter_from", first)
@@ -38,10 +42,68 @@ def write_cells(cells: DataFrame, path: str, iters_per_part: int = 288) -> None:
      .repartitionByRange("iter_from", "iy", "ix", "iter")
      .sortWithinPartitions("iter_from", "iy", "ix", "iz", "iter")
      .write.partitionBy(*PARTS).parquet(path))
+    spark = cells.sparkSession
+    stored = spark.read.schema(f"iter INT, {', '.join(f'{c} INT' for c in PARTS)}").parquet(path)
+    stored.distinct().write.parquet(_index_path(path))
 
 
-# The date of snapshot 0 and the seconds of a model step.
-REF_DATE, DELTA_T = "2012-10-01", 300
+def _index_path(path: str) -> str:
+    return path.rstrip("/") + "-snapshots"
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """(iter, iter_from, iter_to): the snapshots of a stored cell table, without reading cells."""
+    return spark.read.schema(f"iter INT, {', '.join(f'{c} INT' for c in PARTS)}").parquet(_index_path(path))
+
+
+def select_snapshots(snapshots: DataFrame, iters=None, start: str | None = None, end: str | None = None, stride: int = 1,
+                     ref_date: str = REF_DATE, delta_t: int = DELTA_T) -> DataFrame:
+    """The snapshots asked for, as in `load_model`; a stride counts those there are, however spaced.
+
+    Places are counted inside each folder and shifted by the number of earlier snapshots, so only one
+    row per folder meets in one task.
+    """
+    df = _bounded(snapshots, iters, start, end, ref_date, delta_t)
+    if stride > 1:
+        per = df.groupBy("iter_from").agg(F.count(F.lit(1)).alias("n"))
+        earlier = Window.orderBy("iter_from").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per.select("iter_from", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        place = F.row_number().over(Window.partitionBy("iter_from").orderBy("iter")) - 1
+        df = (df.withColumn("place", place).join(offsets, "iter_from")
+              .filter((F.col("place") + F.col("before")) % stride == 0))
+    return df.select("iter", *PARTS)
+
+
+def snapshot_times(snapshots: DataFrame, ref_date: str = REF_DATE, delta_t: int = DELTA_T) -> DataFrame:
+    """(time) of the given snapshots."""
+    return snapshots.select(_stamp(ref_date, delta_t).alias("time"))
+
+
+def _stamp(ref_date: str, delta_t: int):
+    seconds = (F.col("iter") * F.lit(int(delta_t))).cast("decimal(18,6)")
+    return F.lit(ref_date).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def _bounded(df: DataFrame, iters, start, end, ref_date: str, delta_t: int) -> DataFrame:
+    """Bounds on the snapshot number, and on the folders if df names them."""
+    zero = datetime.fromisoformat(ref_date)
+    lo = None if start is None else -(-int((label_span(start)[0] - zero).total_seconds()) // delta_t)
+    hi = None if end is None else -(-int((label_span(end)[1] - zero).total_seconds()) // delta_t) - 1
+    for bound, test, folder in ((lo, F.col("iter") >= F.lit(lo), "iter_to"), (hi, F.col("iter") <= F.lit(hi), "iter_from")):
+        if bound is not None:
+            df = df.filter(test)
+            if folder in df.columns:
+                df = df.filter(F.col(folder) >= bound if folder == "iter_to" else F.col(folder) <= bound)
+    if iters is not None:
+        lo, hi = min(iters), max(iters)
+        df = df.filter(F.col("iter").between(lo, hi))
+        if set(PARTS) <= set(df.columns):
+            df = df.filter((F.col("iter_to") >= lo) & (F.col("iter_from") <= hi))
+        if not isinstance(iters, range):
+            df = df.filter(F.col("iter").isin([int(i) for i in iters]))
+        elif abs(iters.step) > 1:
+            df = df.filter((F.col("iter") - lo) % abs(iters.step) == 0)
+    return df
 
 
 def label_span(label: str) -> tuple[datetime, datetime]:
@@ -58,40 +120,28 @@ def label_span(label: str) -> tuple[datetime, datetime]:
 
 
 def load_model(cells: DataFrame, iters=None, ref_date: str = REF_DATE, delta_t: int = DELTA_T, fill: float = FILL_VALUE,
-               start: str | None = None, end: str | None = None, stride: int = 1, every: int | None = None) -> DataFrame:
+               start: str | None = None, end: str | None = None, stride: int = 1, every: int | None = None,
+               snapshots: DataFrame | None = None) -> DataFrame:
     """Select snapshots, stamp their time, and turn fill values into NULL.
 
     Only data columns are masked, never the cell indices. `iters` is a range or list of
     snapshot numbers. start and end are ISO labels, both inclusive, as in `time_slice`;
     stride keeps every so many snapshots of a table with one every `every` steps, counted
     from the first at or after start. All become bounds and tests on the snapshot number,
-    which skip folders and row groups of a stored table.
+    which skip folders and row groups of a stored table. snapshots: those to keep, from
+    `select_snapshots`; Spark skips the folders of all others at run time.
     """
-    df = cells
-    zero = datetime.fromisoformat(ref_date)
-    lo = None if start is None else -(-int((label_span(start)[0] - zero).total_seconds()) // delta_t)
-    hi = None if end is None else -(-int((label_span(end)[1] - zero).total_seconds()) // delta_t) - 1
-    for bound, test, folder in ((lo, F.col("iter") >= F.lit(lo), "iter_to"), (hi, F.col("iter") <= F.lit(hi), "iter_from")):
-        if bound is not None:
-            df = df.filter(test)
-            if folder in df.columns:
-                df = df.filter(F.col(folder) >= bound if folder == "iter_to" else F.col(folder) <= bound)
+    df = _bounded(cells, None, start, end, ref_date, delta_t)
     if stride > 1:
         if not every:
-            raise ValueError("a stride on snapshot numbers needs their spacing")
+            raise ValueError("a stride on snapshot numbers needs their spacing, or select_snapshots")
         first = df.agg(F.min("iter")).first()[0]
         df = df.filter((F.col("iter") - F.lit(first)) % (stride * every) == 0)
-    if iters is not None:
-        lo, hi = min(iters), max(iters)
-        df = df.filter(F.col("iter").between(lo, hi))
-        if set(PARTS) <= set(df.columns):
-            df = df.filter((F.col("iter_to") >= lo) & (F.col("iter_from") <= hi))
-        if not isinstance(iters, range):
-            df = df.filter(F.col("iter").isin([int(i) for i in iters]))
-        elif abs(iters.step) > 1:
-            df = df.filter((F.col("iter") - lo) % abs(iters.step) == 0)
-    seconds = (F.col("iter") * F.lit(int(delta_t))).cast("decimal(18,6)")
-    time = F.lit(ref_date).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    df = _bounded(df, iters, None, None, ref_date, delta_t)
+    if snapshots is not None:
+        keys = [c for c in ("iter_from", "iter") if c in df.columns]
+        df = join_checked(df, snapshots.select(*keys), keys, how="left_semi")
+    time = _stamp(ref_date, delta_t)
     data = [c for c in df.columns if c in GRID]
     rest = [c for c in df.columns if c not in GRID and c not in PARTS]
     return df.select(*rest, time.alias("time"),
@@ -108,11 +158,14 @@ def _label_start(label: str):
     return F.lit(full.replace("T", " ")).cast("timestamp_ntz")
 
 
-def time_slice(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+def time_slice(df: DataFrame, start: str | None = None, end: str | None = None, steps=(REF_DATE, DELTA_T)) -> DataFrame:
     """Rows between two ISO labels, both inclusive.
 
-    A label names a span: an end of '2012-11-11' keeps that whole day, '2012-11' the month.
+    A label names a span: an end of '2012-11-11' keeps that whole day, '2012-11' the month. Cells that still
+    carry their snapshot number are bounded by it as well, which reaches the scan.
     """
+    if "iter" in df.columns and steps is not None:
+        df = _bounded(df, None, start, end, *steps)
     if start is not None:
         df = df.filter(F.col("time") >= _label_start(start))
     if end is not None:
