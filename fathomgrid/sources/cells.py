@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable, join_checked
+from ..durable import durable, inside_ranges, join_checked, ranges_of, recorded
 from ..functions.columns import missing_to_null
 from ..model import FILL_VALUE, GRID
 
@@ -140,7 +140,9 @@ def load_model(cells: DataFrame, iters=None, ref_date: str = REF_DATE, delta_t:
     df = _bounded(df, iters, None, None, ref_date, delta_t)
     if snapshots is not None:
         keys = [c for c in ("iter_from", "iter") if c in df.columns]
-        df = join_checked(df, snapshots.select(*keys), keys, how="left_semi")
+        table, size = recorded(snapshots.select(*keys), "snapshots", **ranges_of(*keys))
+        near = inside_ranges(size, *keys)  # a filter on both sides: only then are folders skipped at run time
+        df = join_checked(df.filter(near), table.filter(near), keys, size["n"], how="left_semi")
     time = _stamp(ref_date, delta_t)
     data = [c for c in df.columns if c in GRID]
     rest = [c for c in df.columns if c not in GRID and c not in PARTS]
