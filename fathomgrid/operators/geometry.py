@@ -8,18 +8,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, recorded
 from ..functions.columns import interface, layer_mid, turn
 from ..grid import Grid
 from ..model import BOX_MARGIN_DEG, EARTH_RADIUS_M, levels_in
+from .value_cells import Ranks, ordered_values
 
 POINT = "array<struct<lon: double, lat: double>>"
-# Largest set of sensors whose hull is built in one array; larger arrays are first
-# reduced to the hull vertices of parts of about this size.
+# Largest set of sensors whose hull is built in one list; larger arrays are first reduced to the
+# hull vertices of parts, and stay a table of rows if more than this many are left.
 HULL_PART = 4096
+# Sensors of one stretch of a ring that are looked at together.
+RING_PART = 512
 
 
 def project_to_metres(positions: DataFrame) -> DataFrame:
@@ -116,26 +119,96 @@ def hull_vertices(positions: DataFrame, eps: float = 1e-12) -> DataFrame:
 
     eps is relative: turns below eps times the square of the array's extent count as straight,
     in parts and in the whole alike. An array that spans no area keeps its row, with a problem
-    named instead of vertices. Arrays above HULL_PART sensors are first cut into parts whose
-    hulls are taken: the hull of all parts' vertices is the same hull.
+    named instead of vertices; so does one with more than HULL_PART vertices, whose hull only
+    `hull_edges` gives.
+    """
+    lists, rings, _ = _hulls(positions, eps)
+    if rings is None:
+        return lists
+    large = rings.select("config").distinct().withColumns({
+        "vertices": F.lit(None).cast(POINT), "problem": F.lit("too many vertices for a list")})
+    return lists.unionByName(large)
+
+
+def _hulls(positions: DataFrame, eps: float):
+    """Hulls as lists, hulls as rings of rows (None if there are none), and each array's tolerance.
+
+    Arrays above HULL_PART sensors are cut into parts whose hulls are taken: the hull of all parts' vertices is
+    the same hull. Where that hardly helps any more, since most sensors lie near the hull, what is
+    left goes round by angle (`_rings`).
     """
     extent = F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"))
-    about = durable(positions.groupBy("config").agg((extent * extent * F.lit(eps)).alias("eps"), F.count(F.lit(1)).alias("size")),
-                    "extents")
-    largest = about.agg(F.max("size")).first()[0] or 0
+    about, seen = recorded(positions.groupBy("config").agg((extent * extent * F.lit(eps)).alias("eps"), F.count(F.lit(1)).alias("size")),
+                           "extents", largest=F.max("size"))
+    about, largest = about.select("config", "eps"), seen["largest"] or 0
     points = positions.select("config", F.struct("lon", "lat").alias("p"))
+    rings = None
     while largest > HULL_PART:
         sizes = points.groupBy("config").agg(F.count(F.lit(1)).alias("n"))
-        cut = points.join(sizes, "config").join(about.select("config", "eps"), "config").withColumn(
+        cut = points.join(sizes, "config").join(about, "config").withColumn(
             "part", F.pmod(F.xxhash64("p"), F.ceil(F.col("n") / (HULL_PART / 4))).cast("int"))
         points = durable(_collect_hull(cut, ["config", "part", "eps"]).select("config", F.explode("vertices").alias("p")), "hull-parts")
-        left = points.groupBy("config").count().agg(F.max("count")).first()[0] or 0
-        if left > largest / 2:  # most sensors are hull vertices: the result itself is that large
+        counted, seen = recorded(points.groupBy("config").agg(F.count(F.lit(1)).alias("n")), "hull-sizes", largest=F.max("n"))
+        left = seen["largest"] or 0
+        if HULL_PART < left and left > largest / 2:
+            large = counted.where(F.col("n") > HULL_PART).select("config")
+            rings = _rings(points.join(large, "config", "left_semi"), about)
+            points = points.join(large, "config", "left_anti")
             break
         largest = left
-    hulls = _collect_hull(points.join(about.select("config", "eps"), "config"), ["config", "eps"])
+    hulls = _collect_hull(points.join(about, "config"), ["config", "eps"])
     flat = F.size("vertices") < 3
-    return hulls.select("config", F.when(~flat, F.col("vertices")).alias("vertices"), F.when(flat, "spans no area").alias("problem"))
+    lists = hulls.select("config", F.when(~flat, F.col("vertices")).alias("vertices"), F.when(flat, "spans no area").alias("problem"))
+    return lists, rings, about
+
+
+def _kept_stretch(points: Column, eps: Column) -> Column:
+    """Points of a stretch ordered by angle, without those that the others show not to be vertices; both ends stay."""
+    def add(chain, p):
+        def hidden(i):
+            a, b = F.element_at(chain, i)["p"], F.element_at(chain, i + 1)["p"]
+            return turn(a["lon"], a["lat"], b["lon"], b["lat"], p["p"]["lon"], p["p"]["lat"]) > eps
+        last = F.array_max(F.filter(F.sequence(F.lit(1), F.size(chain) - 1), hidden))
+        stay = F.when(F.size(chain) < 2, F.size(chain)).otherwise(F.coalesce(last, F.lit(0)) + 1)
+        return F.concat(F.slice(chain, F.lit(1), stay), F.array(p))
+    return F.aggregate(points, F.array().cast("array<struct<pos: bigint, p: struct<lon: double, lat: double>>>"), add)
+
+
+def _rings(points: DataFrame, about: DataFrame) -> DataFrame:
+    """(config, pos, p, n): hull vertices of large arrays, numbered anticlockwise from 0.
+
+    Seen from a point inside, the order by angle is the order along the hull. A point that does not turn
+    left between its neighbours in that order lies inside the triangle of these two and the centre, so it is
+    no vertex, whatever else is there. Stretches of RING_PART points are cleared independently; a second pass
+    shifts the stretches by half, and both repeat until neither removes anything: then every
+    three neighbours turn left, and the ring is convex. Ranks, stretches and edges are rows; no task
+    holds a whole array.
+    """
+    centre = points.groupBy("config").agg(F.avg("p.lon").alias("x"), F.avg("p.lat").alias("y"))
+    dx, dy = F.col("p.lon") - F.col("x"), F.col("p.lat") - F.col("y")
+    ring = durable(points.join(centre, "config").select("config", "p", F.atan2(dy, dx).alias("angle"), (dx * dx + dy * dy).alias("far"))
+                   .groupBy("config", "angle").agg(F.max_by("p", F.struct("far", "p.lon")).alias("p")), "ring")
+    quiet, shift = 0, 0
+    while True:
+        order = ordered_values(Ranks(ring.select("config", F.lit("true").alias("side"), F.col("angle").alias("v")), ("config",)))
+        placed = durable(ring.join(order.select("config", F.col("v").alias("angle"), (F.col("past_n_true_0") - 1).alias("pos"),
+                                                F.col("all_n_true_0").alias("n")), ["config", "angle"]), "ring-order")
+        if quiet == 2:
+            return placed.select("config", "pos", "p", "n")
+        # the first points follow the last ones once more
+        again = F.when(F.col("pos") < RING_PART, F.array("pos", F.col("pos") + F.col("n"))).otherwise(F.array("pos"))
+        members = placed.select("config", "n", "p", F.explode(again).alias("pos"))
+        stretches = members.join(about, "config").groupBy(
+            "config", "n", "eps", F.floor((F.col("pos") + shift) / RING_PART).alias("part")).agg(
+            F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("all"))
+        kept = F.transform(_kept_stretch(F.col("all"), F.col("eps")), lambda m: m["pos"])
+        gone = F.array_except(F.transform("all", lambda m: m["pos"]), kept)
+        gone, size = recorded(stretches.select("config", "n", F.explode(gone).alias("at"))
+                              .select("config", (F.col("at") % F.col("n")).alias("pos")).distinct(), "ring-gone")
+        quiet = quiet + 1 if not size["n"] else 0
+        if size["n"]:
+            ring = durable(placed.join(gone, ["config", "pos"], "left_anti").select("config", "angle", "p"), "ring")
+        shift = RING_PART // 2 - shift
 
 
 def _collect_hull(points: DataFrame, keys) -> DataFrame:
@@ -145,18 +218,26 @@ def _collect_hull(points: DataFrame, keys) -> DataFrame:
 
 def hull_edges(positions: DataFrame, eps: float = 1e-12) -> DataFrame:
     """(config, x0, y0, x1, y1): directed hull edges, interior on the left; none of a flat array."""
-    return _edges(hull_vertices(positions, eps)).drop("y_min", "y_max")
+    return _edges(positions, eps).drop("y_min", "y_max")
 
 
-def _edges(hulls: DataFrame) -> DataFrame:
+def _edges(positions: DataFrame, eps: float = 1e-12) -> DataFrame:
+    lists, rings, _ = _hulls(positions, eps)
     v = F.col("vertices")
     nxt = F.concat(F.slice(v, F.lit(2), F.size(v) - 1), F.slice(v, F.lit(1), F.lit(1)))
     lat = F.transform(v, lambda p: p["lat"])
-    return (hulls.where("problem is null")
-            .select("config", F.array_min(lat).alias("y_min"), F.array_max(lat).alias("y_max"),
-                    F.explode(F.arrays_zip(v.alias("a"), nxt.alias("b"))).alias("e"))
-            .select("config", F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"),
-                    F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1"), "y_min", "y_max"))
+    edges = (lists.where("problem is null")
+             .select("config", F.array_min(lat).alias("y_min"), F.array_max(lat).alias("y_max"),
+                     F.explode(F.arrays_zip(v.alias("a"), nxt.alias("b"))).alias("e"))
+             .select("config", F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"),
+                     F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1"), "y_min", "y_max"))
+    if rings is None:
+        return edges
+    range_of = rings.groupBy("config").agg(F.min("p.lat").alias("y_min"), F.max("p.lat").alias("y_max"))
+    after = rings.select("config", F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), F.col("p").alias("b"))
+    return edges.unionByName(rings.join(after, ["config", "pos"]).join(range_of, "config").select(
+        "config", F.col("p.lon").alias("x0"), F.col("p.lat").alias("y0"), F.col("b.lon").alias("x1"), F.col("b.lat").alias("y1"),
+        "y_min", "y_max"))
 
 
 def _index_range(df: DataFrame, grid: Grid, axis: str, lo: str, hi: str, first: str, last: str) -> DataFrame:
@@ -214,7 +295,7 @@ def hull_cells(grid: Grid, positions: DataFrame) -> DataFrame:
     """
     rise, lat = F.col("by") - F.col("ay"), F.col("lat")
     at = F.col("ax") + (F.col("bx") - F.col("ax")) * (lat - F.col("ay")) / rise
-    edges = (_edges(hull_vertices(positions)).filter("y0 <> y1")
+    edges = (_edges(positions).filter("y0 <> y1")
              .withColumnsRenamed({"x0": "ax", "y0": "ay", "x1": "bx", "y1": "by"})
              .withColumns({"low": F.least("ay", "by"), "high": F.greatest("ay", "by")}))
     crossed = _index_range(edges, grid, "YC", "low", "high", "iy0", "iy1")

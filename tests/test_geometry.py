@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -65,6 +67,38 @@ def test_large_array_hull_is_built_in_parts(spark, monkeypatch):
     assert hull_points(spark, rows) == whole
 
 
+def ring_of(n, radius=1.0, squash=1.0):
+    return [("ring", i, squash * radius * math.sin(2 * math.pi * i / n), 220 + radius * math.cos(2 * math.pi * i / n)) for i in range(n)]
+
+
+def test_hulls_with_more_vertices_than_a_list(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = ring_of(900, squash=0.7)
+    # a little inside, so that random parts keep many of them; and many at nearly one angle
+    rows += [("ring", 900 + i, lat * 0.9999, 220 + (lon - 220) * 0.9999) for i, (_, _, lat, lon) in enumerate(ring_of(899, squash=0.7))]
+    rows += [("ring", 2000 + i, 0.5 + 1e-6 * y, 220.6 + 1e-6 * x) for i, (x, y) in enumerate(rng.normal(size=(300, 2)))]
+    rows += [("small", i, lat, lon) for _, i, lat, lon in hexagon(0.0, 220.0, 0.3)]
+    rng.shuffle(rows)
+    rows = [(c, int(g), float(a), float(b)) for c, g, a, b in rows]
+    whole = hull_points(spark, rows)
+    monkeypatch.setattr(G, "HULL_PART", 64)
+    monkeypatch.setattr(G, "RING_PART", 40)
+    sizes = []
+    collect = G._kept_stretch
+    monkeypatch.setattr(G, "_kept_stretch", lambda points, eps: (sizes.append(1), collect(points, eps))[1])
+    assert hull_points(spark, rows) == whole
+    assert sizes
+    found = {r["config"]: r["problem"] for r in G.hull_vertices(positions_df(spark, rows)).collect()}
+    assert found == {"ring": "too many vertices for a list", "small": None}
+    edges = [r for r in G.hull_edges(positions_df(spark, rows)).collect() if r["config"] == "ring"]
+    ends = {(r["x0"], r["y0"]): (r["x1"], r["y1"]) for r in edges}
+    at = start = next(iter(ends))
+    for _ in edges:  # one closed line, anticlockwise
+        at = ends[at]
+    assert at == start and len(ends) == len(edges)
+    assert sum(r["x0"] * r["y1"] - r["x1"] * r["y0"] for r in edges) > 0
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(-40, 40), st.integers(-40, 40)), min_size=3, max_size=12, unique=True))
 def test_cells_inside_random_hulls(spark, cube, points):
