@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.durable import durable
 
-__all__ = ["stage", "crc_of_id", "documents", "mix", "mix_int", "rows_in", "small_table", "text_hash", "to_arrow"]
+__all__ = ["stage", "crc_of_id", "documents", "free_names", "mix", "mix_int", "rows_in", "small_table", "text_hash", "to_arrow"]
 
 # Tasks get these functions with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["fathomgrid.llm"])
@@ -68,6 +68,16 @@ def to_arrow(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The given names, lengthened until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def small_table(spark: SparkSession, **columns) -> DataFrame:
     """A DataFrame from a few driver-side arrays of bounded length."""
     return spark.createDataFrame(pa.table(columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix, rows_in, stage, text_hash, to_arrow
+from .common import documents, free_names, mix, rows_in, stage, text_hash, to_arrow
 from .components import components
 
 CENTRES = 4
@@ -247,14 +247,18 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 NO_ID = -(1 << 63)
 
 
-def mark_near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with `_d` and `_h` (the identity), `_n_shingles` and `_component`."""
-    found = near_duplicates(docs, rule, id_col, text_col).dropDuplicates(["d", "h"]).toDF("_d", "_h", "_n_shingles", "_component")
-    me = {"_d": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "_h": text_hash(F.coalesce(F.col(text_col), F.lit("")))}
-    return docs.withColumns(me).join(found, ["_d", "_h"], "left")
+def mark_near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text",
+                         names=("_d", "_h", "_n_shingles", "_component")) -> DataFrame:
+    """All columns of docs, with the identity (id and text hash), set size and component under names docs does not have."""
+    d, h, *_ = names
+    found = near_duplicates(docs, rule, id_col, text_col).dropDuplicates(["d", "h"]).toDF(*names)
+    me = {d: F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), h: text_hash(F.coalesce(F.col(text_col), F.lit("")))}
+    return docs.withColumns(me).join(found, [d, h], "left")
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the least id of their group; of rows equal in id and text one stays."""
-    marked = mark_near_duplicates(docs, rule, id_col, text_col).where(F.col("_d") == F.col("_component"))
-    return marked.dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    names = free_names(docs, "_d", "_h", "_n_shingles", "_component")
+    d, h, _, component = names
+    marked = mark_near_duplicates(docs, rule, id_col, text_col, names).where(F.col(d) == F.col(component))
+    return marked.dropDuplicates([d, h]).select(*docs.columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, rows_in, stage, text_hash, to_arrow
+from .common import documents, free_names, rows_in, stage, text_hash, to_arrow
 from .substrings import THRESHOLD, buffers, halves, runs
 
 NO_ID = -(1 << 63)     # null ids come first, as this number
@@ -181,14 +181,15 @@ def cut_text(text: Column, spans: Column) -> Column:
             out.append(cut(data, whole).decode())
         return pd.Series(out, dtype=object)
 
-    return run(text, spans)
+    return run.asNondeterministic()(text, spans)  # evaluated once, however often the result is used
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and `_spans`: the byte spans to remove (null: none)."""
-    found = repeated_spans(docs, id_col, text_col).toDF("_d", "_h", "_spans")
-    me = {"_d": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "_h": text_hash(F.coalesce(F.col(text_col), F.lit("")))}
-    return docs.withColumns(me).join(found, ["_d", "_h"], "left").drop("_d", "_h")
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: str = "_spans") -> DataFrame:
+    """All columns of docs, and the byte spans to remove (null: none) under the given name, which docs must not have."""
+    d, h = free_names(docs, "_d", "_h")
+    found = repeated_spans(docs, id_col, text_col).toDF(d, h, spans)
+    me = {d: F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), h: text_hash(F.coalesce(F.col(text_col), F.lit("")))}
+    return docs.withColumns(me).join(found, [d, h], "left").drop(d, h)
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),

@@ -44,3 +44,19 @@ def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_columns_with_the_names_used_inside(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _d string, _h int, _spans string, _component int"
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "first text of its own " + passage, "en", "s", 1, "a", 1, "x", 7),
+            (2, "another text, another start " + passage + " and an end of quite some more words that differs", "en", "s", 2, "b", 2, "y", 8),
+            (3, "first text of its own " + passage, "en", "s", 1, "c", 3, "z", 9)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert sorted((r.doc_id, r["_d"], r["_h"], r["_component"]) for r in kept.collect()) == [(1, "a", 1, 7), (2, "b", 2, 8)]
+    cut = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, SMALL).collect()}
+    assert cut[1].text == rows[0][1] and cut[1].n_chars == 1
+    assert "word30" not in cut[2].text and cut[2].text.startswith("another") and cut[2].text.endswith("differs")
+    assert cut[2].n_chars == len(cut[2].text) and (cut[2]["_d"], cut[2]["_spans"]) == ("b", "y")
+    assert 3 not in cut  # nothing is left of it
