@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import decontamination, near_duplicates, sentencepieces, suffixes, toxicity
-from fathomgrid.llm.common import stage
+from fathomgrid.llm.common import free_names, stage
 
 ORACLE_SQL = None
 TOXIC = 0.5
@@ -29,11 +29,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that stand earlier; a document with nothing left goes."""
-    found = suffixes.with_spans(docs)
-    text = suffixes.cut_text(F.coalesce("text", F.lit("")), F.col("_spans"))
-    cut = found.where("_spans is not null").withColumn("text", text).where(F.length(F.trim("text")) > 0)
-    cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where("_spans is null").unionByName(cut).select(*docs.columns)
+    (name,) = free_names(docs, "_spans")
+    spans = F.col(name)
+    found = suffixes.with_spans(docs, spans=name)
+    cut = F.when(spans.isNull(), F.col("text")).otherwise(suffixes.cut_text(F.coalesce("text", F.lit("")), spans))
+    n_chars = F.when(spans.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    done = found.withColumn("text", cut).where(spans.isNull() | (F.length(F.trim("text")) > 0))
+    return done.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
