@@ -180,10 +180,10 @@ def better_form(across: tuple[int, int], down: tuple[int, int], n_levels: int) -
 
     across and down: rows and distinct sources of the horizontal and the level weights. Directly, a cell gives
     a row per target and level it contributes to. With levels first it is dealt once itself,
-    and then every level of its column goes to each target.
+    and then every level of its column goes to each target; that must save a third to be worth a shuffle more.
     """
     targets, steps = across[0] / max(across[1], 1), down[0] / max(down[1], 1)
-    return "levels first" if 1 + targets * n_levels / max(down[1], 1) < targets * steps else "direct"
+    return "levels first" if 1.5 * (1 + targets * n_levels / max(down[1], 1)) < targets * steps else "direct"
 
 
 def apply_weights(cells: DataFrame, grid: Grid, horizontal: DataFrame, ids, outputs, max_depth: float,

@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable, join_checked, recorded
+from ..durable import join_checked, recorded
 
 SIDES = ("obs", "true")
 FINE = 4096
@@ -106,10 +106,20 @@ class Ranks:
         found = join_checked(self.rows, spans, self.keys, n)
         return found.withColumn("node", cell_in(F.col("v"), F.col("lo"), F.col("hi")) + 1).drop("lo", "hi")
 
-    @cached_property
+    @property
     def cells(self) -> DataFrame:
         """(keys..., node, counts, first, last): every cell that holds values."""
-        return durable(self.counted(self.placed, "node"), "value-cells")
+        return self._cells[0]
+
+    @cached_property
+    def _cells(self) -> tuple[DataFrame, int]:
+        """cells, and the rows of the fullest one that holds several values."""
+        return self.written(self.placed)
+
+    def written(self, placed: DataFrame) -> tuple[DataFrame, int]:
+        table, size = recorded(self.counted(placed, "node"), "value-cells",
+                               most=F.max(F.when(F.col("first") < F.col("last"), F.col("n"))))
+        return table, size["most"] or 0
 
     def inside(self, placed: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         """Placed rows in the given cells, placed anew in their parts. nodes: (keys..., node, first, last)."""
@@ -232,18 +242,19 @@ def ranges(ranks: Ranks) -> tuple[DataFrame, DataFrame, int]:
     keys, names = list(ranks.keys), ranks.count_names
     width = 8 * (2 + len(names)) + 16 * len(keys)
     per_range = max(1, RANGE_BYTES // width)
-    placed, leaves, cells = ranks.placed, None, ranks.cells
+    placed, leaves, (cells, most) = ranks.placed, None, ranks._cells
     for depth in range(DEEPEST_SPLIT + 1):
         full = (F.col("first") < F.col("last")) & (F.col("n") * 4 > per_range)
-        kept = cells if depth == DEEPEST_SPLIT else cells.where(~full)
+        done = depth == DEEPEST_SPLIT or most * 4 <= per_range
+        kept = cells if done else cells.where(~full)
         leaves = kept if leaves is None else leaves.unionByName(kept)
-        n_nodes = 0 if depth == DEEPEST_SPLIT else cells.where(full).count()
-        if not n_nodes:
+        if done:
             break
+        n_nodes = cells.where(full).count()
         nodes = cells.where(full).select(*keys, "node", "first", "last")
         fresh = ranks.inside(placed, nodes, n_nodes)
         placed = join_checked(placed, nodes.select(*keys, "node"), [*keys, "node"], n_nodes, "left_anti").unionByName(fresh)
-        cells = durable(ranks.counted(fresh, "node"), "value-cells")
+        cells, most = ranks.written(fresh)
     # a cell of one value makes one row however often it occurs
     weight = F.when(F.col("first") == F.col("last"), F.lit(1)).otherwise(F.col("n"))
     order = Window.partitionBy(*keys).orderBy("first")
