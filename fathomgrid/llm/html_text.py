@@ -25,11 +25,17 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Elements whose text is never read; one that is not closed ends at its tag.
+_DROPPED = "noscript|template|iframe|svg|object|canvas|audio|video|annotation|annotation-xml"
+DROPPED = frozenset(_DROPPED.split("|"))
+_DROPPED_TAG = re.compile(rf"<(/?)({_DROPPED})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+NAMED = frozenset("class id role itemprop aria-label".split())
 _WORD = re.compile(r"[a-z]+")
 # Element names of the HTML standard.
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
@@ -64,8 +70,29 @@ class Block:
     links: int                # characters inside links
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Where a dropped element that starts at a position ends; elements of one name nest."""
+    ends, open_tags = {}, {}
+    for m in _DROPPED_TAG.finditer(page):
+        starts = open_tags.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not _SELF_CLOSED.search(m[3]):
+                starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
+def _names(attributes: str) -> set[str]:
+    """Words in the attributes that name an element."""
+    return {w for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in NAMED for w in _WORD.findall("".join(values).lower())}
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order: white space becomes one space, references are decoded."""
+    """Text blocks in page order: white space becomes one space, references are decoded.
+
+    Formulas keep their text, drawings and embedded media have none.
+    """
     out: list[Block] = []
     stack: list[tuple[str, int, float]] = []   # element, its number, weight of all enclosing
     parts: list[str] = []
@@ -89,7 +116,10 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in stop:
                 return
 
-    for m in _TOKEN.finditer(page):
+    at, ends = 0, None
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         if (text := m["text"]) is not None:
             text = html.unescape(text)
             parts.append(text)
@@ -102,6 +132,11 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag in DROPPED:
+            if not m["end"]:
+                ends = _ends(page) if ends is None else ends
+                at = ends.get(m.start(), at)
+            continue
         if not m["close"]:        # the page ends inside a tag
             continue
         if tag == "br":
@@ -118,12 +153,11 @@ def blocks(page: str) -> list[Block]:
                 pop("p", ("table", "button"))
             if tag in CLOSED_BY_SAME:
                 pop(tag, ("ul", "ol", "dl", "table", "select", "menu"))
-        if tag in VOID or (m["attr"] or "").endswith("/") and tag not in BLOCK:
+        if tag in VOID or _SELF_CLOSED.search(m["attr"]) and tag not in BLOCK:
             continue
         weight = (stack[-1][2] if stack else 0.0) + ELEMENT.get(tag, 0.0)
         if tag != "body" and tag != "html" and m["attr"]:
-            words = {w for found in _NAMES.findall(m["attr"]) for w in _WORD.findall("".join(found).lower())}
-            weight += sum(NAME_WORDS.get(w, 0.0) for w in words)
+            weight += sum(NAME_WORDS.get(w, 0.0) for w in _names(m["attr"]))
         number += 1
         depth_a += tag == "a"
         stack.append((tag, number, weight))

@@ -27,6 +27,28 @@ def test_broken_pages():
     assert ht.extract("<article><!-- <p>x</p> --><p title='a > b'>y</p><script>never closed <p>z") == "y"
 
 
+SENTENCE = "A sentence that is long enough to be read as a part of the article."
+
+
+def test_elements_that_only_look_like_dropped_ones():
+    around = lambda x: ht.extract(f"<article><p>{SENTENCE}</p>{x}<p>{SENTENCE}</p></article>").split("\n\n")
+    two = [SENTENCE, SENTENCE]
+    for x in ['<svg width="1"/>', "<math/>", "<svg-icon></svg-icon>", "<title-bar></title-bar>", "<svg><text>no</text></svg>",
+              "<svg><svg>no</svg>no</svg>", "<canvas>", "<video src=a>", "<iframe>no</iframe>", "<object><p>no</p></object>", "</svg>",
+              "<SVG viewBox='0 > 1'><title>no</title></SVG>", "<script>'<svg>'</script>", "<span data-x=/a/></span>"]:
+        assert around(x) == two, x
+    assert around("<p>Mass <math><mi>m</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> here.</p>")[1] == "Mass m+1 here."
+    assert around(f'<p data-id="share" title="class=ad">{SENTENCE}</p>') == [*two, SENTENCE]
+    assert around(f'<p class="share">{SENTENCE}</p>') == two
+    assert around(f"<a href=/x/>{SENTENCE}</a>")[1] == SENTENCE
+
+
+def test_deep_and_unclosed_pages():
+    deep = "<div>" * 3000 + f"<article><p>{SENTENCE}</p></article>" + "</div>" * 3000
+    assert ht.extract(deep) == SENTENCE
+    assert ht.extract("<article>" + "<svg>" * 5000 + f"<p>{SENTENCE}</p>") == SENTENCE
+
+
 def test_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(200):
