@@ -13,6 +13,7 @@ of a text with another ending; a phrase's hash is made from its parent's when it
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ from .common import documents, mix, rows_in, text_hash, to_arrow
 from .near_duplicates import hash_family, minima
 
 MINIMA = 64
+RANGE_CHARS = 16 << 20     # characters in a range of documents
+RANGES = 10_000            # at most; a range is read row by row, so it may be long
+EXACT = 1 << 53            # ids below are exact as doubles
 _MASK = (1 << 61) - 1
 _GROW = 0x1E3779B97F4A7C15 & _MASK
 
@@ -112,27 +116,39 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None, id_col: str =
 
     The order is by descending id (null ids last), then hash of the text; the next of the last
     document is the first. Documents are cut into ranges of the order at approximate quantiles of
-    the id. One row per range, its first, is also sent to the range before, so that neighbours meet
-    without a window over the whole table; nothing but range bounds passes through the driver.
-    Rows with equal id and text form one place in the order each.
+    the id, as many as their characters ask for; an id that fills several ranges (null, say) is cut
+    on by the hash. One row per range, its first, is also sent to the range before, so that neighbours
+    meet without a window over the whole table; nothing but range bounds passes through the driver.
+    Rows with equal id and text form one place in the order each, and stay in one range.
     """
     spark = docs.sparkSession
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = documents(docs, id_col, text_col).select(
-        F.col("doc_id").cast("bigint"), "text", F.coalesce(-F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("o"),
-        text_hash(F.col("text")).alias("h"))
-    cuts = rows.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    doc_id = F.col("doc_id")
+    # a double gives the ranges; inside, ids are ordered by their complement, which no id overflows
+    rows = documents(docs, id_col, text_col).withColumn("doc_id", doc_id.cast("bigint")).select(
+        "doc_id", "text", F.coalesce(-doc_id.cast("double"), F.lit(2.0 ** 64)).alias("near"), doc_id.isNull().alias("none"),
+        F.coalesce(F.bitwise_not(doc_id), F.lit(0)).alias("o"), text_hash(F.col("text")).alias("h"))
+    if parts is None:
+        chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+        parts = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS)))
+    cuts = rows.agg(F.percentile_approx("near", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
     if cuts is None:
         return spark.createDataFrame([], OUT_SQL)
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
-    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda c: c < F.col("o"))))
-    heads = rows.groupBy("part").agg(F.min(F.struct("o", "h")).alias("m")).toPandas().sort_values("part")
-    where = dict(zip(heads.part.tolist(), [(m["o"], m["h"]) for m in heads.m]))
-    used = sorted(where)
-    before = {p: used[i - 1] for i, p in enumerate(used)}
-    firsts = spark.createDataFrame([(p, *where[p], before[p]) for p in used], "part int, o bigint, h bigint, before int")
-    also = rows.join(F.broadcast(firsts), ["part", "o", "h"]).dropDuplicates(["part", "o", "h"])
-    both = rows.select("part", F.lit(False).alias("extra"), "doc_id", "o", "h", "text").unionByName(
-        also.select(F.col("before").alias("part"), F.lit(True).alias("extra"), "doc_id", "o", "h", "text"))
-    return (both.repartition("part").sortWithinPartitions("part", "extra", "o", "h")
+    times = Counter(cuts)
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(times))), lambda c: c < F.col("near")))
+    # a cut that stands k times holds k ranges of one id: it gets slices by the hash
+    widest = max(times.values())
+    slice_of = F.lit(0)
+    for cut, k in times.items():
+        if k > 1 and (abs(cut) < EXACT or cut == 2.0 ** 64):
+            slice_of = F.when(F.col("near") == cut, F.floor((F.col("h") / 2.0 ** 64 + 0.5) * k).cast("int") + 1).otherwise(slice_of)
+    rows = rows.withColumn("place", part * (widest + 2) + slice_of)
+    heads = rows.groupBy("place").agg(F.min(F.struct("none", "o", "h")).alias("m")).toPandas().sort_values("place")
+    used, heads = heads.place.tolist(), [tuple(m) for m in heads.m]
+    firsts = spark.createDataFrame([(p, i, *m) for i, (p, m) in enumerate(zip(used, heads))], "place int, part int, none boolean, o bigint, h bigint")
+    rows = rows.join(F.broadcast(firsts.select("place", "part")), "place")
+    also = rows.join(F.broadcast(firsts.drop("place")), ["part", "none", "o", "h"]).dropDuplicates(["part", "none", "o", "h"])
+    columns = ["doc_id", "none", "o", "h", "text"]
+    both = rows.select("part", F.lit(False).alias("extra"), *columns).unionByName(
+        also.select(F.pmod(F.col("part") - 1, F.lit(len(used))).alias("part"), F.lit(True).alias("extra"), *columns))
+    return (both.repartitionById(len(used), F.col("part")).sortWithinPartitions("part", "extra", "none", "o", "h")
             .select("part", "extra", "doc_id", "text").mapInArrow(_compare, OUT_SQL))

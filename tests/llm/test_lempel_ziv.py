@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from fathomgrid.llm.lempel_ziv import MINIMA, Phrases, compare_neighbours, fingerprints, likeness, phrase_signature
 
 
@@ -52,6 +54,22 @@ def test_neighbours(spark):
         assert r.near_next == likeness(phrase_signature(t), phrase_signature(n))
 
 
+def test_extreme_repeated_and_null_ids(spark):
+    """Against the order of all rows: ids at both ends of the type, half the rows under one id, a third under none."""
+    ids = [-(1 << 63), 1 - (1 << 63), (1 << 63) - 1, -1, 0, (1 << 60) + 1, 1 << 60]
+    rows = [(i, f"extreme {i}") for i in ids] + [(7, hashlib.sha1(str(i).encode()).hexdigest()) for i in range(60)] + [(None, hashlib.md5(str(i).encode()).hexdigest()) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    order = [tuple(r) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) h").orderBy(F.desc_nulls_last("doc_id"), "h").collect()]
+    for parts in (1, 9, 30):
+        got = {(r.doc_id, r.fingerprint, r.edited_sha256): r for r in compare_neighbours(docs, parts=parts).collect()}
+        assert len(got) == len(rows)
+        for (i, t, _), (_, n, _) in zip(order, order[1:] + order[:1]):
+            m = len(t) // 2
+            edited = t[:len(t) - m] + n[:m]
+            r = got[i, phrase_signature(t).tobytes().hex(), hashlib.sha256(edited.encode()).hexdigest()]
+            assert r.near_next == likeness(phrase_signature(t), phrase_signature(n))
+
+
 def test_one_row_and_none(spark):
     one = compare_neighbours(spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string")).collect()
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one[0].near_next == 1
