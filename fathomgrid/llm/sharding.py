@@ -1,15 +1,17 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 Every document belongs to a ring cell: its text's hash picks one of 2**17 arcs, so equal texts
-meet in a cell. A cell with more bytes than a whole shard (a hot group of copies) is split
-by document id into sub-cells, each with a ring position of its own. A cell goes to the first
+meet in a cell. In a cell with more bytes than a whole shard, a text whose copies alone exceed a shard
+is split by document id into sub-cells, each with a ring position of its own; the cell's other texts
+go to sub-cells by text, so copies that fit a shard stay together. A cell goes to the first
 virtual node clockwise whose shard still has room; the capacity is the mean load plus a small
 slack, so no shard can exceed it while any other has room, and a change of the input moves only
 cells near a boundary of capacity.
 
 At scale only the cells are placed one after another, and their number is fixed whatever the
 input: one aggregation gives bytes and rows per cell, the placement comes back as a table of fixed
-size, and row numbers inside a shard are the cell's first number plus the rank within the cell.
+size, and row numbers inside a shard are the cell's first number plus the rank within the cell. Cells
+with very many rows (short or null texts) are counted and numbered in lots, so no window holds them whole.
 Texts are read once and never shuffled.
 """
 
@@ -19,6 +21,7 @@ import bisect
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ from .common import small_table
 
 CELL_BITS = 17
 SPLIT = 256
+LOTS, MANY = 64, 1 / 256      # lots of a cell with more than this share of all rows
 HEAVY = 1.0        # of a shard's mean load: a larger cell fits no shard
 SLACK = 0.0005
 VNODES = 64
@@ -75,24 +79,37 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 16).alias("size"),
-        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 64 - CELL_BITS).cast("int").alias("cell"))
+        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    rows = rows.withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int"))
     load = [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")]
     whole = rows.groupBy("cell").agg(*load).toPandas()
     limit = HEAVY * whole.bytes.sum() / shards
-    heavy = whole[whole.bytes > limit]
-    mark = small_table(spark, cell=pa.array(heavy.cell, pa.int32()), hot=pa.array([True] * len(heavy), pa.bool_()))
-    sub = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(SPLIT)).cast("int"))
-    rows = rows.join(F.broadcast(mark), "cell", "left").withColumn("sub", F.coalesce(sub, F.lit(-1))).drop("hot")
-    cells = whole[whole.bytes <= limit].assign(sub=-1)
-    if len(heavy):
-        parts = rows.where("sub >= 0").groupBy("cell", "sub").agg(*load).toPandas()
-        cells = cells.merge(parts, how="outer", on=["cell", "sub", "bytes", "n"])
-    cells = cells.sort_values(["cell", "sub"])
-    shard = place(cells.cell.to_numpy(np.int64), cells["sub"].to_numpy(np.int64), cells.bytes.to_numpy(np.int64), shards, slack)
-    first = cells.assign(shard=shard).groupby("shard").n.cumsum() - cells.n
-    placed = small_table(spark, cell=pa.array(cells.cell, pa.int32()), sub=pa.array(cells["sub"], pa.int32()),
-                         shard=pa.array(shard, pa.int32()), first=pa.array(first, pa.int64()))
-    rank = F.row_number().over(Window.partitionBy("cell", "sub").orderBy("doc_id", "text_crc32")) - 1
-    return (rows.withColumn("rank", rank).join(F.broadcast(placed), ["cell", "sub"])
+    marked = whole.assign(heavy=whole.bytes > limit, many=whole.n > max(LOTS, MANY * whole.n.sum()))
+    marked = marked[marked.heavy | marked.many]
+    cells = whole[~whole.cell.isin(marked.cell)].assign(sub=-1, lot=0)
+    rows = rows.withColumns({"sub": F.lit(-1), "lot": F.lit(0)})
+    if len(marked):
+        mark = small_table(spark, cell=pa.array(marked.cell, pa.int32()), heavy=pa.array(marked.heavy, pa.bool_()),
+                           many=pa.array(marked.many, pa.bool_()))
+        rows = rows.drop("sub", "lot").join(F.broadcast(mark), "cell", "left")
+        # at most as many texts as there are shards are larger than one
+        hot = rows.where("heavy").groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit).select("h").toPandas()
+        rows = rows.join(F.broadcast(small_table(spark, h=pa.array(hot.h, pa.int64()), hot=pa.array([True] * len(hot), pa.bool_()))),
+                         "h", "left")
+        by_row = lambda seed, n: F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(n)).cast("int")
+        by_text = (F.pmod(F.xxhash64("h", F.lit(11)), F.lit(SPLIT)) + SPLIT).cast("int")
+        rows = rows.select("doc_id", "size", "text_crc32", "cell", "heavy",
+                           F.when(F.col("hot"), by_row(7, SPLIT)).when(F.col("heavy"), by_text).otherwise(-1).alias("sub"),
+                           F.when(F.col("many") & F.col("hot").isNull(), by_row(13, LOTS)).otherwise(0).alias("lot"))
+        parts = rows.where(F.col("heavy").isNotNull()).groupBy("cell", "sub", "lot").agg(*load).toPandas()
+        cells = pd.concat([cells, parts[cells.columns]])
+    cells = cells.sort_values(["cell", "sub", "lot"]).reset_index(drop=True)
+    places = cells.groupby(["cell", "sub"], as_index=False).bytes.sum()
+    places["shard"] = place(places.cell.to_numpy(np.int64), places["sub"].to_numpy(np.int64), places.bytes.to_numpy(np.int64), shards, slack)
+    cells = cells.merge(places.drop(columns="bytes"), on=["cell", "sub"])
+    first = cells.groupby("shard").n.cumsum() - cells.n
+    placed = small_table(spark, **{c: pa.array(cells[c], pa.int32()) for c in ("cell", "sub", "lot", "shard")}, first=pa.array(first, pa.int64()))
+    keys = ["cell", "sub", "lot"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "text_crc32")) - 1
+    return (rows.select(*keys, "doc_id", "size", "text_crc32").withColumn("rank", rank).join(F.broadcast(placed), keys)
             .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).alias("slot")))

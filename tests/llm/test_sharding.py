@@ -27,6 +27,26 @@ def test_balance_slots_and_copies(spark):
     assert sorted(map(tuple, got[key].fillna(-1).to_numpy().tolist())) == sorted(map(tuple, again[key].fillna(-1).to_numpy().tolist()))
 
 
+def test_small_groups_beside_a_hot_text_stay_together(spark):
+    hot = "hot text " * 40
+    cell = lambda texts: spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+        "t", f"shiftrightunsigned(xxhash64(t), {64 - sharding.CELL_BITS}) c").collect()
+    at = cell([hot])[0].c
+    near = [r.t for r in cell([f"beside {i}" for i in range(1 << 19)]) if r.c == at]
+    assert near
+    rows = [(i, hot) for i in range(3000)] + [(9000 + 10 * j + i, t) for j, t in enumerate(near) for i in range(6)]
+    rows += [(20_000 + i, f"other {i}") for i in range(3000)] + [(40_000 + i, None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sharding.shard_documents(docs, 10).toPandas()
+    assert len(got) == len(rows)
+    for t in near:
+        assert got[got.text_crc32 == zlib.crc32(t.encode())].shard.nunique() == 1
+    for _, slots in got.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+    again = sharding.shard_documents(docs.repartition(7), 10).toPandas()
+    assert got.set_index("doc_id").sort_index().equals(again.set_index("doc_id").sort_index())
+
+
 def test_one_more_shard_moves_little():
     rng = np.random.default_rng(1)
     cells, sizes = np.arange(0, 1 << 17, 16), rng.integers(1, 100, 1 << 13)
