@@ -12,9 +12,11 @@ features and scores are computed in one pass over all texts, with no shuffle.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -43,30 +45,56 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+# Sentence marks of some other scripts and of typeset text.
+FURTHER_STOPS = "。，、；：？！।؟،؛’–—…"
+STOPS = frozenset(".,;:?'-" + FURTHER_STOPS)
+
+
+@lru_cache(1 << 16)
+def _class(point: int) -> int:
+    """Class of any code point; a letter without case counts as lower, a mark outside ASCII as rest."""
+    c = chr(point)
+    if point < 256:
+        return int(CLASSES[point])
+    if c in STOPS:
+        return 4
+    kind = unicodedata.category(c)
+    return (0 if kind in ("Lu", "Lt") else 1 if kind[0] in "LM" else 2 if kind == "Nd" else 3 if c.isspace() else 6)
+
+
+def _counts(text: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Characters by class, counts of the distinct ones, spaces and full stops."""
+    try:
+        seen = np.bincount(np.frombuffer(text.encode("latin-1"), np.uint8), minlength=256)
+        return np.bincount(CLASSES, weights=seen, minlength=7), seen[seen > 0], int(seen[32]), int(seen[46])
+    except UnicodeEncodeError:
+        points, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+        kinds = np.array([_class(p) for p in points.tolist()], np.int64)
+        at = dict(zip(points.tolist(), n.tolist()))
+        return np.bincount(kinds, weights=n, minlength=7), n, at.get(32, 0), sum(at.get(ord(c), 0) for c in ".。।")
 
 
 def features(text: str) -> tuple[float, ...]:
     """The numbers of FEATURES; an empty text gives zeros."""
     if not text:
         return (0.0,) * len(FEATURES)
-    seen = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), np.uint8), minlength=256)
-    share = np.bincount(CLASSES, weights=seen, minlength=7) / len(text)
-    p = seen[seen > 0] / len(text)
+    kinds, seen, spaces, full_stops = _counts(text)
+    share, p = kinds / len(text), seen / len(text)
     words, lines = text.split(), text.split("\n")
     n = len(words)
     counts = Counter(words)
     triples = len(set(zip(words, words[1:], words[2:])))
     ends = Counter(map(_last, counts))
-    return (np.log1p(len(text)), np.log1p(n), (len(text) - seen[32]) / max(n, 1), *share.tolist(), float(-(p * np.log(p)).sum()),
+    return (np.log1p(len(text)), np.log1p(n), (len(text) - spaces) / max(n, 1), *share.tolist(), float(-(p * np.log(p)).sum()),
             len(counts) / max(n, 1), max(counts.values(), default=0) / max(n, 1), triples / max(n - 2, 1),
             len(set(lines)) / len(lines), np.log1p(len(text) / len(lines)), ends["mark"] / max(len(counts), 1),
             sum(v for k, v in counts.items() if not k[0].isalnum()) / max(n, 1),
-            np.log1p(max(map(len, counts), default=0)), np.log1p(n / (1 + seen[46])))
+            np.log1p(max(map(len, counts), default=0)), np.log1p(n / (1 + full_stops)))
 
 
 def _last(word: str) -> str:
     c = word[-1]
-    return "plain" if c.isalnum() else "stop" if c in ".,;:?'-" else "mark"
+    return "plain" if c.isalnum() else "stop" if c in STOPS else "mark"
 
 
 @dataclass

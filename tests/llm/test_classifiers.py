@@ -37,6 +37,37 @@ def test_segments_equal_brute_force():
         assert [(a, b, round(x, 6)) for a, b, x in toxicity.maximal_segments(s)] == brute_segments(s)
 
 
+def test_quality_features_in_several_scripts():
+    at = {n: i for i, n in enumerate(quality.FEATURES)}
+    latin, russian, greek, chinese = map(quality.features, (
+        "The cat sat there. It saw a dog.", "Кот сидел там. Он видел пса.", "Η γάτα ήταν εκεί. Είδε σκύλο.", "猫坐在那里。它看见一只狗。"))
+    marks = quality.features("??? ????? ???. ?? ????? ???.")
+    for f in (latin, russian, greek):
+        assert f[at["upper"]] > 0.05 and f[at["lower"]] > 0.5 and f[at["other"]] == 0
+        assert f[at["sentence"]] < marks[at["words"]]
+    assert chinese[at["lower"]] > 0.8 and marks[at["lower"]] == 0
+    assert abs(chinese[at["stop"]] + chinese[at["mark"]] - 2 / 13) < 1e-9
+    # typeset quotes change nothing else: the same counts by both ways
+    plain = "Some words, and A number 12 here: it's fine."
+    a, b = quality._counts(plain), quality._counts(plain + "\u4e00")
+    assert (b[0] - a[0]).tolist() == [0, 1, 0, 0, 0, 0, 0] and a[2:] == b[2:] and sorted(b[1]) == sorted([*a[1], 1])
+
+
+def test_quality_score_equals_looked_up_numbers():
+    """Against a plain loop over bins and pairs."""
+    rng = np.random.default_rng(3)
+    edges = [np.sort(rng.normal(size=5)) for _ in range(4)]
+    model = quality.AdditiveModel(0.3, edges, rng.normal(size=(4, 6)), [np.array([0, 0, 1, 1, 2, 2])] * 4,
+                                  [(0, 2, rng.normal(size=(3, 3))), (1, 3, rng.normal(size=(3, 3)))])
+    x = rng.normal(size=(50, 4))
+    x[0] = [e[2] for e in edges]     # on an edge: the upper bin
+    for row, got in zip(x, model.probability(x)):
+        bins = [sum(v >= e for e in edges[f]) for f, v in enumerate(row)]
+        raw = 0.3 + sum(model.tables[f][b] for f, b in enumerate(bins))
+        raw += sum(t[bins[f] // 2][bins[g] // 2] for f, g, t in model.pairs)
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
 def area_under_curve(score, label):
     order = np.argsort(np.argsort(score))
     n1, n0 = label.sum(), (1 - label).sum()
