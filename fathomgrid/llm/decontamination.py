@@ -11,8 +11,13 @@ passages of 64 words, each a query:
 * A retrieved item is a leak if the passage's surroundings contain enough of the word triples of its
   question and of its answer. Without columns of their own, these are the two halves of its text.
 
-The index travels with the tasks. Items are indexed in blocks of bounded size, and all documents are
-read once per block, so nothing that is sent grows with the benchmark. Documents are never shuffled.
+An item of under four words has no passage to be told by: it is a leak where it is a whole line, or the
+whole text, of a document. In scripts without spaces every character is a word.
+
+The index travels with the tasks. Items are indexed in blocks of bounded size, with the document frequencies,
+count and mean length of all items, so that scores do not depend on the blocks. All documents are
+read once per block, one block after another, so nothing that is sent grows with the benchmark. Documents are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,17 +33,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, rows_in, text_hash, to_arrow
+from fathomgrid.durable import durable
+
+from .common import documents, rows_in, small_table, stage, text_hash, to_arrow
 
 K1, B = 1.2, 0.75
 PART, STEP, PASSAGE = 48, 16, 4      # words of an item part and of a step, steps of a passage
-LEAST_WORDS = 4                      # an item with fewer identifies nothing and is left out
+LEAST_WORDS = 4                      # an item with fewer must be a whole line
 THRESHOLD = 0.6                      # of an item's score for itself
 OVERLAP = 0.5                        # of the triples of question and of answer
 GROUPS, POSTING_BLOCK = 128, 8       # fewer groups for a large vocabulary: the table has BOUNDS numbers at most
 BOUNDS = 1 << 22
 INDEX_BYTES = 2 << 20                # text of the items in one index
-_WORD = re.compile(r"\w+")
+# Blocks of scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han).
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 
 
 def words_of(text: str) -> list[str]:
@@ -55,28 +65,40 @@ def share_in(grams: set[tuple[str, ...]], words: list[str]) -> float:
     return len(grams & triples(words, len(next(iter(grams))))) / len(grams) if grams else 1.0
 
 
+def part_ends(n: int) -> list[tuple[int, int]]:
+    """Parts of an item of n words, of at most PART words and nearly equal."""
+    ends = np.linspace(0, n, -(-n // PART) + 1).astype(int).tolist()
+    return list(zip(ends, ends[1:]))
+
+
 class Vocabulary(dict):
     def __missing__(self, word: str) -> int:
         return 0
 
 
 class Index:
-    """Inverted index of items: (item id, question words, answer words)."""
+    """Inverted index of items: (item id, question words, answer words).
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]]):
+    statistics: document frequencies, number and mean length of the parts of all items, if these
+    are only some of them.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], statistics: tuple[dict[str, int], int, float] | None = None):
         parts = []
+        self.short: dict[tuple[str, ...], list[int]] = {}
         for item_id, question, answer in items:
             words, split = question + answer, len(question)
             if len(words) < LEAST_WORDS:
+                if words:
+                    self.short.setdefault(tuple(words), []).append(item_id)
                 continue
-            ends = np.linspace(0, len(words), -(-len(words) // PART) + 1).astype(int).tolist()
-            for at, end in zip(ends, ends[1:]):
+            for at, end in part_ends(len(words)):
                 parts.append((item_id, words[at:end], triples(words[at:min(end, split)]), triples(words[max(at, split):end])))
-        df: dict[str, int] = {}
-        for _, cut, _, _ in parts:
-            for w in set(cut):
-                df[w] = df.get(w, 0) + 1
-        n, mean = len(parts), sum(len(p[1]) for p in parts) / max(len(parts), 1)
+        if statistics is None:
+            df = Counter(w for _, cut, _, _ in parts for w in set(cut))
+            n, mean = len(parts), sum(len(p[1]) for p in parts) / max(len(parts), 1)
+        else:
+            df, n, mean = statistics
         idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
         weighted = []
         for part in parts:
@@ -88,6 +110,7 @@ class Index:
         weighted.sort(key=lambda x: (x[0], x[1][0], x[1][1]))
         self.items = [part for _, part, _ in weighted]
         self.vocabulary = Vocabulary((w, i + 1) for i, w in enumerate(sorted(df)))
+        n = len(parts)
         self.group = max(1, -(-n // max(8, min(GROUPS, BOUNDS // (len(df) + 1)))))
         self.most = np.zeros((len(df) + 1, max(1, -(-n // self.group))), np.float32)
         postings: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
@@ -157,7 +180,16 @@ class Index:
         """Leaked items of a text: item id -> (best score, first word of the passage, question and answer overlap)."""
         words = words_of(text)
         out: dict[int, tuple[float, int, float, float]] = {}
-        if not words or not self.items:
+        if not words:
+            return out
+        if self.short:
+            at = 0
+            lines = [words_of(line) for line in text.splitlines()]
+            for line in [*lines, words] if len(words) < LEAST_WORDS else lines:
+                for item_id in self.short.get(tuple(line), ()):
+                    out.setdefault(item_id, (1.0, min(at, len(words) - len(line)), 1.0, 1.0))
+                at += len(line)
+        if not self.items:
             return out
         ids = np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
         steps = np.add.reduceat(self.most[ids], np.arange(0, len(ids), STEP), axis=0)
@@ -186,7 +218,7 @@ class Index:
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None,
             answer_col: str | None = None, index_bytes: int = INDEX_BYTES):
-    """Indexes over the items, each of bounded size; null and empty items are left out.
+    """Indexes over the items, each of bounded size; null, empty and wordless items are left out.
 
     A question and an answer column, if given, replace the halves of the text.
     """
@@ -196,13 +228,37 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         F.col("i").isNotNull() & (F.length("q") + F.coalesce(F.length("a"), F.lit(0)) > 0)).distinct()
     total = rows.agg(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
     blocks = -(-total // index_bytes)
+    if blocks > 1:
+        rows = durable(rows, "benchmark")
+        parts = durable(_parts(rows), "benchmark-parts")
+        n, mean = parts.agg(F.count(F.lit(1)), F.avg("n_words")).first()
+        counts = durable(parts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")), "benchmark-words")
     for b in range(blocks):
         items = []
         for r in rows.where(F.pmod(F.xxhash64("i", "q"), F.lit(blocks)) == b).collect():
             words = words_of(r.q)
             half = (len(words) + 1) // 2
             items.append((r.i, words, words_of(r.a)) if r.a is not None else (r.i, words[:half], words[half:]))
-        yield Index(sorted(items))
+        statistics = None
+        if blocks > 1:
+            used = small_table(benchmark.sparkSession, w=pa.array(sorted({w for _, x, y in items for w in (*x, *y)}), pa.string()))
+            df = {r.w: r.df for r in counts.join(F.broadcast(used), "w").collect()}
+            statistics = df, n, mean
+        yield Index(sorted(items), statistics)
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """n_words and distinct words of every part of every item."""
+    schema = pa.schema([("n_words", pa.int64()), ("words", pa.list_(pa.string()))])
+
+    def run(batches):
+        for q, a in rows_in(batches, "q", "a"):
+            words = words_of(q) + words_of(a or "")
+            if len(words) >= LEAST_WORDS:
+                cuts = [words[at:end] for at, end in part_ends(len(words))]
+                yield to_arrow(schema, [[len(c) for c in cuts], [sorted(set(c)) for c in cuts]])
+
+    return rows.mapInArrow(run, "n_words bigint, words array<string>")
 
 
 def is_leaked(text: Column, index: Index) -> Column:
@@ -216,9 +272,13 @@ def is_leaked(text: Column, index: Index) -> Column:
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **columns) -> DataFrame:
-    """The rows of docs without a leaked item, in one pass per index and without a shuffle."""
-    for index in indexes(benchmark, **columns):
-        docs = docs.where(~is_leaked(F.col(text_col), index))
+    """The rows of docs without a leaked item, in one pass per index and without a shuffle.
+
+    Null and empty texts and repeated rows stay or go like any others; long texts are read whole. With an
+    empty benchmark all rows stay. What one index leaves is written before the next is made.
+    """
+    for i, index in enumerate(indexes(benchmark, **columns)):
+        docs = (stage(docs, "unleaked") if i else docs).where(~is_leaked(F.col(text_col), index))
     return docs
 
 
@@ -234,7 +294,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     table on either side gives no rows.
     """
     rows = documents(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("d"), text_hash(F.col("text")).alias("h"), "text")
-    found = docs.sparkSession.createDataFrame([], HITS_SQL)
+    written, last = docs.sparkSession.createDataFrame([], HITS_SQL), None
 
     def search(index):
         def run(batches):
@@ -245,5 +305,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return run
 
     for index in indexes(benchmark, **columns):
-        found = found.unionByName(rows.mapInArrow(search(index), HITS_SQL))
+        if last is not None:     # one index in a plan
+            written = written.unionByName(stage(last, "leaks"))
+        last = rows.mapInArrow(search(index), HITS_SQL)
+    found = written if last is None else written.unionByName(last)
     return found.withColumnRenamed("d", "doc_id")

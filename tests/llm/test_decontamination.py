@@ -62,6 +62,28 @@ def test_every_whole_item_is_found(spark, world, size):
     assert sum(d in got for d in clean) <= 0.05 * len(clean)
 
 
+def test_results_do_not_depend_on_blocks(spark, world):
+    items, docs = world
+    bench = spark.createDataFrame([*items, (83, "谁写了红楼梦这部小说 曹雪芹写了这部小说"), (84, "who wrote hamlet")], "item_id bigint, text string")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    one, many = ([tuple(r) for r in dc.find_leaks(frame, bench, index_bytes=n).collect()] for n in (dc.INDEX_BYTES, 5000))
+    key = lambda r: (r[0], r[2])
+    assert len(one) > 30
+    for a, b in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
+        assert key(a) == key(b) and abs(a[3] - b[3]) < 1e-5 and a[5:] == b[5:]
+    left = [sorted(r.doc_id for r in dc.drop_leaked(frame, bench, index_bytes=n).collect()) for n in (dc.INDEX_BYTES, 5000)]
+    assert left[0] == left[1] == sorted({d for d, _ in docs} - {r[0] for r in one})
+
+
+def test_short_and_unspaced_items(spark):
+    chinese = "谁写了红楼梦这部小说？曹雪芹写了这部小说。"
+    bench = spark.createDataFrame([(1, chinese), (2, "Who wrote Hamlet?"), (3, "Yes."), (4, "?!")], "item_id bigint, text string")
+    docs = [(1, chinese), (2, "前言。" + chinese + "后记。"), (3, "who wrote hamlet"), (4, "Quiz\n\nWho wrote Hamlet?\nNobody"), (5, "yes"),
+            (6, "He asked who wrote hamlet and yes she knew."), (7, "别的一句话没有关系"), (8, "?!"), (9, None)]
+    got = dc.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.word) for r in got) == [(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 2, 1), (5, 3, 0)]
+
+
 def test_empty_tables(spark):
     bench, docs = "item_id bigint, text string", "doc_id bigint, text string"
     none = spark.createDataFrame([], bench)
