@@ -120,6 +120,7 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None, id_col: str =
     on by the hash. One row per range, its first, is also sent to the range before, so that neighbours
     meet without a window over the whole table; nothing but range bounds passes through the driver.
     Rows with equal id and text form one place in the order each, and stay in one range.
+    An id beyond 2**53 in size that fills several ranges is not cut on.
     """
     spark = docs.sparkSession
     doc_id = F.col("doc_id")

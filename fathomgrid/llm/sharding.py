@@ -72,6 +72,7 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     """doc_id, size, text_crc32, shard and slot (gapless in each shard) of every row.
 
     Null texts have no bytes; null ids are kept. Repeated rows are placed like any other rows.
+    Rows that agree in id and text (no id, no text) cannot be told apart and are numbered in one lot.
     An empty table gives an empty result. Extra columns are ignored.
     """
     spark = docs.sparkSession
