@@ -4,14 +4,17 @@ The segmentation of a text is the path of pieces with the largest sum of scores.
 from the vocabulary file's ranks by Zipf's law, as integers, so that sums are exact in any order.
 Characters without a piece fall back to byte pieces, so that decoding gives every text back.
 
-A short text is solved in one go; recurring words are looked up, as no piece spans a boundary before
-a space. A giant text is cut into chunks. A path crosses a chunk boundary in one of L states, the
+No piece spans a cut: a boundary before a space or beside a line break. A short text is therefore a row
+of words; those of many texts that were not met before are solved together, and recurring ones are
+looked up. A giant text is cut into chunks. A path crosses a chunk boundary in one of L states, the
 number of characters between its last node and the boundary, L being the longest piece. Each chunk
 yields an L x L matrix: the best score from each state at its start to each at its end. Max-plus
 products of matrices are associative, so a parallel scan over the chunks of a text gives the scores
 of all states at every boundary. From these each chunk finds, on its own, from which state at its
 start each state at its end is reached; following these small maps back from the end of the text
-gives the state at every boundary, and each chunk is traced back independently. Chunks are rows, so
+gives the state at every boundary, and each chunk is traced back independently. All paths through a
+chunk meet at its cuts, so only what lies before the first and after the last one depends on states;
+between them words are looked up, for their scores and later for their ids. Chunks are rows, so
 one giant text is spread over many tasks; only its small matrices and maps meet. Among paths of equal
 score the longest last piece wins, in chunks as in whole texts.
 """
@@ -32,7 +35,9 @@ from .common import documents, mix, rows_in, stage, text_hash, to_arrow
 
 GIANT, CHUNK = 32_768, 8_192       # characters
 NEVER = -(1 << 62)
-CACHE = 400_000
+KNOWN_BYTES = 96 << 20             # of looked-up words, in a worker
+SOLVED, TOGETHER = 64, 4096        # longest word that is solved together with others, and how many are
+LOT = 1 << 19                      # characters of texts handled at once
 
 
 class Pieces:
@@ -66,7 +71,17 @@ class Pieces:
         joined = {c for t in self.table if len(t) > 1 for c in t}
         # a cut before a space that follows another character, and on both sides of a line break, crosses no piece
         self.cuts = all(" " not in t.lstrip(" ") for t in self.table) and "\n" not in joined
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, int]] = {}
+        self.held = 0
+        # the table as a trie of sorted (node, character) keys
+        number = {"": 0}
+        for text in self.table:
+            number[text] = len(number)
+        keys = np.array([number[t[:-1]] << 32 | ord(t[-1]) for t in self.table], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], 1 + order
+        self.node_score = np.array([NEVER] + [f[0] if f else NEVER for f in self.table.values()], np.int64)
+        self.node_piece = np.array([-1] + [f[1] if f else -1 for f in self.table.values()], np.int64)
 
     def edges(self, text: str, at: int, end: int):
         """Pieces that start at a position and end by `end`: (next position, score, id or -1 for bytes)."""
@@ -108,8 +123,8 @@ class Pieces:
             ids.extend([piece] if piece >= 0 else [self.byte[b] for b in reversed(text[node].encode())])
         return node, ids[::-1]
 
-    def trace(self, text: str) -> list[int]:
-        """ids of the best path through a whole text; the same as forward and walk from its start."""
+    def trace(self, text: str) -> tuple[list[int], int]:
+        """ids and score of the best path through a whole text; the same as forward and walk from its start."""
         get, longest, n = self.table.get, self.longest, len(text)
         best, back, last = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0
@@ -134,23 +149,97 @@ class Pieces:
             at, piece = back[n], last[n]
             ids.extend([piece] if piece >= 0 else [self.byte[b] for b in reversed(text[at].encode())])
             n = at
-        return ids[::-1]
+        return ids[::-1], best[-1]
+
+    def solve(self, words: list[str]) -> list[tuple[bytes, int]]:
+        """`trace` of many words at once: all edges of all words, then a step for each position in a word."""
+        n = len(words)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        owner = np.repeat(np.arange(n), sizes)
+        first = np.cumsum(sizes) - sizes
+        depth = np.arange(len(chars)) - first[owner]
+        left = sizes[owner] - depth
+        wide = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+
+        at, state, edges = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        bytewise = np.ones(len(chars), bool)
+        for k in range(1, self.longest + 1):
+            inside = left[at] >= k
+            at, state = at[inside], state[inside]
+            key = state << 32 | chars[at + k - 1]
+            slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = self.keys[slot] == key
+            at, state = at[met], self.child[slot[met]]
+            piece = self.node_score[state] > NEVER
+            edges.append((at[piece], np.full(piece.sum(), k), self.node_score[state[piece]], self.node_piece[state[piece]]))
+            if k == 1:
+                bytewise[at[piece]] = False
+        at = np.flatnonzero(bytewise)
+        edges.append((at, np.ones(len(at), np.int64), self.byte_score * wide[at], np.full(len(at), -1)))
+        at, length, score, piece = map(np.concatenate, zip(*edges))
+        order = np.argsort(depth[at].astype(np.uint16), kind="stable")
+        at, length, score, piece = at[order], length[order], score[order], piece[order]
+
+        # a word of m characters has m + 1 nodes; edges of one depth end at different nodes
+        source = at + owner[at]
+        target = source + length
+        best = np.full(len(chars) + n, NEVER, np.int64)
+        via = np.zeros(len(chars) + n, np.int64)
+        root = first + np.arange(n)
+        best[root] = 0
+        bounds = np.searchsorted(depth[at], np.arange(int(sizes.max(initial=0)) + 1))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            reached = best[source[lo:hi]] + score[lo:hi]
+            better = np.flatnonzero(reached > best[target[lo:hi]])
+            best[target[lo + better]] = reached[better]
+            via[target[lo + better]] = lo + better
+
+        worth, used, alive = best[root + sizes], [], np.flatnonzero(sizes)
+        node = (root + sizes)[alive]
+        while len(alive):
+            edge = via[node]
+            used.append(edge)
+            going = source[edge] > root[alive]
+            node, alive = source[edge][going], alive[going]
+        used = np.concatenate(used) if used else np.zeros(0, np.int64)
+        used = used[np.argsort(at[used])]
+        piece, at = piece[used], at[used]
+        count = np.where(piece < 0, wide[at], 1)
+        ids = np.repeat(piece, count)
+        raw = "".join(map(chr, chars[at[piece < 0]])).encode()
+        ids[ids < 0] = np.array(self.byte)[np.frombuffer(raw, np.uint8)]
+        ends = 4 * np.cumsum(np.bincount(owner[at], count, n).astype(np.int64))
+        data, ends = ids.astype("<u4").tobytes(), ends.tolist()
+        return [(data[a:b], w) for a, b, w in zip([0, *ends], ends, worth.tolist())]
+
+    def learn(self, texts: list[list[str]]) -> dict[str, tuple[bytes, int]]:
+        """ids and score of every word of some texts, and of earlier ones."""
+        if self.held > KNOWN_BYTES:
+            self.known.clear()
+            self.held = 0
+        new = set().union(*texts).difference(self.known)
+        short = [w for w in new if len(w) <= SOLVED]
+        for at in range(0, len(short), TOGETHER):
+            some = short[at:at + TOGETHER]
+            self.known.update(zip(some, self.solve(some)))
+        for w in new:
+            if len(w) > SOLVED:
+                ids, score = self.trace(w)
+                self.known[w] = np.array(ids, "<u4").tobytes(), score
+        self.held += 300 * len(new) + 8 * sum(map(len, new))
+        return self.known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """ids of texts as little-endian 32-bit numbers; a space is put in front, as the model was made."""
+        if not self.cuts:
+            return [np.array(self.trace(" " + t)[0] if t else [], "<u4").tobytes() for t in texts]
+        split = [_WORDS.findall(" " + t) if t else [] for t in texts]
+        known = self.learn(split)
+        return [b"".join([known[w][0] for w in words]) for words in split]
 
     def encode(self, text: str) -> bytes:
-        """ids of a text as little-endian 32-bit numbers; a space is put in front, as the model was made."""
-        if not text:
-            return b""
-        text = " " + text
-        if not self.cuts:
-            return np.array(self.trace(text), "<u4").tobytes()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        words = _WORDS.findall(text)
-        for w in words:
-            if w not in known:
-                known[w] = np.array(self.trace(w), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -160,12 +249,23 @@ class Pieces:
         """Whether no piece can cross this position."""
         return self.cuts and (text[at] == " " != text[at - 1] or text[at] == "\n" or text[at - 1] == "\n")
 
-    def scores(self, text: str, start: int) -> list[tuple[int, int]]:
-        """Best scores, from a node, of the nodes less than a piece before the end."""
+    def ends(self, text: str, start: int) -> tuple[int, int] | None:
+        """First and last cut inside a chunk; every path has a node at both."""
+        inside = range(start + 1, len(text))
+        first = next((k for k in inside if self.is_cut(text, k)), None)
+        return None if first is None else (first, next(k for k in reversed(inside) if self.is_cut(text, k)))
+
+    def middle(self, text: str, start: int) -> list[str]:
+        """Words between the first and the last cut."""
+        cut = self.ends(text, start)
+        return _WORDS.findall(text[cut[0]:cut[1]]) if cut else []
+
+    def scores(self, text: str) -> list[tuple[int, int]]:
+        """Characters from a node to the end, and best score, of the nodes less than a piece before the end."""
         get, longest, n = self.table.get, self.longest, len(text)
         best = [NEVER] * (n + 1)
-        best[start] = 0
-        for at in range(start, n):
+        best[0] = 0
+        for at in range(n):
             base, any_one = best[at], False
             for j in range(at + 1, min(n, at + longest) + 1):
                 found = get(text[at:j], 0)
@@ -176,16 +276,16 @@ class Pieces:
                     break
             if not any_one:
                 best[at + 1] = max(best[at + 1], base + self.byte_score * len(text[at].encode()))
-        return [(at, best[at]) for at in range(max(start, n - longest + 1), n + 1)]
+        return [(n - at, best[at]) for at in range(max(0, n - longest + 1), n + 1)]
 
-    def transfer(self, text: str, start: int) -> np.ndarray:
+    def transfer(self, text: str, start: int, known: dict) -> np.ndarray:
         """Matrix of a chunk that begins at `start` of `text`; what stands before is the end of the last chunk.
 
-        Entry [i, j]: best score from node start - i, leaving it beyond the start, to node end - j.
+        Entry [i, j]: best score from node start - i, leaving it beyond the start, to node end - j. Beyond the
+        first cut all states move alike; no path leaves from a node before the last one.
         """
-        size, whole, best = self.longest, len(text), {}
-        # every path has a node at a cut; from there on all states move alike
-        end = next((k for k in range(start + 1, whole) if self.is_cut(text, k)), whole)
+        size, whole, best, cut = self.longest, len(text), {}, self.ends(text, start)
+        end = cut[0] if cut else whole
         for i in range(min(size, start + 1)):
             for j, score, _ in self.edges(text, start - i, end):
                 if j > start or i == 0:
@@ -198,9 +298,10 @@ class Pieces:
             row = best.pop(at, None)
             if row is None:
                 continue
-            if end < whole and at == end:
-                for node, score in self.scores(text, end):
-                    out[:, whole - node] = np.where(row > NEVER, row + score, NEVER)
+            if cut and at == end:
+                between = sum(known[w][1] for w in self.middle(text, start))
+                for state, score in self.scores(text[cut[1]:]):
+                    out[:, state] = np.where(row > NEVER, row + (between + score), NEVER)
                 return out
             if end == whole and end - at < size:
                 out[:, end - at] = row
@@ -254,12 +355,27 @@ def _chunks(size: int, overlap: int):
     return run
 
 
+def _lots(rows, text: int):
+    """Rows in lists of about LOT characters; `text` is the place of the text in a row."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[text])
+        if size > LOT:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def _matrices(pieces):
     schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("c", pa.int32()), ("matrix", pa.binary())])
 
     def run(batches):
-        for d, h, c, start, text in rows_in(batches, "d", "h", "c", "start", "text"):
-            yield to_arrow(schema, [[d], [h], [c], [pieces.transfer(text, start).tobytes()]])
+        for lot in _lots(rows_in(batches, "d", "h", "c", "start", "text"), 4):
+            known = pieces.learn([pieces.middle(text, start) for *_, start, text in lot])
+            for d, h, c, start, text in lot:
+                yield to_arrow(schema, [[d], [h], [c], [pieces.transfer(text, start, known).tobytes()]])
 
     return run
 
@@ -280,12 +396,17 @@ def _maps(pieces):
 
     def run(batches):
         for d, h, c, start, text, entry in rows_in(batches, "d", "h", "c", "start", "text", "entry"):
-            back = pieces.forward(text, start, entry[:start + 1])
-            origin = []
-            for state in range(pieces.longest):
-                node = len(text) - state
-                known = 0 <= node <= start or node in back
-                origin.append(start - pieces.walk(text, back, start, node)[0] if known else -1)
+            cut = pieces.ends(text, start)
+            if cut:  # all states beyond the last cut come through the first
+                back = pieces.forward(text[:cut[0]], start, entry[:start + 1])
+                state = start - pieces.walk(text, back, start, cut[0])[0]
+                origin = [state if len(text) - j >= cut[1] else -1 for j in range(pieces.longest)]
+            else:
+                back, origin = pieces.forward(text, start, entry[:start + 1]), []
+                for state in range(pieces.longest):
+                    node = len(text) - state
+                    known = 0 <= node <= start or node in back
+                    origin.append(start - pieces.walk(text, back, start, node)[0] if known else -1)
             yield to_arrow(schema, [[d], [h], [c], [origin]])
 
     return run
@@ -307,10 +428,18 @@ def _traced(pieces):
     schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("c", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
-        for d, h, c, start, text, entry, leave in rows_in(batches, "d", "h", "c", "start", "text", "entry", "exit"):
-            back = pieces.forward(text, start, entry[:start + 1])
-            ids = pieces.walk(text, back, start, len(text) - leave)[1]
-            yield to_arrow(schema, [[d], [h], [c], [np.array(ids, "<u4").tobytes()]])
+        for lot in _lots(rows_in(batches, "d", "h", "c", "start", "text", "entry", "exit"), 4):
+            known = pieces.learn([pieces.middle(text, start) for _, _, _, start, text, _, _ in lot])
+            for d, h, c, start, text, entry, leave in lot:
+                cut = pieces.ends(text, start)
+                head = text[:cut[0]] if cut else text
+                back = pieces.forward(head, start, entry[:start + 1])
+                ids = pieces.walk(head, back, start, cut[0] if cut else len(text) - leave)[1]
+                parts = [np.array(ids, "<u4").tobytes()]
+                if cut:
+                    parts += [known[w][0] for w in pieces.middle(text, start)]
+                    parts.append(np.array(pieces.trace(text[cut[1]:len(text) - leave])[0], "<u4").tobytes())
+                yield to_arrow(schema, [[d], [h], [c], [b"".join(parts)]])
 
     return run
 
@@ -326,15 +455,9 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.binary())])
 
     def direct(batches):
-        out, size = [], 0
-        for doc_id, text in rows_in(batches, "doc_id", "text"):
-            out.append((doc_id, text, pieces.encode(text)))
-            size += len(text)
-            if size > 1 << 20:
-                yield to_arrow(schema, [list(c) for c in zip(*out)])
-                out, size = [], 0
-        if out:
-            yield to_arrow(schema, [list(c) for c in zip(*out)])
+        for lot in _lots(rows_in(batches, "doc_id", "text"), 1):
+            doc_ids, texts = map(list, zip(*lot))
+            yield to_arrow(schema, [doc_ids, texts, pieces.encode_all(texts)])
 
     short = rows.where(F.char_length("text") <= giant).mapInArrow(direct, "doc_id bigint, text string, ids binary")
     long = rows.where(F.char_length("text") > giant).select(
@@ -348,8 +471,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     states = (parts.mapInArrow(_maps(pieces), "d bigint, h bigint, c int, origin array<int>")
               .repartition("d", "h").sortWithinPartitions("d", "h", "c").mapInArrow(_states, "d bigint, h bigint, c int, exit int"))
     traced = parts.join(states, ["d", "h", "c"]).mapInArrow(_traced(pieces), "d bigint, h bigint, c int, ids binary")
-    whole = traced.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("c", "ids"))).alias("parts")).select(
-        "d", "h", F.expr("aggregate(parts, cast('' as binary), (x, p) -> concat(x, p.ids))").alias("ids"))
+    whole = traced.groupBy("d", "h").agg(F.expr("listagg(ids) within group (order by c)").alias("ids"))
     return short.unionByName(long.join(whole, ["d", "h"]).select("doc_id", "text", "ids"))
 
 

@@ -45,6 +45,25 @@ def test_encode_equals_brute_force_and_round_trips(pieces):
     assert pieces.encode("") == b"" and pieces.decode(b"") == ""
 
 
+def test_words_solved_together_equal_single_ones(pieces):
+    rng = random.Random(8)
+    words = ["", "a", " ", "\n", "🙂", "日本", "x" * 70] + [
+        "".join(rng.choice(["th", "e", " ", "ing", "é", "tion", "日", "\n", "aa", "🙂", "\0"]) for _ in range(rng.randint(1, 12)))
+        for _ in range(300)]
+    for w, (ids, score) in zip(words, pieces.solve(words)):
+        want, best = pieces.trace(w)
+        assert np.frombuffer(ids, "<u4").tolist() == want and score == best
+    assert pieces.solve([]) == []
+
+
+def test_a_full_lookup_starts_anew(pieces, monkeypatch):
+    texts = ["the cat " * 3, "sat on", "", "y" * 200]
+    want = [pieces.encode(t) for t in texts]
+    monkeypatch.setattr(sp, "KNOWN_BYTES", 100)
+    monkeypatch.setattr(sp, "TOGETHER", 2)
+    assert [pieces.encode(t) for t in texts] == want and pieces.encode_all(texts) == want
+
+
 def test_scan_equals_sequential_products():
     rng = np.random.default_rng(2)
     m = rng.integers(-1000, 0, (13, 4, 4))
