@@ -35,9 +35,9 @@ from .common import documents, mix, rows_in, stage, text_hash, to_arrow
 
 GIANT, CHUNK = 32_768, 8_192       # characters
 NEVER = -(1 << 62)
-KNOWN_BYTES = 96 << 20             # of looked-up words, in a worker
+KNOWN_BYTES = 24 << 20             # of looked-up words, in a worker
 SOLVED, TOGETHER = 64, 4096        # longest word that is solved together with others, and how many are
-LOT = 1 << 19                      # characters of texts handled at once
+LOT = 1 << 18                      # characters of texts handled at once
 
 
 class Pieces:
@@ -216,8 +216,7 @@ class Pieces:
     def learn(self, texts: list[list[str]]) -> dict[str, tuple[bytes, int]]:
         """ids and score of every word of some texts, and of earlier ones."""
         if self.held > KNOWN_BYTES:
-            self.known.clear()
-            self.held = 0
+            self.forget()
         new = set().union(*texts).difference(self.known)
         short = [w for w in new if len(w) <= SOLVED]
         for at in range(0, len(short), TOGETHER):
@@ -230,6 +229,10 @@ class Pieces:
         self.held += 300 * len(new) + 8 * sum(map(len, new))
         return self.known
 
+    def forget(self) -> None:
+        """Free the words; a worker lives on after its task."""
+        self.known, self.held = {}, 0
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """ids of texts as little-endian 32-bit numbers; a space is put in front, as the model was made."""
         if not self.cuts:
@@ -376,6 +379,7 @@ def _matrices(pieces):
             known = pieces.learn([pieces.middle(text, start) for *_, start, text in lot])
             for d, h, c, start, text in lot:
                 yield to_arrow(schema, [[d], [h], [c], [pieces.transfer(text, start, known).tobytes()]])
+        pieces.forget()
 
     return run
 
@@ -440,6 +444,7 @@ def _traced(pieces):
                     parts += [known[w][0] for w in pieces.middle(text, start)]
                     parts.append(np.array(pieces.trace(text[cut[1]:len(text) - leave])[0], "<u4").tobytes())
                 yield to_arrow(schema, [[d], [h], [c], [b"".join(parts)]])
+        pieces.forget()
 
     return run
 
@@ -458,6 +463,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
         for lot in _lots(rows_in(batches, "doc_id", "text"), 1):
             doc_ids, texts = map(list, zip(*lot))
             yield to_arrow(schema, [doc_ids, texts, pieces.encode_all(texts)])
+        pieces.forget()
 
     short = rows.where(F.char_length("text") <= giant).mapInArrow(direct, "doc_id bigint, text string, ids binary")
     long = rows.where(F.char_length("text") > giant).select(
