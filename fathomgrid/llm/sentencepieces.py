@@ -35,7 +35,7 @@ from .common import documents, mix, rows_in, stage, text_hash, to_arrow
 
 GIANT, CHUNK = 32_768, 8_192       # characters
 NEVER = -(1 << 62)
-KNOWN_BYTES = 24 << 20             # of looked-up words, in a worker
+KNOWN_BYTES = 48 << 20             # of looked-up words, in a worker
 SOLVED, TOGETHER = 64, 4096        # longest word that is solved together with others, and how many are
 LOT = 1 << 18                      # characters of texts handled at once
 
