@@ -4,8 +4,8 @@ Vectors become blocks of integers. Query blocks meet candidate blocks; a task mu
 a time and only ever sends on counts or final candidates:
 
 1. Every score falls into one of BINS equal bins of the query's score interval, at first all scores
-   its length allows. Spark adds up the counts of all tasks, and the bin that holds the k-th best score
-   becomes the query's next interval. Queries whose bin is one integer wide, or holds few scores, are
+   its length allows; scores above the interval count in its top bin. Spark adds up the counts of all tasks,
+   and the bin that holds the k-th best score becomes the query's next interval. Queries whose bin is one integer wide, or holds few scores, are
    done; the others score again, in that bin alone. The range shrinks by BINS each round, so two or
    three rounds do for any data.
 2. All queries score once more and keep what reaches the lower end of their bin. From one pair of
@@ -36,6 +36,7 @@ FEW = 8             # times k: a bin with no more scores than this needs no furt
 CANDIDATES, QUERIES = 2048, 256
 LANE_BYTES = 256 << 20
 COMPONENTS = 1 << 20
+MOST_SCORE = 2.0 ** 63 - 2048
 
 BLOCK = "n int, dim int, ids binary, vectors binary, longest double"
 ASKED = "n int, dim int, numbers binary, ids binary, vectors binary, low binary, width binary"
@@ -112,8 +113,8 @@ def _pairs(batches):
     kept_key = kept = None
     for batch in batches:
         for r in batch.to_pylist():
-            if kept_key != r["vectors"]:
-                kept_key, kept = r["vectors"], (np.frombuffer(r["ids"], np.int64), _matrix(r["vectors"], r["n"], r["dim"]))
+            if kept_key != (r["ids"], r["vectors"], r["dim"]):  # blocks of copies differ in their ids only
+                kept_key, kept = (r["ids"], r["vectors"], r["dim"]), (np.frombuffer(r["ids"], np.int64), _matrix(r["vectors"], r["n"], r["dim"]))
             ids, matrix = kept
             asked = _matrix(r["q_vectors"], r["q_n"], r["q_dim"])
             scores = products(matrix, asked)
@@ -138,8 +139,9 @@ def _histogram(batches):
             if len(total) >= 16:
                 yield from flush()
             total[key] = numbers, np.zeros((len(numbers), BINS), np.int64)
-        at = (scores - low) // width
-        valid = other & (at >= 0) & (at < BINS)
+        # as unsigned numbers, as the difference of two scores may exceed 63 bits
+        at = np.minimum((scores - low).view(np.uint64) // width.view(np.uint64), np.uint64(BINS - 1)).astype(np.int64)
+        valid = other & (scores >= low)
         flat = (at + np.arange(len(numbers)) * BINS)[valid]
         total[key][1][...] += np.bincount(flat, minlength=len(numbers) * BINS).reshape(-1, BINS)
     yield from flush()
@@ -224,12 +226,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_c
     lanes = lanes or max(1, math.ceil(about["bytes"] / LANE_BYTES))
     blocks = named.where(F.coalesce(is_query, F.lit(False))).mapInArrow(_pack(scale, QUERIES), BLOCK)
     rows = blocks.mapInArrow(_unpack, "at int, id bigint, dim int, vector binary, length double")
-    # the Cauchy-Schwarz bound on a query's scores, rounded up
-    reach = F.ceil(F.col("length") * F.lit(about["longest"] * (1 + 1e-9))).cast("bigint") + 1
+    # the Cauchy-Schwarz bound on a query's scores, rounded up; scores themselves fit 64 bits
+    bound = F.least(F.col("length") * F.lit(about["longest"] * (1 + 1e-9)), F.lit(MOST_SCORE))
+    reach = F.ceil(bound).cast("bigint") + 1
     queries = stage(rows.select(F.monotonically_increasing_id().alias("number"), "id", "dim", "vector", (-reach).alias("low"),
-                                (F.floor((reach * 2 + 1) / BINS) + 1).cast("bigint").alias("width")), "queries")
+                                (F.floor(reach / (BINS / 2)) + 2).cast("bigint").alias("width")), "queries")
     n_queries = queries.count()
-    state = queries.select("number", "low", "width", F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done"))
+    state = queries.select("number", "low", "width", F.lit(False).alias("done"))
     located = None
     for _ in range(8):  # 1024**7 exceeds 64 bits
         left = state.where("not done").drop("done")
@@ -254,18 +257,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_c
 def _narrowed(counts: DataFrame, left: DataFrame, k: int) -> DataFrame:
     """The bin of each query that holds its k-th best score, as the next interval.
 
-    A query with fewer than k scores keeps its interval, from the low end up. The window holds one query's bins.
+    Counts hold every score from the interval's low end up, so none is known from an earlier round. A query with
+    fewer than k scores keeps its interval. The window holds one query's bins.
     """
     down = Window.partitionBy("number").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counts.withColumn("upto", F.sum("n").over(down)).join(left, "number")
-    hit = upto.where(F.col("above") + F.col("upto") >= k).groupBy("number").agg(
-        F.max_by(F.struct("bin", "n", "upto"), "bin").alias("hit"))
+    upto = counts.withColumn("upto", F.sum("n").over(down))
+    hit = upto.where(F.col("upto") >= k).groupBy("number").agg(F.max_by(F.struct("bin", "n"), "bin").alias("hit"))
     at = left.join(hit, "number", "left")
-    low = F.coalesce(F.col("low") + F.col("hit.bin") * F.col("width"), F.col("low"))
+    half = F.shiftright("hit.bin", 1)  # bins times width may exceed 64 bits, their halves do not
+    low = F.coalesce(F.col("low") + half * F.col("width") + (F.col("hit.bin") - half) * F.col("width"), F.col("low"))
     done = F.col("hit").isNull() | (F.col("width") == 1) | (F.col("hit.n") <= FEW * k)
     width = F.when(done, F.col("width")).otherwise(F.floor((F.col("width") - 1) / BINS).cast("bigint") + 1)
-    above = F.coalesce(F.col("above") + F.col("hit.upto") - F.col("hit.n"), F.col("above"))
-    return at.select("number", low.alias("low"), width.alias("width"), above.alias("above"), done.alias("done"))
+    return at.select("number", low.alias("low"), width.alias("width"), done.alias("done"))
 
 
 def _ranked(best: DataFrame, k: int) -> DataFrame:

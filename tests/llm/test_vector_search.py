@@ -63,3 +63,26 @@ def test_repeated_rows(spark):
     assert run(spark, rows) == brute(rows, 10)
     twice = run(spark, [(0, [1.0]), (0, [1.0]), (3, [2.0])])
     assert twice == [(0, 1, 3, 2 * 1024 * 1024)] * 2
+
+
+def test_blocks_of_copies_keep_their_own_ids(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CANDIDATES", 4)
+    rows = [(i, [1.0, 0.5] if i > 40 else [0.25, -1.0]) for i in range(101)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    found = vector_search.top_k(table, F.pmod(F.col("id"), F.lit(100)) == 0, 50)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 50)
+
+
+def test_scores_above_an_interval_count_once(spark, monkeypatch):
+    # bins of whole width reach above the interval of a second round, where other scores lie
+    monkeypatch.setattr(vector_search, "FEW", 1)
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, int(rng.integers(1, 4)) / 1024]) for i in range(0, 2000, 100)]
+    rows += [(i, [0.5, int(rng.integers(0, 4000)) / 1024]) for i in range(2001, 2700) if i % 100]
+    for k in (40, 200):
+        assert run(spark, rows, k=k) == brute(rows, k)
+
+
+def test_scores_near_64_bits(spark):
+    rows = [(0, [2.0 ** 21, 2.0 ** 20]), (100, [-2.0 ** 20, 5.0])] + [(i, [2.0 ** 20 - i, -float(i)]) for i in range(1, 60)]
+    assert run(spark, rows, scale=2.0 ** 10.5) == brute(rows, 10, 2.0 ** 10.5)
