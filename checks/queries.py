@@ -41,16 +41,14 @@ def query(fn):
 def positions_explode(spark, d):
     """Array configurations written as nested JSON and read back by the source."""
     centers = X.sql(spark, d, X.CENTERS, "customer")
-    circle = arrays.hexagon_positions(centers).groupBy("config").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("glider", "lat", "lon"))),  # six sensors
-                    lambda p: F.array(p["lat"], p["lon"])).alias("positions"))
     path = scratch(spark, "arrays")
-    (centers.join(circle, "config").select(
+    (centers.select(
         F.col("config").alias("name"), F.lit("circle of six").alias("description"),
-        F.struct("lat", "lon").alias("center"), F.col("diameter").alias("diameter_deg"), "positions")
+        F.struct("lat", "lon").alias("center"), F.col("diameter").alias("diameter_deg"),
+        F.transform(arrays.hexagon(), lambda p: F.array(p["lat"], p["lon"])).alias("positions"))
      .write.json(path))
     read = arrays.read_arrays(spark, path, multi_line=False)
-    return arrays.positions(read).join(read.select("config", F.col("diameter_deg").alias("diameter")), "config")
+    return arrays.positions(read, F.col("diameter_deg").alias("diameter"))
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARRAY_SCHEMA = (
@@ -22,10 +22,11 @@ def read_arrays(spark: SparkSession, path, multi_line: bool = True) -> DataFrame
             .withColumnRenamed("name", "config"))
 
 
-def positions(arrays: DataFrame) -> DataFrame:
-    """(config, glider, lat, lon): one row per sensor, numbered as listed."""
-    return (arrays.select("config", F.posexplode("positions").alias("glider", "p"))
-            .select("config", "glider", F.get("p", 0).alias("lat"), F.get("p", 1).alias("lon")))
+def positions(arrays: DataFrame, *more: Column) -> DataFrame:
+    """(config, glider, lat, lon): one row per sensor, numbered as listed; more: further columns of its array."""
+    at = F.get("p", 0).alias("lat"), F.get("p", 1).alias("lon")
+    listed = arrays.select("config", *more, F.posexplode("positions").alias("glider", "p"))
+    return listed.select("config", "glider", *at, *listed.columns[1:-2])
 
 
 def load_positions(spark: SparkSession, path) -> DataFrame:
@@ -38,9 +39,16 @@ def hexagon_positions(centers: DataFrame) -> DataFrame:
 
     centers: (config, lat, lon, diameter), degrees. The first sensor is due east.
     """
-    angle = F.col("glider") * F.lit(2 * math.pi / 6)
+    return centers.select("config", F.inline(hexagon()))
+
+
+def hexagon() -> Column:
+    """The six sensors (glider, lat, lon) of a centre, as an array."""
     radius = F.col("diameter") / 2
-    return (centers.withColumn("glider", F.explode(F.sequence(F.lit(0), F.lit(5))))
-            .select("config", "glider",
-                    (F.col("lat") + radius * F.sin(angle)).alias("lat"),
-                    (F.col("lon") + radius * F.cos(angle)).alias("lon")))
+
+    def sensor(glider: Column) -> Column:
+        angle = glider * F.lit(2 * math.pi / 6)
+        return F.struct(glider.alias("glider"), (F.col("lat") + radius * F.sin(angle)).alias("lat"),
+                        (F.col("lon") + radius * F.cos(angle)).alias("lon"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(5)), sensor)

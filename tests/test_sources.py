@@ -36,6 +36,21 @@ def test_hexagons(spark):
         assert (r["glider"], r["lat"], r["lon"]) == (g, pytest.approx(lat, abs=1e-14), pytest.approx(lon, abs=1e-12))
 
 
+def test_further_columns_come_with_the_sensors(spark):
+    centers = spark.createDataFrame([(f"h{i}", 1.0 * i, 220.0, 0.25) for i in range(3)],
+                                    "config string, lat double, lon double, diameter double")
+    written = centers.select("config", "diameter", F.transform(arrays.hexagon(), lambda p: F.array(p["lat"], p["lon"])).alias("positions"))
+    got = arrays.positions(written, F.col("diameter").alias("size"))
+    assert got.columns == ["config", "glider", "lat", "lon", "size"]
+    assert sorted(map(tuple, got.drop("size").collect())) == sorted(map(tuple, arrays.hexagon_positions(centers).collect()))
+
+
+def test_listed_arrays_are_not_joined(spark):
+    from checks.queries import QUERIES
+    plan = QUERIES["positions_explode"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # nothing passes through the driver
+
+
 @pytest.fixture(scope="module")
 def series(spark):
     return spark.range(36, 36 * 100, 36).select(
