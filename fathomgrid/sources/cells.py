@@ -95,7 +95,8 @@ def _bounded(df: DataFrame, iters, start, end, ref_date: str, delta_t: int) -> D
             if folder in df.columns:
                 df = df.filter(F.col(folder) >= bound if folder == "iter_to" else F.col(folder) <= bound)
     if iters is not None:
-        lo, hi = min(iters), max(iters)
+        ends = (iters[0], iters[-1]) if isinstance(iters, range) else iters  # a range may be as long as all numbers
+        lo, hi = min(ends), max(ends)
         df = df.filter(F.col("iter").between(lo, hi))
         if set(PARTS) <= set(df.columns):
             df = df.filter((F.col("iter_to") >= lo) & (F.col("iter_from") <= hi))

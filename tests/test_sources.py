@@ -51,6 +51,24 @@ def test_listed_arrays_are_not_joined(spark):
     assert "Join" not in plan and "Exchange" not in plan  # nothing passes through the driver
 
 
+def test_a_range_of_snapshots_without_end(spark):
+    numbers = spark.createDataFrame([(36 * i, 0, 10 ** 6) for i in range(1, 20)] + [(360_000, 0, 10 ** 6)],
+                                    "iter int, iter_from int, iter_to int")
+    kept = C.select_snapshots(numbers, iters=range(72, 2 ** 31, 36))
+    assert sorted(r["iter"] for r in kept.collect()) == [36 * i for i in range(2, 20)] + [360_000]
+
+
+def test_stored_snapshots_of_a_larger_table(spark, tmp_path, monkeypatch):
+    from checks import fixtures as X
+    from checks.queries import QUERIES
+
+    late = [36 * i for i in range(2, 30)] + [36 * i for i in range(3000, 3030)]  # above 100,000
+    cells = spark.createDataFrame([(i, 1, 0, 0, *[1.0] * 5) for i in late], C.CELL_SCHEMA)
+    monkeypatch.setattr(X, "raw_cells", lambda spark, d: cells)
+    got = QUERIES["stored_irregular_stride"](spark, str(tmp_path)).count()
+    assert got == len([i for i in late if i % 5][::3])
+
+
 @pytest.fixture(scope="module")
 def series(spark):
     return spark.range(36, 36 * 100, 36).select(
