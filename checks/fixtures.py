@@ -21,6 +21,7 @@ from fathomgrid.sources.cells import load_model
 MAX_DEPTH, DZ = 10, 2
 SHALLOW = 6
 DEEP = 14  # below the deepest level
+DIGITS = 9  # decimals of the values in histograms of fields
 GRID_N, LEVELS = 8, 7
 CELL_EDGE = EARTH_RADIUS_M * math.radians(1) / 24
 

@@ -436,7 +436,8 @@ def joint_compare(spark, d):
 
 @query
 def field_pdfs(spark, d):
-    return fields(spark, d, fields=MODEL_FIELDS).field_pdfs()
+    """Histograms of values rounded to nine decimals, so that copies of a value on a limit are all counted."""
+    return fields(spark, d, fields=MODEL_FIELDS, digits=X.DIGITS).field_pdfs()
 
 
 @query

@@ -38,7 +38,9 @@ class FieldComparison:
     correlation, flux integrals and records then have a row for each, under max_depth: a layer is
     counted in the class of the shallowest depth that holds it, and counts of classes add up, so all
     depths share each pass. times: the model's times, if known without reading cells.
-    fields: those compared; the others are not computed.
+    fields: those compared; the others are not computed. digits: decimals that compared values are rounded to. Sums
+    come out differently in their last bits with every order of addition; without it, which copies of a value lie
+    inside limits that fall on that value is left to chance.
     """
 
     cells: DataFrame
@@ -49,6 +51,7 @@ class FieldComparison:
     depths: tuple = ()
     times: DataFrame | None = None
     fields: tuple = (*FIELDS, "divergence")
+    digits: int | None = None
 
     def __post_init__(self):
         self.depths = tuple(sorted(self.depths))
@@ -143,7 +146,11 @@ class FieldComparison:
         if "divergence" in self.fields:
             div = D.pooled(self.classed(self.div_obs), self.classed(self.div_true), [*keys, F.col("div").alias("divergence")])
             parts.append(D.field_population(div, ["divergence"], keys))
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if self.digits is None:
+            return whole
+        unit = F.lit(10.0 ** self.digits)
+        return whole.withColumn("v", F.rint(F.col("v") * unit) / unit)
 
     @cached_property
     def ranks(self) -> D.Ranks:

@@ -60,3 +60,12 @@ def test_mean_map_reads_the_levels_it_needs(spark, cube, tmp_path):
     mean = domain_mean(C.load_model(C.read_cells(spark, path)), cube.grid, 3)
     plan = mean._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(iz," in plan
+
+
+def test_copies_of_a_value_on_a_limit_are_counted_together(spark):
+    # the third of 401 values is the lower limit: the sum 0.1 + 0.2, just above its two other copies 0.3
+    values = [0.3, 0.3, 0.1 + 0.2] + [1 + i / 397 for i in range(398)]
+    table = spark.createDataFrame([("a", v) for v in values], "config string, U double")
+    run = FieldComparison(None, None, None, fields=("U",), digits=9)
+    run.__dict__.update(obs_raw=table, true_raw=table.limit(0))
+    assert sum(r["n_obs"] for r in run.field_pdfs().collect()) == 399
