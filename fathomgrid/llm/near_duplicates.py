@@ -9,8 +9,9 @@
    proportion to it. Pairs are verified on the full sets, and linked ones give first components.
 4. Buckets of any size that still hold several components may hide links between documents that
    were not centres. There, every document outside the bucket's commonest component is compared with all
-   others of the bucket on 8-bit sketches of the minima, in blocks of bounded size inside tasks;
-   only likely pairs of different components leave them, and are verified in the same way.
+   others of the bucket on 8-bit sketches of the minima, in blocks of bounded size inside tasks. Likely pairs
+   of different components are verified there too, each in the first bucket that both share, so that only links
+   leave a task, fewer than it holds documents.
 5. Components over all verified links, by alternating stars.
 
 With the default bands a link at the threshold is missed with a probability below one in a million.
@@ -31,7 +32,8 @@ from .common import documents, free_names, mix, rows_in, stage, text_hash, to_ar
 from .components import components
 
 CENTRES = 4
-MEMBERS, OTHERS = 512, 4096       # block sizes of the comparison inside buckets
+MEMBERS, OTHERS = 512, 4096       # block sizes of the comparison inside buckets, in documents of ordinary length
+ORDINARY = 4096                   # bytes of such a document; a longer one counts as several
 
 
 @dataclass(frozen=True)
@@ -156,34 +158,73 @@ def _linked(rule: Rule):
     return lambda batches: _batched(rows(batches), schema)
 
 
-def _likely(rule: Rule, floor: float):
-    """Pairs of different components whose sketches agree enough, from rows ordered by block."""
+def _hidden(rule: Rule, floor: float):
+    """Verified links between components, from rows ordered by block; no more than join what a block holds."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     least = int(rule.minima * (floor + (1 - floor) / 256))
 
+    def linked(x: np.ndarray, ys: list) -> np.ndarray:
+        """Which of the sets ys are similar enough to the set x."""
+        sizes = np.array([len(y) for y in ys])
+        flat = np.concatenate(ys)
+        found = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        both = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return 100 * both >= rule.percent * (len(x) + sizes - both)
+
     def run(batches):
-        rows = rows_in(batches, "band", "block", "side", "other", "c", "component", "sketch")
-        for _, group in groupby(rows, key=lambda r: r[:2] + (r[3],)):
+        known = WordHashes()
+        rows = rows_in(batches, "band", "block", "other", "side", "c", "component", "sketch", "bands", "text")
+        for (band, _, _), group in groupby(rows, key=lambda r: r[:3]):
             members, others = [], []
             for r in group:
-                (members if r[2] == 0 else others).append(r)
+                (members if r[3] == MEMBER else others).append(r)
             if not members or not others:
                 continue
             table = np.frombuffer(b"".join(r[6] for r in others), np.uint8).reshape(len(others), -1)
+            bands = np.array([r[7] for r in others], np.int64)
             ids, comps = np.array([r[4] for r in others]), np.array([r[5] for r in others])
-            a, b = [], []
+            rare = np.array([r[3] == RARE for r in others])
+            few = len(others) <= CENTRES + 1  # few are all verified
+            roots, sets, a, b = {}, {}, [], []
+
+            def root(c):
+                while c in roots:
+                    c = roots[c]
+                return c
+
             for r in members:
-                agree = (table == np.frombuffer(r[6], np.uint8)).sum(1)
-                near = agree >= (least if len(others) > CENTRES + 1 else 0)  # few are all verified
-                for j in np.flatnonzero(near & (comps != r[5])):
-                    a.append(min(r[4], int(ids[j])))
-                    b.append(max(r[4], int(ids[j])))
+                near = comps != r[5]
+                near &= ~rare | (ids > r[4])  # two rare documents meet twice
+                if not few:
+                    near &= (table == np.frombuffer(r[6], np.uint8)).sum(1) >= least
+                at = np.flatnonzero(near)
+                if len(at) and not few:
+                    before = r[7].index(band)
+                    at = at[~(bands[at, :before] == np.array(r[7][:before], np.int64)).any(1)]
+                own = None
+                for k in range(0, len(at), 64):
+                    mine = root(r[5])
+                    part = [j for j in at[k:k + 64].tolist() if root(int(comps[j])) != mine]
+                    for j in part:
+                        if j not in sets:
+                            sets[j] = shingles(others[j][8], rule.words, known)
+                    if part:
+                        own = shingles(r[8], rule.words, known) if own is None else own
+                        for j in np.array(part)[linked(own, [sets[j] for j in part])].tolist():
+                            mine, its = root(r[5]), root(int(comps[j]))
+                            if mine != its:
+                                roots[max(mine, its)] = min(mine, its)
+                                a.append(min(r[4], int(ids[j])))
+                                b.append(max(r[4], int(ids[j])))
             if a:
                 yield to_arrow(schema, [a, b])
 
     return run
 
 
+MEMBER, COMMON, RARE = 0, 1, 2  # sides of a block: rows of no common component, and all rows of the two kinds
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """d, h, n_shingles, component_id of every distinct (id, text).
 
@@ -199,7 +240,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     first = least.select("c", F.col("first.d").alias("d"), F.col("first.h").alias("h"))
     reps = stage(rows.join(first, ["d", "h"]).dropDuplicates(["d", "h"]).select("c", "text")
                  .mapInArrow(_sets(rule), "c bigint, sketch binary, bands array<bigint>, text string"), "sets")
-    buckets = reps.select("c", F.explode("bands").alias("band"))
+    weight = F.ceil((F.octet_length("text") + 1) / ORDINARY).alias("weight")
+    buckets = reps.select("c", weight, F.explode("bands").alias("band"))
     several = buckets.groupBy("band").agg(
         F.count(F.lit(1)).alias("size"), *(F.min_by("c", F.xxhash64("c", F.lit(i))).alias(f"z{i}") for i in range(CENTRES))
     ).where("size > 1").select("band", "size", F.array_distinct(F.array(*(f"z{i}" for i in range(CENTRES)))).alias("centres"))
@@ -217,24 +259,24 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     # the minima of several hashes may be one document, also in a small bucket
     rest = (buckets.where(F.col("size") > F.size("centres") + 1).where(~F.array_contains("centres", F.col("c")))
             .join(found.select(F.col("node").alias("c"), "component"), "c", "left")
-            .select("band", "c", F.coalesce("component", "c").alias("component")))
-    sizes = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+            .select("band", "c", "weight", F.coalesce("component", "c").alias("component")))
+    sizes = rest.groupBy("band", "component").agg(F.sum("weight").alias("k"))
     mixed = stage(sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("total"),
                                             F.max_by("component", F.struct("k", "component")).alias("common"), F.max("k").alias("most"))
                   .where("comps > 1").select("band", "common", (F.col("total") - F.col("most")).alias("rare"), "total"), "mixed")
     if mixed.limit(1).count():
         slot = lambda n, size: F.pmod(F.xxhash64("c", F.lit(3)), F.ceil(n / size).cast("bigint")).cast("int")
-        rows = rest.join(mixed, "band").join(reps.select("c", "sketch"), "c")
+        rows = rest.join(mixed, "band").join(reps.select("c", "sketch", "bands", "text"), "c")
         blocks, spans = F.ceil(F.col("rare") / MEMBERS).cast("int"), F.ceil(F.col("total") / OTHERS).cast("int")
-        own = rows.where("component != common").select(
-            "band", slot(F.col("rare"), MEMBERS).alias("block"), F.lit(0).alias("side"),
-            F.explode(F.sequence(F.lit(0), spans - 1)).alias("other"), "c", "component", "sketch")
-        all_rows = rows.select(
-            "band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("side"),
-            slot(F.col("total"), OTHERS).alias("other"), "c", "component", "sketch")
-        likely = (own.unionByName(all_rows).repartition("band", "block", "other")
-                  .sortWithinPartitions("band", "block", "other", "side").mapInArrow(_likely(rule, rule.percent / 100 - 0.13), "a bigint, b bigint"))
-        more = verified(likely.distinct().join(pairs, ["a", "b"], "left_anti"), "more-links")
+        is_rare, whole = F.col("component") != F.col("common"), ("c", "component", "sketch", "bands", "text")
+        # one pass over the rows: as a member, for every span of others, and as one of the others, for every block of members
+        as_member = F.when(is_rare, F.transform(F.sequence(F.lit(0), spans - 1), lambda i: F.struct(
+            slot(F.col("rare"), MEMBERS).alias("block"), i.alias("other"), F.lit(MEMBER).alias("side")))).otherwise(F.array())
+        as_other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(
+            i.alias("block"), slot(F.col("total"), OTHERS).alias("other"), F.when(is_rare, RARE).otherwise(COMMON).alias("side")))
+        placed = rows.select("band", F.explode(F.concat(as_member, as_other)).alias("place"), *whole).select("band", "place.*", *whole)
+        more = stage(placed.repartition("band", "block", "other").sortWithinPartitions("band", "block", "other", "side")
+                     .mapInArrow(_hidden(rule, rule.percent / 100 - 0.13), "a bigint, b bigint"), "more-links")
         found = stage(components(links.unionByName(more)), "components")
     root = found.toDF("c", "root")
     whole = members.withColumn("c", F.when(F.col("n") > 0, cls)).join(root, "c", "left")

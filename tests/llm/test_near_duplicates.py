@@ -90,6 +90,32 @@ def test_few_centres_leave_links_to_blocks(spark, rows, monkeypatch):
     assert sorted((r.d, r.n_shingles, r.component_id) for r in got) == sorted((d, *v) for (d, _), v in want.items())
 
 
+def test_only_links_leave_a_block(spark, monkeypatch):
+    """A large group of texts that all share most shingles, few of them enough: likely pairs by the square, few links."""
+    rng = random.Random(4)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for d in range(300):
+        w = list(base)
+        for k in range(0, 200, 20):  # two of them have about 75 of 100 shingles in common
+            if rng.random() < 0.5:
+                w[k + 5] = f"d{d}k{k}"
+        rows.append((d, " ".join(w)))
+    rows += [(d + 1000, rows[d][1] + " more") for d in range(0, 300, 3)]
+    want = brute(rows, 3, 85)
+    monkeypatch.setattr(nd, "CENTRES", 1)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), nd.Rule(3, 85, 40, 6)).collect()
+    assert sorted((r.d, r.n_shingles, r.component_id) for r in got) == sorted((d, *v) for (d, _), v in want.items())
+    # one bucket of all of them, as members and as others
+    rule = nd.Rule(3, 85, 1, 1)
+    texts = pa.schema([("c", pa.int64()), ("text", pa.string())])
+    sets = [r for batch in nd._sets(rule)([to_arrow(texts, list(zip(*rows)))]) for r in batch.to_pylist()]
+    block = [dict(r, band=7, bands=[7], block=0, other=0, side=side, component=r["c"]) for side in (nd.MEMBER, nd.RARE) for r in sets]
+    found = [r for batch in nd._hidden(rule, 0.4)(iter([pa.RecordBatch.from_pylist(block)])) for r in batch.to_pylist()]
+    assert len(found) == len(rows) - len({c for _, c in want.values()})  # 44,850 pairs are likely
+    joined = components(spark.createDataFrame(found, "a bigint, b bigint")).collect()
+    assert {d: c for d, c in joined if d != c}.items() == {d: c for (d, _), (_, c) in want.items() if d != c}.items()
+
+
 def test_small_buckets_hide_no_pair(spark):
     """Families of 3 to 5, one pair above the threshold, all others below it, and one band to meet in."""
     rule = nd.Rule(words=3, percent=85, bands=1, rows=1)
