@@ -12,16 +12,21 @@ on all lanes at once; each lane has its own range coder and its own bytes.
 Blocks are rows of a table that Spark writes and reads (no local files), in ascending document
 order: documents are range-partitioned, every task codes its range, and only one total per
 partition passes through the driver to turn local positions into positions of the whole corpus.
+
+The tokenizers library makes the ids. Texts are cut, as arrays of bytes, where its splitting pattern
+surely cuts; it gets each distinct piece of a group of texts once.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,40 +50,50 @@ class Model:
 
     def __init__(self, lanes: int, vocab: int):
         self.prev1, self.prev2 = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
-        self.guess1, self.sure1 = np.zeros(vocab + 1, np.int32), np.zeros(vocab + 1, np.int8)
-        self.guess2, self.sure2 = np.zeros(1 << TWO_BITS, np.int32), np.zeros(1 << TWO_BITS, np.int8)
+        # guess and confidence (two bits) of every context
+        self.cell1, self.cell2 = np.zeros(vocab + 1, np.int64), np.zeros(1 << TWO_BITS, np.int64)
         self.votes = np.tile(np.array([1, 1, 6], np.int64), (16, 1))
-        self.counts, self.steps = np.ones(vocab, np.int64), 0
+        self.counts, self.cum, self.steps = np.ones(vocab, np.int64), np.zeros(vocab + 1, np.uint64), 0
         self.table()
 
     def table(self):
-        if self.counts.sum() > ORDER0_LIMIT:
+        np.cumsum(self.counts, out=self.cum[1:].view(np.int64))
+        if self.cum[-1] > ORDER0_LIMIT:
             self.counts = (self.counts >> 1) + 1
-        self.cum = np.concatenate(([0], np.cumsum(self.counts))).astype(np.uint64)
+            np.cumsum(self.counts, out=self.cum[1:].view(np.int64))
         self.sum = self.cum[-1]
 
+    def find(self, counts: np.ndarray) -> np.ndarray:
+        """Ids whose share of the counts holds the given ones."""
+        return np.minimum(np.searchsorted(self.cum, counts, "right") - 1, len(self.counts) - 1)
+
     def predict(self):
         """Guesses and interval widths of every lane: order 2, order 1, order 0."""
         self.at2 = ((self.prev2 * 0x9E3779B1 + self.prev1 * 0x85EBCA77) >> 7) & ((1 << TWO_BITS) - 1)
-        self.g2, self.g1 = self.guess2[self.at2], self.guess1[self.prev1]
-        self.s2, self.s1 = self.sure2[self.at2], self.sure1[self.prev1]
+        self.c2, self.c1 = self.cell2.take(self.at2), self.cell1.take(self.prev1)
+        self.g2, self.g1 = self.c2 >> 2, self.c1 >> 2
+        self.s2, self.s1 = self.c2 & 3, self.c1 & 3
         self.state = self.s2 * 4 + self.s1
-        widths = self.votes * (TOTAL - LEAST) // self.votes.sum(1, keepdims=True)
-        w2, w1 = widths[self.state, 0], widths[self.state, 1]
-        w1 = np.where(self.g1 == self.g2, 0, w1)
-        return w2.astype(np.uint64), w1.astype(np.uint64)
-
-    def update(self, ids: np.ndarray, n: int):
-        """n: lanes that carry ids of the block in this step; the rest is padding."""
-        hit2, hit1 = ids == self.g2, ids == self.g1
-        kind = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.votes += np.bincount(self.state[:n] * 3 + kind[:n], minlength=48).reshape(16, 3)
+        widths = (self.votes * (TOTAL - LEAST) // self.votes.sum(1, keepdims=True)).astype(np.uint64)
+        w2, w1 = widths[:, 0].take(self.state), widths[:, 1].take(self.state)
+        w1 *= self.g1 != self.g2
+        return w2, w1
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray):
+        """hit2, hit1: lanes whose order-2 and order-1 guess is the id."""
+        # 0: order 2, 1: order 1, 2: order 0
+        kind = self.state * 3 + 2
+        kind -= hit1
+        kind -= hit2
+        kind -= hit2 & ~hit1
+        self.votes += np.bincount(kind, minlength=48).reshape(16, 3)
         if self.votes.max() > 1 << 20:
             self.votes = (self.votes >> 1) + 1
-        for guess, sure, at, old, conf, hit in ((self.guess2, self.sure2, self.at2, self.g2, self.s2, hit2),
-                                                (self.guess1, self.sure1, self.prev1, self.g1, self.s1, hit1)):
-            guess[at] = np.where(hit | (conf > 0), old, ids)
-            sure[at] = np.where(hit, np.minimum(conf + 1, 3), np.maximum(conf - 1, 0))
+        fresh = ids << 2
+        for cell, at, old, conf, hit in ((self.cell2, self.at2, self.c2, self.s2, hit2),
+                                         (self.cell1, self.prev1, self.c1, self.s1, hit1)):
+            # one surer up to 3, one less sure down to 0, and then another guess
+            cell[at] = np.where(hit, old + (conf < 3), np.where(conf > 0, old - 1, fresh))
         np.add.at(self.counts, ids, GAIN)
         self.prev2, self.prev1 = self.prev1, ids
         self.steps += 1
@@ -102,8 +117,8 @@ class Coder:
     def ready(self):
         """Lanes whose top 16 bits are settled, after cutting ranges that are too short to use."""
         settled = (self.low ^ (self.low + self.range)) < self.TOP
-        short = ~settled & (self.range < self.BOTTOM)
-        if short.any():
+        short = self.range < self.BOTTOM
+        if short.any() and (short := short & ~settled).any():
             self.range[short] = (np.uint64(0) - self.low[short]) & (self.BOTTOM - np.uint64(1))
             settled |= short
         return np.flatnonzero(settled)
@@ -135,20 +150,19 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, bytes]:
         w2, w1 = model.predict()
         base = w2 + w1
         rest = np.uint64(TOTAL) - base
-        lo, hi = model.cum[now] * rest // model.sum, model.cum[now + 1] * rest // model.sum
-        is2 = now == model.g2
-        is1 = (now == model.g1) & ~is2
+        lo, hi = model.cum.take(now) * rest // model.sum, model.cum.take(now + 1) * rest // model.sum
+        hit2, hit1 = now == model.g2, now == model.g1
         # a guess with no width of its own is coded by order 0
-        is2, is1 = is2 & (w2 > 0), is1 & (w1 > 0)
-        coder.narrow(np.where(is2, 0, np.where(is1, w2, base + lo)).astype(np.uint64),
-                     np.where(is2, w2, np.where(is1, w1, hi - lo)).astype(np.uint64))
+        is2 = hit2 & (w2 > 0)
+        is1 = hit1 & (w1 > 0)
+        coder.narrow(np.where(is2, 0, np.where(is1, w2, base + lo)), np.where(is2, w2, np.where(is1, w1, hi - lo)))
         while len(at := coder.ready()):
             if used.max() + 8 > words.shape[1]:
                 words = np.concatenate([words, np.zeros_like(words)], 1)
             words[at, used[at]] = (coder.low[at] >> np.uint64(48)).astype(np.uint16)
             used[at] += 1
             coder.shift(at)
-        model.update(now, lanes)
+        model.update(now, hit2, hit1)
     tail = coder.low + (coder.range >> one)
     for k in range(4):
         words[np.arange(lanes), used] = ((tail >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -176,19 +190,20 @@ def decode_ids(payload: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
         rest = np.uint64(TOTAL) - base
         unit = coder.range >> np.uint64(30)
         target = np.minimum((code - coder.low) // unit, np.uint64(TOTAL - 1))
-        is2, is1 = target < w2, (target >= w2) & (target < base)
-        inside = np.where(target >= base, target - base, np.uint64(0))
-        found = np.searchsorted(model.cum, ((inside + one) * model.sum - one) // rest, "right") - 1
-        found = np.minimum(found, vocab - 1)
-        lo, hi = model.cum[found] * rest // model.sum, model.cum[found + 1] * rest // model.sum
-        now = np.where(is2, model.g2, np.where(is1, model.g1, found)).astype(np.int64)
-        coder.narrow(np.where(is2, 0, np.where(is1, w2, base + lo)).astype(np.uint64),
-                     np.where(is2, w2, np.where(is1, w1, hi - lo)).astype(np.uint64))
+        is2, by0 = target < w2, np.flatnonzero(target >= base)
+        now = np.where(is2, model.g2, model.g1)
+        start, width = np.where(is2, 0, w2), np.where(is2, w2, w1)
+        if len(by0):
+            before, rest = base[by0], rest[by0]
+            found = model.find(((target[by0] - before + one) * model.sum - one) // rest)
+            lo, hi = model.cum.take(found) * rest // model.sum, model.cum.take(found + 1) * rest // model.sum
+            now[by0], start[by0], width[by0] = found, before + lo, hi - lo
+        coder.narrow(start, width)
         while len(ready := coder.ready()):
             code[ready] = (code[ready] << np.uint64(16)) | data[np.minimum(at[ready], len(data) - 1)]
             at[ready] += 1
             coder.shift(ready)
-        model.update(now, lanes)
+        model.update(now, now == model.g2, now == model.g1)
         out.append(now)
     return np.array(out, np.int64).reshape(steps, lanes).T.reshape(-1)[:n]
 
@@ -209,56 +224,160 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return decode_ids(body[4 * docs:], n, lanes, vocab), lengths, before
 
 
-# Pieces between which the byte-level splitting pattern always cuts: white space, then the rest.
-_PIECE = re.compile(r"\s*\S+|\s+")
-_UNCERTAIN = re.compile("[\x1c-\x1f]")
-CACHE = 200_000
+# Classes of bytes; the rest (other scripts, control characters) has class 0 and is cut from nothing but white space.
+SPACE, BLANK, LETTER, DIGIT, SIGN, APOSTROPHE = 1, 2, 3, 4, 5, 6
+_CLASSES = np.zeros(256, np.uint8)
+_CLASSES[33:127] = SIGN
+for _class, _bytes in ((SPACE, b" "), (BLANK, b"\t\n\v\f\r"), (DIGIT, b"0123456789"), (APOSTROPHE, b"'"),
+                       (LETTER, bytes(range(65, 91)) + bytes(range(97, 123)))):
+    _CLASSES[list(_bytes)] = _class
+_CLASSES[0xC3:0xC9] = LETTER  # first bytes of U+00C0 to U+023F, all letters but the two signs
+_SIGNS = (0xC397, 0xC3B7)
+# Last bytes of what is or once was white space beyond ASCII.
+_WIDE_SPACE2 = np.array([0xC285, 0xC2A0], np.uint32)
+_WIDE_SPACE3 = np.array([0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808C), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080,
+                         0xEFBBBF], np.uint32)
+# What the pattern takes as one word; the bytes of its characters all have class LETTER or SPACE.
+_WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f]+$"
+SLICE_BYTES = 1 << 20   # of text that is cut at a time
+GROUP_BYTES = 1 << 24   # of text whose distinct pieces are encoded together
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Positions in UTF-8 bytes between which the byte-level splitting pattern surely cuts, whatever stands around.
+
+    starts: first bytes of the texts. Cut are words, numbers and signs from each other (nothing after an
+    apostrophe, which may begin a contraction), white space from what stands before it, and the last
+    character of white space, which alone may join what follows, from the rest.
+    """
+    kind = _CLASSES[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    kind[lead + 1] = LETTER
+    signs = lead[(data[lead] == 0xC3) & np.isin(data[lead + 1], [x & 0xFF for x in _SIGNS])]
+    kind[signs] = kind[signs + 1] = 0
+    before, after = kind[:-1], kind[1:]
+    blank = (kind == SPACE) | (kind == BLANK)
+    plain = kind >= LETTER
+    first = np.zeros(len(data), bool)
+    first[starts] = True
+    cut = first.copy()
+    cut[1:] |= (before != after) & plain[:-1] & plain[1:] & (before != APOSTROPHE) & ((before != SIGN) | (after != APOSTROPHE))
+    cut[1:] |= plain[:-1] & blank[1:]
+    wide = np.flatnonzero(blank[1:] & (data[:-1] >= 0x80) & ~plain[:-1]) + 1
+    if len(wide):
+        two = data[wide - 2].astype(np.uint32) << 8 | data[wide - 1]
+        three = data[np.maximum(wide - 3, 0)].astype(np.uint32) << 16 | two
+        cut[wide[~(np.isin(two, _WIDE_SPACE2) | np.isin(three, _WIDE_SPACE3))]] = True
+    last = blank[:-1] & plain[1:] & ~first[1:]
+    cut[:-1] |= last
+    cut[1:] |= last & (before == BLANK)
+    return np.flatnonzero(cut)
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library; ids of recurring pieces are looked up."""
+    """Ids of texts by the tokenizers library; each distinct piece of a group of texts is encoded once."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
+        # UTF-16 of the library's character of every byte that words hold
+        shown, self.shown = ByteLevel(add_prefix_space=False, use_regex=False), np.zeros(256, np.uint16)
+        for c in map(chr, [*range(128), *range(0xC0, 0x240)]):
+            self.shown[list(c.encode())] = [ord(x) for x in shown.pre_tokenize_str(c)[0][0]]
+
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all pieces, and where those of each piece begin and how many they are.
+
+        Single words need no splitting: they go to the library's model as they are.
+        """
+        pieces = pieces.cast(pa.large_string())
+        word = pc.match_substring_regex(pieces, _WORD)
+        words, others = pieces.filter(word), pieces.filter(pc.invert(word)).to_pylist()
+        ids, lengths, tokenize = array("I"), [], self.tokenizer.model.tokenize
+        if len(words):
+            _, ends, data = words.buffers()
+            ends = np.frombuffer(ends, np.int64)[words.offset:words.offset + len(words) + 1]
+            shown = self.shown[np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]].astype("<u2").tobytes().decode("utf-16-le")
+            ends = (ends - ends[0]).tolist()
+            for a, b in zip(ends[:-1], ends[1:]):
+                one = [t.id for t in tokenize(shown[a:b])]
+                ids.extend(one)
+                lengths.append(len(one))
+        for at in range(0, len(others), 1024):
+            for one in self._raw(others[at:at + 1024]):
+                ids.extend(one)
+                lengths.append(len(one))
+        word = word.to_numpy(zero_copy_only=False)
+        order, lengths = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)]), np.array(lengths, np.int64)
+        starts, counts = np.zeros((2, len(pieces)), np.int64)
+        starts[order], counts[order] = np.cumsum(lengths) - lengths, lengths
+        return np.array(ids, np.uint32), starts, counts
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """ids of each text of an Arrow column without nulls."""
+        texts = texts.cast(pa.large_string())
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if special.any():
+            whole = iter(self._raw(texts.filter(pa.array(special)).to_pylist()))
+            texts = pc.if_else(pa.array(special), "", texts)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        chunks, counts, a = [], [], 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
+            part, own = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+            at = cuts(part, own[:-1][own[:-1] < own[1:]])
+            counts.append(np.searchsorted(at, own))
+            at = np.append(at, len(part)).astype(np.int64)
+            chunks.append(pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(part)]))
+            a = b
+        coded = pa.chunked_array(chunks, pa.large_binary()).dictionary_encode().chunks
+        # all chunks share one dictionary; there is none without a piece
+        ids, starts, lengths = self._distinct(coded[0].dictionary if coded else pa.array([], pa.large_binary()))
+        pieces, at, text = np.concatenate([c.indices.to_numpy() for c in coded] or [np.zeros(0, np.int32)]), 0, 0
+        for count in counts:
+            piece = pieces[at:at + count[-1]]
+            n = lengths[piece]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            flat = ids[np.repeat(starts[piece] - ends[:-1], n) + np.arange(ends[-1])]
+            ends, at = ends[count].tolist(), at + count[-1]
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                yield np.array(next(whole), np.uint32) if special[text] else flat[lo:hi]
+                text += 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian 32-bit numbers."""
-        whole = [i for i, t in enumerate(texts) if _UNCERTAIN.search(t) or any(s in t for s in self.special)]
-        pieces = [_PIECE.findall(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        if missing := list({p for row in pieces for p in row if p not in known}):
-            known.update(zip(missing, self._raw(missing)))
-        out = [b"".join(map(known.__getitem__, row)) for row in pieces]
-        for i in whole:
-            out[i] = self._raw([texts[i]])[0]
-        return out
-
-
-def _groups(rows, size: int = 1 << 18):
-    """Lists of rows with about `size` characters of text."""
+        return [x.astype("<u4").tobytes() for x in self.encode_column(pa.array(texts, pa.large_string()))]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables with about GROUP_BYTES of text, or a single larger row."""
     group, n = [], 0
-    for row in rows:
-        group.append(row)
-        n += len(row[1])
-        if n >= size:
-            yield group
-            group, n = [], 0
+    for batch in batches:
+        at, ends = 0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES - n, "right")))
+            group.append(batch.slice(at, to - at))
+            n, at = n + int(ends[to - 1] - before), to
+            if n >= GROUP_BYTES or at < batch.num_rows:
+                yield pa.Table.from_batches(group)
+                group, n = [], 0
     if group:
-        yield group
+        yield pa.Table.from_batches(group)
 
 
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()),
@@ -274,26 +393,24 @@ def write_blocks(docs: DataFrame, path: str | None, tokenizer: str, end_id: int
     """
 
     def code(batches):
-        tokens, part = Tokens(tokenizer), TaskContext.get().partitionId()
+        tokens, part, end = Tokens(tokenizer), TaskContext.get().partitionId(), np.array([end_id], np.uint32)
         ids, names, lengths, size, block, before = [], [], [], 0, 0, 0
 
         def close():
             nonlocal ids, names, lengths, size, block, before
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-            data = pack_block(flat, lengths, before, tokens.vocab)
+            data = pack_block(np.concatenate(ids).astype(np.int64), lengths, before, tokens.vocab)
             row = to_arrow(BLOCKS, [[part], [block], [size], [names], [data]])
             before, block = before + size, block + 1
             ids, names, lengths, size = [], [], [], 0
             return row
 
-        end = np.array([end_id], "<u4").tobytes()
-        for group in _groups(rows_in(batches, "doc_id", "text")):
-            for (doc_id, _), one in zip(group, tokens.encode([text for _, text in group])):
-                one += end
-                ids.append(one)
+        for group in _groups(batches):
+            texts = group.column("text").combine_chunks()
+            for doc_id, one in zip(group.column("doc_id").to_pylist(), tokens.encode_column(texts)):
+                ids += [one, end]
                 names.append(doc_id)
-                lengths.append(len(one) // 4)
-                size += len(one) // 4
+                lengths.append(len(one) + 1)
+                size += len(one) + 1
                 if size >= block_ids:
                     yield close()
         if size:

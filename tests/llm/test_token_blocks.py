@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fathomgrid.llm.token_blocks import Tokens, decode_ids, encode_ids, pack_block, read_blocks, unpack_block, write_blocks
+from fathomgrid.llm.token_blocks import Tokens, _groups, decode_ids, encode_ids, pack_block, read_blocks, unpack_block, write_blocks
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -39,6 +40,62 @@ def test_pieces_equal_whole_text():
         assert np.frombuffer(pieces.encode([text, "a"])[0], "<u4").tolist() == want
 
 
+class Counting:
+    """A tokenizer that counts the pieces the library gets."""
+
+    def __init__(self, inner, seen):
+        self.inner, self.seen = inner, seen
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    @property
+    def model(self):
+        return Counting(self.inner.model, self.seen)
+
+    def tokenize(self, piece):
+        self.seen.append(piece)
+        return self.inner.tokenize(piece)
+
+    def encode_batch_fast(self, pieces, **options):
+        self.seen.extend(pieces)
+        return self.inner.encode_batch_fast(pieces, **options)
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it():
+    whole, pieces, seen = Tokenizer.from_file(PATH), Tokens(PATH), []
+    pieces.tokenizer = Counting(pieces.tokenizer, seen)
+    words = [f"{a}{b}ré" for a in "bcdfg" for b in "aeiou"]
+    texts = [f"so {w}{sign} {w}\n" for w in words for sign in [",", ".", "!", "?", "'s", ")", " 7", "$$$", "\t"]]
+    got = pieces.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(seen) <= len(words) + 15
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 60, 1 << 20])
+def test_pieces_of_odd_texts(monkeypatch, slice_bytes):
+    monkeypatch.setattr("fathomgrid.llm.token_blocks.SLICE_BYTES", slice_bytes)
+    parts = ["a", "bc", " the", "É", "ß", "×", "÷", "ɏ", "ɐ", "日", "Ж", "я", "…", "—", "«", "\xa0", "\u2009", "\u3000", "\u200b",
+             "\ufeff", "\u180e", "\u2028", "\x85", "\x1c", "\x00", "\x7f", "\x0b", "\r", "\n", "\t", " ", "  ", "'", "'s", "'ve", "’", "5",
+             "٣", "²", ".", "!!", "_", "-", "<|", "🙂", "\u0301", "\x80", "<|endoftext|>"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(parts[:-1], n)) for n in rng.integers(0, 14, 3000)] + [""] + ["".join(rng.choice(parts, 9)) for _ in range(300)]
+    want = Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in Tokens(PATH).encode(texts)] == [x.ids for x in want]
+    assert Tokens(PATH).encode([""]) == [b""] and Tokens(PATH).encode([]) == []
+
+
+def test_groups_hold_all_rows(monkeypatch):
+    monkeypatch.setattr("fathomgrid.llm.token_blocks.GROUP_BYTES", 10)
+    texts = ["", "abc", "é" * 4, "x" * 25, "", "ab", "y" * 10, "z", "", "w" * 9]
+    batches = [pa.record_batch({"doc_id": list(range(a, b)), "text": texts[a:b]}) for a, b in [(0, 4), (4, 4), (4, 9), (9, 10)]]
+    batches[1] = batches[0].slice(0, 0)
+    groups = list(_groups(iter(batches)))
+    assert [x for g in groups for x in zip(g["doc_id"].to_pylist(), g["text"].to_pylist())] == list(enumerate(texts))
+    assert all(g.num_rows == 1 or sum(len(x.encode()) for x in g["text"].to_pylist()[:-1]) <= 10 for g in groups)
+    assert len(groups) > 3
+
+
 def test_blocks_of_a_table(spark):
     rows = [(3, "one two", "x"), (None, "no id", "y"), (1, None, "z"), (2, "", "a"), (3, "one two", "x"),
             (3, "other", "b"), (9, "long " * 5000, None)]
