@@ -51,7 +51,7 @@ class Model:
     def __init__(self, lanes: int, vocab: int):
         self.prev1, self.prev2 = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
         # guess and confidence (two bits) of every context
-        self.cell1, self.cell2 = np.zeros(vocab + 1, np.int64), np.zeros(1 << TWO_BITS, np.int64)
+        self.cell1, self.cell2 = np.zeros(vocab + 1, np.int32), np.zeros(1 << TWO_BITS, np.int32)
         self.votes = np.tile(np.array([1, 1, 6], np.int64), (16, 1))
         self.counts, self.cum, self.steps = np.ones(vocab, np.int64), np.zeros(vocab + 1, np.uint64), 0
         self.table()
@@ -65,7 +65,12 @@ class Model:
 
     def find(self, counts: np.ndarray) -> np.ndarray:
         """Ids whose share of the counts holds the given ones."""
-        return np.minimum(np.searchsorted(self.cum, counts, "right") - 1, len(self.counts) - 1)
+        # sorted, so that one search goes over what the last one left in the cache
+        bits = np.uint64(len(counts).bit_length())
+        keys = np.sort(counts << bits | np.arange(len(counts), dtype=np.uint64))
+        ids = np.empty(len(counts), np.int64)
+        ids[(keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = np.searchsorted(self.cum, keys >> bits, "right") - 1
+        return np.minimum(ids, len(self.counts) - 1)
 
     def predict(self):
         """Guesses and interval widths of every lane: order 2, order 1, order 0."""
@@ -89,7 +94,7 @@ class Model:
         self.votes += np.bincount(kind, minlength=48).reshape(16, 3)
         if self.votes.max() > 1 << 20:
             self.votes = (self.votes >> 1) + 1
-        fresh = ids << 2
+        fresh = (ids << 2).astype(np.int32)
         for cell, at, old, conf, hit in ((self.cell2, self.at2, self.c2, self.s2, hit2),
                                          (self.cell1, self.prev1, self.c1, self.s1, hit1)):
             # one surer up to 3, one less sure down to 0, and then another guess
@@ -124,20 +129,28 @@ class Coder:
         return np.flatnonzero(settled)
 
     def shift(self, at):
-        self.low[at] <<= np.uint64(16)
-        self.range[at] <<= np.uint64(16)
+        self.low[at] = self.low.take(at) << np.uint64(16)
+        self.range[at] = self.range.take(at) << np.uint64(16)
 
 
 def lanes_for(n: int) -> int:
     return int(min(MAX_LANES, max(1, 1 << max(0, (n // 128).bit_length() - 1))))
 
 
+def _turned(grid: np.ndarray) -> np.ndarray:
+    """The transposed array, copied in strips that fit the cache."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for at in range(0, len(grid), 64):
+        out[:, at:at + 64] = grid[at:at + 64].T
+    return out
+
+
 def _in_lanes(ids: np.ndarray, lanes: int) -> np.ndarray:
     """Lane-major ids as a (steps, lanes) array, padded with 0."""
     steps = -(-len(ids) // lanes)
     out = np.zeros(steps * lanes, np.int64)
     out[:len(ids)] = ids
-    return out.reshape(lanes, steps).T.copy()
+    return _turned(out.reshape(lanes, steps))
 
 
 def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, bytes]:
@@ -159,8 +172,9 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, bytes]:
         while len(at := coder.ready()):
             if used.max() + 8 > words.shape[1]:
                 words = np.concatenate([words, np.zeros_like(words)], 1)
-            words[at, used[at]] = (coder.low[at] >> np.uint64(48)).astype(np.uint16)
-            used[at] += 1
+            next_at = used.take(at)
+            words.reshape(-1)[at * words.shape[1] + next_at] = (coder.low.take(at) >> np.uint64(48)).astype(np.uint16)
+            used[at] = next_at + 1
             coder.shift(at)
         model.update(now, hit2, hit1)
     tail = coder.low + (coder.range >> one)
@@ -191,7 +205,7 @@ def decode_ids(payload: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
         unit = coder.range >> np.uint64(30)
         target = np.minimum((code - coder.low) // unit, np.uint64(TOTAL - 1))
         is2, by0 = target < w2, np.flatnonzero(target >= base)
-        now = np.where(is2, model.g2, model.g1)
+        now = np.where(is2, model.g2, model.g1).astype(np.int64)
         start, width = np.where(is2, 0, w2), np.where(is2, w2, w1)
         if len(by0):
             before, rest = base[by0], rest[by0]
@@ -200,12 +214,13 @@ def decode_ids(payload: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
             now[by0], start[by0], width[by0] = found, before + lo, hi - lo
         coder.narrow(start, width)
         while len(ready := coder.ready()):
-            code[ready] = (code[ready] << np.uint64(16)) | data[np.minimum(at[ready], len(data) - 1)]
-            at[ready] += 1
+            next_at = at.take(ready)
+            code[ready] = (code.take(ready) << np.uint64(16)) | data.take(next_at, mode="clip")
+            at[ready] = next_at + 1
             coder.shift(ready)
         model.update(now, now == model.g2, now == model.g1)
         out.append(now)
-    return np.array(out, np.int64).reshape(steps, lanes).T.reshape(-1)[:n]
+    return _turned(np.array(out, np.int64).reshape(steps, lanes)).reshape(-1)[:n]
 
 
 def pack_block(ids: np.ndarray, lengths: list[int], before: int, vocab: int) -> bytes:
@@ -287,6 +302,9 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        splitter = self.tokenizer.pre_tokenizer
+        self.cut = (isinstance(splitter, ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
+                    and self.tokenizer.normalizer is None and self.tokenizer.truncation is None)
         # UTF-16 of the library's character of every byte that words hold
         shown, self.shown = ByteLevel(add_prefix_space=False, use_regex=False), np.zeros(256, np.uint16)
         for c in map(chr, [*range(128), *range(0xC0, 0x240)]):
@@ -324,13 +342,16 @@ class Tokens:
         return np.array(ids, np.uint32), starts, counts
 
     def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """ids of each text of an Arrow column without nulls."""
+        """ids of each text of an Arrow column without nulls.
+
+        Texts with a special token, and all texts if the tokenizer splits otherwise, are encoded whole.
+        """
         texts = texts.cast(pa.large_string())
-        special = np.zeros(len(texts), bool)
+        special = np.full(len(texts), not self.cut)
         for s in self.special:
             special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         if special.any():
-            whole = iter(self._raw(texts.filter(pa.array(special)).to_pylist()))
+            whole = (self._raw([t.as_py()])[0] for t in texts.filter(pa.array(special)))
             texts = pc.if_else(pa.array(special), "", texts)
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)

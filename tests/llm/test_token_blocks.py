@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from fathomgrid.llm.token_blocks import Tokens, _groups, decode_ids, encode_ids, pack_block, read_blocks, unpack_block, write_blocks
 
@@ -85,6 +85,16 @@ def test_pieces_of_odd_texts(monkeypatch, slice_bytes):
     assert Tokens(PATH).encode([""]) == [b""] and Tokens(PATH).encode([]) == []
 
 
+def test_other_splitting_is_left_to_the_library(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Punctuation(), pre_tokenizers.ByteLevel(add_prefix_space=True)])
+    other.save(str(tmp_path / "other.json"))
+    texts = ["a word, a  sign!", "", "\n x"]
+    assert Tokens(PATH).cut and not Tokens(str(tmp_path / "other.json")).cut
+    got = Tokens(str(tmp_path / "other.json")).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_groups_hold_all_rows(monkeypatch):
     monkeypatch.setattr("fathomgrid.llm.token_blocks.GROUP_BYTES", 10)
     texts = ["", "abc", "é" * 4, "x" * 25, "", "ab", "y" * 10, "z", "", "w" * 9]
