@@ -5,8 +5,9 @@ score an item has for itself, so that one threshold serves all. Items are ordere
 postings carry the largest weight of every block. Every training document is cut into overlapping
 passages of 64 words, each a query:
 
-* Largest weights per term and group of items, added over the words of all passages of a document at
-  once, bound every score; passages and groups that cannot reach the threshold stop here.
+* A part's commonest words, up to LIGHT of its score, are light and count as LIGHT. The largest weights of
+  the heavy ones per term and group of items, added over the words of all passages of many documents at
+  once, bound every score with it; passages and groups that cannot reach the threshold stop here.
 * Block-max WAND retrieves all items above the threshold for the rest.
 * A retrieved item is a leak if the passage's surroundings contain enough of the word triples of its
   question and of its answer. Without columns of their own, these are the two halves of its text.
@@ -14,6 +15,9 @@ passages of 64 words, each a query:
 An item of under four words has no passage to be told by: it is a leak where it is a whole line, or the
 whole text, of a document. In scripts without spaces every character is a word.
 
+Arrow kernels look up the words of many documents at once. Words are read one by one only where a piece
+between spaces may be other than one word, and in documents with a retrieved item.
+
 The index travels with the tasks. Items are indexed in blocks of bounded size, with the document frequencies,
 count and mean length of all items, so that scores do not depend on the blocks. All documents are
 read once per block, one block after another, so nothing that is sent grows with the benchmark. Documents are
@@ -24,30 +28,40 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.durable import durable
 
 from .common import documents, rows_in, small_table, stage, text_hash, to_arrow
+from .words import slices
 
 K1, B = 1.2, 0.75
 PART, STEP, PASSAGE = 48, 16, 4      # words of an item part and of a step, steps of a passage
 LEAST_WORDS = 4                      # an item with fewer must be a whole line
 THRESHOLD = 0.6                      # of an item's score for itself
+LIGHT = THRESHOLD / 2                # of an item's score, most of its commonest words
 OVERLAP = 0.5                        # of the triples of question and of answer
 GROUPS, POSTING_BLOCK = 128, 8       # fewer groups for a large vocabulary: the table has BOUNDS numbers at most
 BOUNDS = 1 << 22
 INDEX_BYTES = 2 << 20                # text of the items in one index
+TEXT_BYTES = 2 << 20                 # texts searched at once
+STEPS = 512                          # steps whose bounds are computed at once
 # Blocks of scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han).
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
+_SIGNS = string.punctuation.replace("_", "")
+# Beside digits, letters that Python's lower() leaves alone: without others, a piece is one word.
+_OTHER = "[^0-9_a-zß-öø-ÿα-ωа-я]"
 
 
 def words_of(text: str) -> list[str]:
@@ -71,6 +85,9 @@ def part_ends(n: int) -> list[tuple[int, int]]:
     return list(zip(ends, ends[1:]))
 
 
+HEAVY = pa.list_(pa.struct([("group", pa.int64()), ("weight", pa.float64())]))
+
+
 class Vocabulary(dict):
     def __missing__(self, word: str) -> int:
         return 0
@@ -110,15 +127,24 @@ class Index:
         weighted.sort(key=lambda x: (x[0], x[1][0], x[1][1]))
         self.items = [part for _, part, _ in weighted]
         self.vocabulary = Vocabulary((w, i + 1) for i, w in enumerate(sorted(df)))
+        self.words = pa.array(self.vocabulary, pa.string())
         n = len(parts)
         self.group = max(1, -(-n // max(8, min(GROUPS, BOUNDS // (len(df) + 1)))))
         self.most = np.zeros((len(df) + 1, max(1, -(-n // self.group))), np.float32)
         postings: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
+        heavy: list[dict[int, float]] = [{} for _ in range(len(df) + 1)]
         for d, (own, _, weight) in enumerate(weighted):
-            for w, x in weight.items():
-                t = self.vocabulary[w]
-                postings[t].append((d, x / own))
-                self.most[t, d // self.group] = max(self.most[t, d // self.group], x / own)
+            light, group = 0.0, d // self.group
+            for w in sorted(weight, key=lambda w: (-df[w], w)):
+                t, x = self.vocabulary[w], weight[w] / own
+                postings[t].append((d, x))
+                self.most[t, group] = max(self.most[t, group], x)
+                if light + x <= LIGHT:
+                    light += x
+                else:
+                    heavy[t][group] = max(heavy[t].get(group, 0.0), x)
+        self.is_heavy = np.array([bool(h) for h in heavy])
+        self.heavy = pa.array([[{"group": g, "weight": x} for g, x in h.items()] for h in heavy], HEAVY)
         self.postings = [([d for d, _ in p], [x for _, x in p],
                           [max(x for _, x in p[i:i + POSTING_BLOCK]) for i in range(0, len(p), POSTING_BLOCK)]) for p in postings]
 
@@ -176,43 +202,92 @@ class Index:
                     if c[0] < doc:
                         advance(c, doc)
 
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary numbers of all words of the texts, one text after another, and where each text ends."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        pieces = pc.ascii_trim(pc.list_flatten(split), _SIGNS)
+        number = pc.fill_null(pc.index_in(pieces, value_set=self.words.cast(pieces.type)), -1).to_numpy() + 1
+        n_words = (pc.binary_length(pieces).to_numpy() > 0).astype(np.int64)
+        unknown = np.flatnonzero(number == 0)
+        read = np.zeros(len(pieces), bool)
+        read[unknown] = pc.match_substring_regex(pieces.take(pa.array(unknown)), _OTHER).to_numpy(zero_copy_only=False)
+        words = [words_of(p) for p in pieces.filter(pa.array(read)).to_pylist()]
+        n_words[read] = [len(w) for w in words]
+        ids = np.repeat(number, n_words)
+        ids[np.repeat(read, n_words)] = [self.vocabulary[w] for ws in words for w in ws]
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        return ids, np.append(0, np.cumsum(n_words))[ends]
+
+    def passages(self, ids: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+        """Text, step and group of the passages that may reach the threshold, by the weights of heavy words."""
+        sizes = np.diff(ends, prepend=0)
+        steps = -(-sizes // STEP)
+        step_ends = np.cumsum(steps)
+        first_word, first_step = ends - sizes, step_ends - steps
+        heavy = np.flatnonzero(self.is_heavy[ids])
+        text = np.searchsorted(ends, heavy, side="right")
+        step = first_step[text] + (heavy - first_word[text]) // STEP
+        groups, total = self.most.shape[1], int(steps.sum())
+        for first in range(0, total, STEPS):
+            n = min(STEPS, total - first)
+            lo, hi = np.searchsorted(step, [first, first + n + PASSAGE - 1])
+            postings = self.heavy.take(pa.array(ids[heavy[lo:hi]]))
+            row = step[lo:hi][pc.list_parent_indices(postings).to_numpy()] - first
+            group, weight = (x.to_numpy() for x in pc.list_flatten(postings).flatten())
+            sums = np.bincount(row * groups + group, weight, (n + PASSAGE - 1) * groups).reshape(-1, groups)
+            # behind the end of a text stand words of the next one, which only raise the bound
+            bound = sum(sums[i:i + n] for i in range(PASSAGE))
+            row, group = np.nonzero(bound >= threshold - LIGHT - 1e-4)
+            text = np.searchsorted(step_ends, row + first, side="right")
+            at = row + first - first_step[text]
+            real = at <= np.maximum(steps - PASSAGE, 0)[text]
+            yield from zip(text[real].tolist(), at[real].tolist(), group[real].tolist())
+
     def leaks(self, text: str, threshold: float = THRESHOLD, overlap: float = OVERLAP):
         """Leaked items of a text: item id -> (best score, first word of the passage, question and answer overlap)."""
-        words = words_of(text)
-        out: dict[int, tuple[float, int, float, float]] = {}
-        if not words:
-            return out
+        return dict(self.leaks_in(pa.array([text], pa.string()), threshold, overlap)).get(0, {})
+
+    def leaks_in(self, texts: pa.Array, threshold: float = THRESHOLD, overlap: float = OVERLAP):
+        """Row number and leaks, as of one text, of all texts that have any; null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        ids, ends = self.numbers(texts)
+        starts = np.append(0, ends[:-1])
+        out: dict[int, dict[int, tuple[float, int, float, float]]] = {}
         if self.short:
-            at = 0
-            lines = [words_of(line) for line in text.splitlines()]
-            for line in [*lines, words] if len(words) < LEAST_WORDS else lines:
-                for item_id in self.short.get(tuple(line), ()):
-                    out.setdefault(item_id, (1.0, min(at, len(words) - len(line)), 1.0, 1.0))
-                at += len(line)
-        if not self.items:
-            return out
-        ids = np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
-        steps = np.add.reduceat(self.most[ids], np.arange(0, len(ids), STEP), axis=0)
-        sums = np.concatenate([np.zeros((1, steps.shape[1]), np.float32), np.cumsum(steps, 0, dtype=np.float64)])
-        n = max(1, len(steps) - PASSAGE + 1)
-        bound = sums[np.minimum(np.arange(n) + PASSAGE, len(steps))] - sums[:n]
-        last, terms = -1, []
-        for at, group in zip(*(x.tolist() for x in np.nonzero(bound >= threshold - 1e-4))):
-            if at != last:
-                terms, last = np.unique(ids[at * STEP:(at + PASSAGE) * STEP]).tolist(), at
+            for row, (text, n) in enumerate(zip(texts.to_pylist(), (ends - starts).tolist())):
+                if n and (found := self.short_leaks(text, n)):
+                    out[row] = found
+        last, last_row, terms, words = None, None, [], []
+        for row, at, group in self.passages(ids, ends, threshold):
+            if (row, at) != last:
+                lo = starts[row] + at * STEP
+                terms, last = np.unique(ids[lo:min(lo + PASSAGE * STEP, ends[row])]).tolist(), (row, at)
                 terms = terms[1:] if terms and terms[0] == 0 else terms
-            # the distinct terms bound the score more tightly than the words did
+            # the distinct terms bound the score more tightly than the heavy words did
             if self.most[terms, group].sum() < threshold - 1e-4:
                 continue
             lo = group * self.group
             for d, score in self.retrieve(terms, lo, min(lo + self.group, len(self.items)), threshold):
                 item_id, cut, q, a = self.items[d]
-                if item_id in out and out[item_id][0] >= score:
+                found = out.get(row, {})
+                if item_id in found and found[item_id][0] >= score:
                     continue
+                if row != last_row:
+                    words, last_row = words_of(texts[row].as_py()), row
                 near = words[max(0, at * STEP - len(cut)):(at + PASSAGE) * STEP + len(cut)]
                 share = [share_in(q, near), share_in(a, near)]
                 if min(share) >= overlap:
-                    out[item_id] = (score, at * STEP, *share)
+                    out.setdefault(row, {})[item_id] = (score, at * STEP, *share)
+        return sorted(out.items())
+
+    def short_leaks(self, text: str, n_words: int) -> dict[int, tuple[float, int, float, float]]:
+        """The items of under LEAST_WORDS words that are a line, or all, of a text of n_words words."""
+        out, at = {}, 0
+        lines = [words_of(line) for line in text.splitlines()]
+        for line in [*lines, words_of(text)] if n_words < LEAST_WORDS else lines:
+            for item_id in self.short.get(tuple(line), ()):
+                out.setdefault(item_id, (1.0, min(at, n_words - len(line)), 1.0, 1.0))
+            at += len(line)
         return out
 
 
@@ -264,9 +339,14 @@ def _parts(rows: DataFrame) -> DataFrame:
 def is_leaked(text: Column, index: Index) -> Column:
     """Whether a text holds an item of the index; false for null and empty texts."""
 
-    @F.pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(index.leaks(t or "")) for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        leaked = np.zeros(len(texts), bool)
+        at = 0
+        for part in slices(pa.record_batch([texts], ["text"]), limit=TEXT_BYTES):
+            leaked[[at + row for row, _ in index.leaks_in(part.column("text"))]] = True
+            at += part.num_rows
+        return pa.array(leaked)
 
     return run(text)
 
@@ -294,19 +374,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     table on either side gives no rows.
     """
     rows = documents(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("d"), text_hash(F.col("text")).alias("h"), "text")
-    written, last = docs.sparkSession.createDataFrame([], HITS_SQL), None
 
     def search(index):
         def run(batches):
-            for d, h, text in rows_in(batches, "d", "h", "text"):
-                if hits := index.leaks(text):
-                    yield to_arrow(HITS, [[d] * len(hits), [h] * len(hits), list(hits), *map(list, zip(*hits.values()))])
+            for part in (part for batch in batches for part in slices(batch, limit=TEXT_BYTES)):
+                hits = [(part["d"][row].as_py(), part["h"][row].as_py(), item_id, *leak)
+                        for row, found in index.leaks_in(part["text"]) for item_id, leak in found.items()]
+                if hits:
+                    yield to_arrow(HITS, list(zip(*hits)))
 
         return run
 
+    found = []
     for index in indexes(benchmark, **columns):
-        if last is not None:     # one index in a plan
-            written = written.unionByName(stage(last, "leaks"))
-        last = rows.mapInArrow(search(index), HITS_SQL)
-    found = written if last is None else written.unionByName(last)
+        if found:     # one index in a plan
+            found[-1] = stage(found[-1], "leaks")
+        found.append(rows.mapInArrow(search(index), HITS_SQL))
+    found = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS_SQL)
     return found.withColumnRenamed("d", "doc_id")

@@ -1,5 +1,8 @@
 import random
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathomgrid.llm import decontamination as dc
@@ -91,3 +94,58 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b c d")], bench)
     assert dc.find_leaks(spark.createDataFrame([], docs), one).count() == 0
     assert dc.find_leaks(spark.createDataFrame([(None, "a b c d")], docs), one).count() == 1
+
+
+ODD = "aZ09_ßÉéÿİıKΣσςЯя谁ก가½²𐐀ªµ́​ \x85\x1c \t\n.,'’-¿()"
+
+
+def test_numbers_are_those_of_words_read_one_by_one():
+    rng = random.Random(3)
+    index = dc.Index([(1, dc.words_of("οδοσ οδος i é ß z0 谁 a9 σ я"), ["k"])])
+    texts = ["", " ", ".", "İ", "ΟΔΟΣ οδοσ. 'ΟΔΟΣ'", *("".join(rng.choices(ODD, k=rng.randint(0, 40))) for _ in range(3000))]
+    ids, ends = index.numbers(pa.array(texts))
+    want = [[index.vocabulary[w] for w in dc.words_of(t)] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w]
+    assert ends.tolist() == list(accumulate(map(len, want)))
+
+
+def test_passages_hold_every_item_above_the_threshold(world):
+    items, docs = world
+    index = dc.Index([(i, dc.words_of(t)[:9], dc.words_of(t)[9:]) for i, t in items if t])
+    ids, ends = index.numbers(pa.array([t or "" for _, t in docs]))
+    kept, n = set(index.passages(ids, ends, dc.THRESHOLD)), 0
+    for row, words in enumerate(i.tolist() for i in np.split(ids, ends[:-1])):
+        for at in range(max(1, -(-len(words) // dc.STEP) - dc.PASSAGE + 1) if words else 0):
+            terms = sorted(set(words[at * dc.STEP:(at + dc.PASSAGE) * dc.STEP]) - {0})
+            for group in range(index.most.shape[1]):
+                lo = group * index.group
+                if index.retrieve(terms, lo, min(lo + index.group, len(index.items)), dc.THRESHOLD):
+                    assert (row, at, group) in kept
+                    n += 1
+    assert n > 40 and len(kept) < 3 * n
+
+
+def test_texts_searched_together_do_not_mix(world):
+    items, docs = world
+    index = dc.Index([(i, dc.words_of(t)[:9], dc.words_of(t)[9:]) for i, t in items if t])
+    halves = [" ".join(w) for _, t in items if t for w in (t.split()[:len(t.split()) // 2], t.split()[len(t.split()) // 2:])]
+    texts = [*(t for _, t in docs), *halves]
+    one = {i: found for i, t in enumerate(texts) if (found := index.leaks(t or ""))}
+    assert len(one) > 30 and dict(index.leaks_in(pa.array(texts))) == one
+
+
+def test_words_are_read_where_an_item_is_retrieved(world, monkeypatch):
+    items, _ = world
+    index = dc.Index([(i, dc.words_of(t)[:9], dc.words_of(t)[9:]) for i, t in items if t and i < 81])
+    read, words_of = [], dc.words_of
+    monkeypatch.setattr(dc, "words_of", lambda text: read.append(text) or words_of(text))
+    clean = "Mañana, c1 c2 (c3) r1 c4; nothing.\nElse c5 here!"
+    assert not index.leaks(clean) and not read
+    assert index.leaks(items[5][1]) and read == [items[5][1]]
+
+
+def test_plan_of_one_index(spark, world):
+    items, docs = world
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    plan = dc.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench)._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") and "Union" not in plan and "Exchange" not in plan
