@@ -237,7 +237,7 @@ class Index:
             sums = np.bincount(row * groups + group, weight, (n + PASSAGE - 1) * groups).reshape(-1, groups)
             # behind the end of a text stand words of the next one, which only raise the bound
             bound = sum(sums[i:i + n] for i in range(PASSAGE))
-            row, group = np.nonzero(bound >= threshold - LIGHT - 1e-4)
+            row, group = np.divmod(np.flatnonzero(bound >= threshold - LIGHT - 1e-4), groups)
             text = np.searchsorted(step_ends, row + first, side="right")
             at = row + first - first_step[text]
             real = at <= np.maximum(steps - PASSAGE, 0)[text]
@@ -261,8 +261,7 @@ class Index:
         for row, at, group in self.passages(ids, ends, threshold):
             if (row, at) != last:
                 lo = starts[row] + at * STEP
-                terms, last = np.unique(ids[lo:min(lo + PASSAGE * STEP, ends[row])]).tolist(), (row, at)
-                terms = terms[1:] if terms and terms[0] == 0 else terms
+                terms, last = sorted(set(ids[lo:min(lo + PASSAGE * STEP, ends[row])].tolist()) - {0}), (row, at)
             # the distinct terms bound the score more tightly than the heavy words did
             if self.most[terms, group].sum() < threshold - 1e-4:
                 continue
